@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,7 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(conf.autoBroadcastJoinThreshold())
 
 
-def measured(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of ``df``, counted: eight bytes per fixed-width value, the length of all others."""
+def _counted(df: DataFrame) -> DataFrame:
     fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     width = F.lit(8 * (1 + len(df.columns))).cast("bigint")
     for f in df.schema.fields:
@@ -68,8 +68,17 @@ def measured(df: DataFrame) -> tuple[int, int]:
             width = width + F.coalesce(F.octet_length(column), F.lit(0))
         elif not isinstance(f.dataType, fixed):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
-    return found["n"], found["bytes"] or 0
+    return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+
+
+def measured(*inputs: DataFrame) -> list[tuple[int, int]]:
+    """Rows and bytes of each input, counted in one job.
+
+    A fixed-width value counts for eight bytes, any other for its length.
+    """
+    counts = [_counted(df).withColumn("i", F.lit(i)) for i, df in enumerate(inputs)]
+    found = {row["i"]: (row["n"], row["bytes"]) for row in reduce(DataFrame.unionAll, counts).collect()}
+    return [found[i] for i in range(len(inputs))]
 
 
 def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:

@@ -39,6 +39,12 @@ def cells_for(n_left: int, n_right: int, cores: int) -> int:
     return max(cores, math.ceil(n_left * n_right / PAIRS_PER_CELL))
 
 
+def measured_shape(left: DataFrame, right: DataFrame) -> tuple[int, int]:
+    """The grid for two tables, from their row counts."""
+    (n_left, _), (n_right, _) = measured(left.select(), right.select())
+    return grid_shape(n_left, n_right, cells_for(n_left, n_right, parallelism(left)))
+
+
 def grid_join(
     left: DataFrame,
     right: DataFrame,
@@ -56,8 +62,7 @@ def grid_join(
     if shape is None:
         if left.isStreaming or right.isStreaming:
             raise ValueError("a stream cannot be counted; pass the grid's shape")
-        n_left, n_right = left.count(), right.count()
-        shape = grid_shape(n_left, n_right, cells_for(n_left, n_right, parallelism(left)))
+        shape = measured_shape(left, right)
     return meet(left, right, [], condition, Split(*shape), left_id, right_id)
 
 
@@ -83,19 +88,21 @@ def theta_join(
     if side is None:
         return left.crossJoin(right).where(condition)
     if side == "auto":
+        if left.isStreaming and right.isStreaming:
+            raise ValueError("two streams cannot be counted or broadcast; use grid_join with a shape")
         limit = broadcast_limit(left)
         small = [s for s, df in (("left", left), ("right", right)) if fits_broadcast(df, limit)]
         if len(small) == 1:
             side = small[0]
         else:
-            (n_left, bytes_left), (n_right, bytes_right) = measured(left), measured(right)
+            (n_left, bytes_left), (n_right, bytes_right) = measured(left, right)
             side = "left" if bytes_left < bytes_right else "right"
             if not small and min(bytes_left, bytes_right) > limit:
                 shape = shape or grid_shape(n_left, n_right, cells_for(n_left, n_right, parallelism(left)))
                 return grid_join(left, right, predicate, shape)
     elif side in ("left", "right"):
         chosen = left if side == "left" else right
-        if not fits_broadcast(chosen) and measured(chosen)[1] > HARD_BROADCAST_BYTES:
+        if not fits_broadcast(chosen) and measured(chosen)[0][1] > HARD_BROADCAST_BYTES:
             return grid_join(left, right, predicate, shape)
     else:
         raise ValueError(f"side is 'auto', 'left', 'right', 'grid' or None, not {side!r}")

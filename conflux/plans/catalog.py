@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from conflux.functions.columns import earliest, prefixed, row_message, split_field
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
-from conflux.operators.interval import LEFT_BUCKET, RIGHT_BUCKET, bucketed, interval_join, window_counts
-from conflux.operators.split import Split, measure, parallelism
+from conflux.operators.interval import bucket_split, interval_chain, interval_join, window_counts
+from conflux.operators.split import Split, measure
 from conflux.operators.summary import batch_report, equi_join_summary
-from conflux.operators.theta import cells_for, cross_join, grid_join, grid_shape, theta_join
+from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
 from conflux.plans import tpch
 from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
@@ -31,6 +31,9 @@ ORACLES: dict[str, str] = {}
 
 WITHIN = timedelta(minutes=10)
 
+# Bounds the micro-batches of streams without a watermark, whose result does not depend on them.
+_FILES_PER_BATCH = 4096
+
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -85,18 +88,18 @@ def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    return table_stream(spark, folder, name).select(*columns)
+    return table_stream(spark, folder, name, max_files=_FILES_PER_BATCH).select(*columns)
 
 
 def _streamed_rows(spark: SparkSession, folder: str, name: str, column: str) -> DataFrame:
     """One column of a table as a stream, with a number per row to deal copies by."""
-    return table_stream(spark, folder, name, row_id=f"{name}_row").select(column, f"{name}_row")
+    rows = table_stream(spark, folder, name, max_files=_FILES_PER_BATCH, row_id=f"{name}_row")
+    return rows.select(column, f"{name}_row")
 
 
 def _grid(left: DataFrame, right: DataFrame) -> Split:
     """A grid for streams of two tables, from the tables' sizes."""
-    n_left, n_right = left.count(), right.count()
-    return Split(*grid_shape(n_left, n_right, cells_for(n_left, n_right, parallelism(left))))
+    return Split(*measured_shape(left, right))
 
 
 # ---- sources and expressions -------------------------------------------------------------------
@@ -453,9 +456,10 @@ def interval_join_pairs(spark, folder):
 
 @query(f"select {_IDS3} {_INTERVAL3_SQL}")
 def interval_join3(spark, folder):
+    clicks, purchases = _clicks_purchases(spark, folder)
     views = _events(table(spark, folder, "events"), "view", "view_")
-    pairs = _near(*_clicks_purchases(spark, folder))
-    return interval_join(pairs, views, "click_ts", "view_ts", WITHIN).select(*_EVENT_IDS)
+    others = [(purchases, "purchase_ts"), (views, "view_ts")]
+    return interval_chain(clicks, "click_ts", others, WITHIN).select(*_EVENT_IDS)
 
 
 _WINDOW_SQL = """select start as window_start, event_type, count(*) as n from
@@ -586,14 +590,9 @@ def stream_q5(spark, folder):
 _LATENESS = "1 hour"
 
 
-def _bucket_split(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str) -> Split:
-    lb, rb = bucketed(left, right, left_ts, right_ts, WITHIN)
-    return choose_split(lb, rb, [(LEFT_BUCKET, RIGHT_BUCKET)], "auto")
-
-
 @query(f"select {_IDS2} {_INTERVAL_SQL}")
 def stream_interval_join(spark, folder):
-    split = _bucket_split(*_clicks_purchases(spark, folder), "click_ts", "purchase_ts")
+    split = bucket_split(*_clicks_purchases(spark, folder), "click_ts", "purchase_ts", WITHIN)
     clicks, purchases = _stream_clicks_purchases(spark, folder)
     pairs = _near(
         clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=split
@@ -605,16 +604,17 @@ def stream_interval_join(spark, folder):
 def stream_interval_join3(spark, folder):
     events = table(spark, folder, "events")
     at_rest = [_events(events, kind, f"{kind}_") for kind in ("click", "purchase", "view")]
-    first = _bucket_split(at_rest[0], at_rest[1], "click_ts", "purchase_ts")
-    second = _bucket_split(at_rest[0], at_rest[2], "click_ts", "view_ts")
+    splits = [
+        bucket_split(at_rest[0], at_rest[1], "click_ts", "purchase_ts", WITHIN),
+        bucket_split(at_rest[0], at_rest[2], "click_ts", "view_ts", WITHIN),
+    ]
     clicks, purchases = _stream_clicks_purchases(spark, folder)
     views = _events(table_stream(spark, folder, "events"), "view", "view_")
-    pairs = _near(
-        clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=first
-    )
-    triples = interval_join(
-        pairs, views.withWatermark("view_ts", _LATENESS), "click_ts", "view_ts", WITHIN, split=second
-    )
+    others = [
+        (purchases.withWatermark("purchase_ts", _LATENESS), "purchase_ts"),
+        (views.withWatermark("view_ts", _LATENESS), "view_ts"),
+    ]
+    triples = interval_chain(clicks.withWatermark("click_ts", _LATENESS), "click_ts", others, WITHIN, splits)
     return run_to_table(triples.select(*_EVENT_IDS), "stream-interval3")
 
 

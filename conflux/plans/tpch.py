@@ -55,26 +55,28 @@ def q3_top(revenue: DataFrame, top: int = TOP) -> DataFrame:
 def q3_count(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Size of customer x orders x lineitem, without building it.
 
-    Each relation is reduced to its keys and how often they occur; what is left to do is to
-    multiply the counts of keys that meet and to add up the products.
+    Relations are reduced to their keys and how often they occur; what is left to do is to multiply
+    the counts of keys that meet and to add up the products. Splits are measured on the relations
+    as they are, so that nothing is aggregated twice.
     """
     return _total(_order_weights(customer, orders), _per_key(lineitem, "l_orderkey", as_name="items"))
 
 
 def _order_weights(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """How many customer-order pairs each order key stands for."""
+    on = [("c_custkey", "o_custkey")]
+    customer, orders = customer.select("c_custkey"), orders.select("o_orderkey", "o_custkey")
+    split = choose_split(customer, orders, on, "auto")
     customers = _per_key(customer, "c_custkey", as_name="customers")
-    placed = _per_key(orders, "o_custkey", "o_orderkey", as_name="orders")
     return (
-        equi_join(customers, placed, [("c_custkey", "o_custkey")])
+        equi_join(customers, orders, on, split=split)
         .groupBy("o_orderkey")
-        .agg(F.sum(F.col("customers") * F.col("orders")).alias("order_weight"))
+        .agg(F.sum("customers").alias("order_weight"))
     )
 
 
-def _total(order_weights: DataFrame, items: DataFrame, *factors: str) -> DataFrame:
+def _total(order_weights: DataFrame, items: DataFrame) -> DataFrame:
     product = F.col("order_weight") * F.col("items")
-    for f in factors:
-        product = product * F.col(f)
     met = order_weights.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
     return met.agg(F.coalesce(F.sum(product), F.lit(0)).alias("n"))
 
@@ -99,17 +101,18 @@ def q5_count(
         .groupBy("n_nationkey")
         .agg(F.sum(F.col("nations") * F.col("regions")).alias("nation_weight"))
     )
-    suppliers = _per_key(supplier, "s_suppkey", "s_nationkey", as_name="suppliers")
+    supplier, lineitem = supplier.select("s_suppkey", "s_nationkey"), lineitem.select("l_orderkey", "l_suppkey")
+    in_nation = [("s_nationkey", "n_nationkey")]
     supplier_weights = (
-        equi_join(suppliers, nation_weights, [("s_nationkey", "n_nationkey")])
+        equi_join(supplier, nation_weights, in_nation, split=choose_split(supplier, nation, in_nation, "auto"))
         .groupBy("s_suppkey")
-        .agg(F.sum(F.col("suppliers") * F.col("nation_weight")).alias("supplier_weight"))
+        .agg(F.sum("nation_weight").alias("supplier_weight"))
     )
-    items = _per_key(lineitem, "l_suppkey", "l_orderkey", as_name="copies")
+    by_supplier = [("l_suppkey", "s_suppkey")]
     weighed = (
-        equi_join(items, supplier_weights, [("l_suppkey", "s_suppkey")])
+        equi_join(lineitem, supplier_weights, by_supplier, split=choose_split(lineitem, supplier, by_supplier, "auto"))
         .groupBy("l_orderkey")
-        .agg(F.sum(F.col("copies") * F.col("supplier_weight")).alias("items"))
+        .agg(F.sum("supplier_weight").alias("items"))
     )
     return _total(_order_weights(customer, orders), weighed)
 

@@ -11,7 +11,16 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from conflux.session import is_local, work_folder
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk, saved by changes instead of whole files, one store per partition and join rather than
+# four, and without a lookup per write to keep count of the rows.
+_SPILLING = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 @dataclass(frozen=True)
@@ -23,12 +32,14 @@ class Run:
     partitions  state partitions, fixed for the life of a checkpoint; None takes the session's
                 shuffle partitions, on a local session one per core
     spill       keep join state in RocksDB on the executors' disks rather than in JVM memory
+    reports     how many progress reports Spark is to hold for the query
     """
 
     every: str | None = None
     timeout: float | None = None
     partitions: int | None = None
     spill: bool = True
+    reports: int | None = None
 
 
 @contextmanager
@@ -56,7 +67,9 @@ def start(writer: DataStreamWriter, spark: SparkSession, run: Run) -> StreamingQ
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
     if run.spill:
-        settings["spark.sql.streaming.stateStore.providerClass"] = _ROCKSDB
+        settings.update(_SPILLING)
+    if run.reports:
+        settings["spark.sql.streaming.numRecentProgressUpdates"] = str(run.reports)
     with _settings(spark, **settings):
         return writer.trigger(**trigger).start()
 
