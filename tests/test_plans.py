@@ -1,0 +1,117 @@
+"""Plans: what is pushed down, what is shuffled, what is counted without being built."""
+
+import re
+
+import pytest
+from conftest import SMALL, bag, plan
+from pyspark.sql import functions as F
+
+from conflux.operators import Split, equi_join, interval_join
+from conflux.plans import tpch
+from conflux.sources import table
+
+
+def tables(spark, *names):
+    return [table(spark, SMALL, n) for n in names]
+
+
+Q3 = ("customer", "orders", "lineitem")
+Q5 = (*Q3, "supplier", "nation", "region")
+
+
+def shuffles(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))
+
+
+def test_q3_pushes_filters_and_prunes_columns(spark):
+    text = plan(tpch.q3_top(tpch.q3_revenue(*tables(spark, *Q3))))
+    assert "EqualTo(c_mktsegment,FURNITURE)" in text
+    assert "LessThan(o_orderdate" in text
+    assert "GreaterThan(l_shipdate" in text
+    assert "TakeOrderedAndProject" in text
+    assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in text
+    assert "struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double,l_shipdate:timestamp_ntz>" in text
+    assert "Python" not in text
+
+
+def test_q3_shuffles_lineitem_once(spark, no_broadcast):
+    found = shuffles(tpch.q3_revenue(*tables(spark, *Q3)))
+    assert sum("l_orderkey" in keys for keys in found) == 1
+
+
+def test_counts_shuffle_lineitem_once_per_key(spark, no_broadcast):
+    q3 = shuffles(tpch.q3_count(*tables(spark, *Q3)))
+    assert sum("l_orderkey" in keys for keys in q3) == 1
+    assert len(q3) == 4
+    q5 = shuffles(tpch.q5_count(*tables(spark, *Q5)))
+    assert sum("l_" in keys for keys in q5) == 2
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_counts_and_revenue_keep_copies_of_rows(spark, copies):
+    def repeated(df):
+        return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("i")).drop("i")
+
+    inputs = [repeated(t) if n != "lineitem" else t for n, t in zip(Q5, tables(spark, *Q5))]
+    c, o, l, s, n, r = inputs
+    joined = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(l, F.col("l_orderkey") == F.col("o_orderkey"))
+    assert tpch.q3_count(c, o, l).first()["n"] == joined.count()
+    joined = joined.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        n, F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    joined = joined.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    assert tpch.q5_count(*inputs).first()["n"] == joined.count()
+    cut = F.lit(tpch.DATE).cast("date")
+    plain = (
+        c.join(o, F.col("c_custkey") == F.col("o_custkey"))
+        .join(l, F.col("l_orderkey") == F.col("o_orderkey"))
+        .where((F.col("c_mktsegment") == tpch.SEGMENT) & (F.col("o_orderdate") < cut) & (F.col("l_shipdate") > cut))
+        .groupBy("l_orderkey", "o_orderdate")
+        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    )
+    rounded = lambda df: bag(df.withColumn("revenue", F.round("revenue", 3)))
+    assert rounded(tpch.q3_revenue(c, o, l)) == rounded(plain)
+
+
+def test_counts_of_nothing(spark):
+    c, o, l, s, n, r = tables(spark, *Q5)
+    assert tpch.q3_count(c.where("false"), o, l).first()["n"] == 0
+    assert tpch.q5_count(c, o, l, s, n, r.where("false")).first()["n"] == 0
+
+
+def test_q3_groups_by_ship_priority_where_there_is_one(spark):
+    c, o, l = tables(spark, *Q3)
+    found = tpch.q3_revenue(c, o.withColumn("o_shippriority", F.lit(0)), l)
+    assert found.columns == ["l_orderkey", "revenue", "o_orderdate", "o_shippriority"]
+    assert bag(found.drop("o_shippriority").withColumn("revenue", F.round("revenue", 3))) == bag(
+        tpch.q3_revenue(c, o, l).withColumn("revenue", F.round("revenue", 3))
+    )
+
+
+def test_small_sides_are_broadcast_and_large_ones_shuffled(spark):
+    c, o, _ = tables(spark, *Q3)
+    on = [("c_custkey", "o_custkey")]
+    assert "BroadcastHashJoin" in plan(equi_join(c, o, on))
+
+
+def test_large_joins_sort_and_merge(spark, no_broadcast):
+    c, o, _ = tables(spark, *Q3)
+    on = [("c_custkey", "o_custkey")]
+    assert "SortMergeJoin" in plan(equi_join(c, o, on, split=None))
+    salted = equi_join(c.select("c_custkey"), o.select("o_custkey"), on, split=Split(2, 2))
+    assert "SortMergeJoin" in plan(salted) and "NestedLoop" not in plan(salted)
+
+
+def test_interval_join_is_an_equality_join(spark, no_broadcast):
+    events = table(spark, SMALL, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    left = events.toDF("a_id", "a_ts")
+    right = events.toDF("b_id", "b_ts")
+    text = plan(interval_join(left, right, "a_ts", "b_ts", tpch_within(), split=None))
+    assert "SortMergeJoin [__left_bucket" in text
+    assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def tpch_within():
+    from datetime import timedelta
+
+    return timedelta(minutes=10)
