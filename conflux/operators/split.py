@@ -107,6 +107,11 @@ def key_hash(df: DataFrame, keys: Sequence[str], types: list[str] | None = None)
     return F.xxhash64(*[c for c, _ in parts])
 
 
+def _require_common_types(*types: list[str]) -> None:
+    if any(t != types[0] for t in types):
+        raise TypeError(f"cast the join keys to common types before splitting: {', '.join(map(str, types))}")
+
+
 def _key_hashes(left: DataFrame, right: DataFrame, on: Pairs) -> tuple[Column, Column]:
     left_types: list[str] = []
     right_types: list[str] = []
@@ -114,55 +119,85 @@ def _key_hashes(left: DataFrame, right: DataFrame, on: Pairs) -> tuple[Column, C
         key_hash(left, [l for l, _ in on], left_types),
         key_hash(right, [r for _, r in on], right_types),
     )
-    if left_types != right_types:
-        raise TypeError(f"cast the join keys to common types before splitting: {left_types} and {right_types}")
+    _require_common_types(left_types, right_types)
     return hashes
 
 
-def measure(left: DataFrame, right: DataFrame, on: Pairs, rows_per_cell: int | None = None) -> Split:
-    """Choose a split from one counting pass over the keys of each side.
+@dataclass(frozen=True)
+class Profile:
+    """How the rows of an input are spread over its keys: their number, the keys' number, the top keys."""
+
+    rows: float
+    keys: int
+    top: dict[int, float]
+
+    @property
+    def mean(self) -> float:
+        return self.rows / max(1, self.keys)
+
+    def count(self, key: int) -> float:
+        return self.top.get(key, self.mean)
+
+    def paired(self, other: Profile) -> Profile:
+        """The profile that the join of the two inputs has if their keys are the same."""
+        top = {key: self.count(key) * other.count(key) for key in self.top.keys() | other.top.keys()}
+        keys = max(self.keys, other.keys)
+        return Profile(self.mean * other.mean * keys, keys, top)
+
 
-    Each pass aggregates to a single row (row count, number of keys, sketch of the most frequent
+def profiles(*inputs: tuple[DataFrame, Sequence[str]]) -> list[Profile]:
+    """Profile inputs by the given key columns, in one job.
+
+    Each input aggregates to a single row (row count, number of keys, sketch of the most frequent
     keys), with partial aggregation before the exchange; nothing is shuffled by key.
     """
-    left_hash, right_hash = _key_hashes(left, right, on)
-
-    def profile(df: DataFrame, hashed: Column) -> DataFrame:
-        return df.select(hashed.alias("h")).agg(
-            F.count("h").alias("n"),
-            F.approx_count_distinct("h").alias("keys"),
-            F.expr(f"approx_top_k(h, {TOP_KEYS}, {SKETCH_ITEMS})").alias("top"),
+    parts, kinds = [], []
+    for i, (df, keys) in enumerate(inputs):
+        types: list[str] = []
+        parts.append(
+            df.select(key_hash(df, keys, types).alias("h"))
+            .agg(
+                F.count("h").alias("n"),
+                F.approx_count_distinct("h").alias("keys"),
+                F.expr(f"approx_top_k(h, {TOP_KEYS}, {SKETCH_ITEMS})").alias("top"),
+            )
+            .withColumn("i", F.lit(i))
         )
+        kinds.append(types)
+    _require_common_types(*kinds)
+    found = {row["i"]: row for row in reduce(DataFrame.unionAll, parts).collect()}
+    return [
+        Profile(row["n"], row["keys"], {t["item"]: t["count"] for t in row["top"] or []})
+        for row in (found[i] for i in range(len(inputs)))
+    ]
 
-    profiles = (
-        profile(left, left_hash)
-        .withColumn("side", F.lit("l"))
-        .unionByName(profile(right, right_hash).withColumn("side", F.lit("r")))
-        .collect()
-    )
-    by_side = {p["side"]: p for p in profiles}
-    l, r = by_side["l"], by_side["r"]
+
+def split_for(left: Profile, right: Profile, cores: int, rows_per_cell: int | None = None) -> Split:
+    """A split that gives no cell much more than ``rows_per_cell`` rows of one key of either side.
+
+    By default that is the share of a core, but not less than MIN_ROWS_PER_CELL.
+    """
     if rows_per_cell is None:
-        fair_share = (l["n"] + r["n"]) // (2 * parallelism(left))
-        rows_per_cell = max(MIN_ROWS_PER_CELL, fair_share)
+        rows_per_cell = max(MIN_ROWS_PER_CELL, int(left.rows + right.rows) // (2 * cores))
 
     def pieces(count: float) -> int:
         return max(1, math.ceil(count / rows_per_cell))
 
-    base = pieces(l["n"] / max(1, l["keys"])), pieces(r["n"] / max(1, r["keys"]))
-    left_top = {t["item"]: t["count"] for t in l["top"]}
-    right_top = {t["item"]: t["count"] for t in r["top"]}
+    base = pieces(left.mean), pieces(right.mean)
     heavy = []
-    for key in sorted(left_top.keys() | right_top.keys()):
-        grid = (
-            max(base[0], pieces(left_top.get(key, 0))),
-            max(base[1], pieces(right_top.get(key, 0))),
-        )
+    for key in sorted(left.top.keys() | right.top.keys()):
+        grid = max(base[0], pieces(left.top.get(key, 0))), max(base[1], pieces(right.top.get(key, 0)))
         if grid != base:
             heavy.append((key, *grid))
     return Split(*base, tuple(heavy))
 
 
+def measure(left: DataFrame, right: DataFrame, on: Pairs, rows_per_cell: int | None = None) -> Split:
+    """Choose a split from one counting pass over the keys of each side."""
+    found = profiles((left, [l for l, _ in on]), (right, [r for _, r in on]))
+    return split_for(*found, parallelism(left), rows_per_cell)
+
+
 def _orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
         return all(_orderable(f.dataType) for f in dtype.fields)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from conflux.functions.columns import earliest, prefixed, row_message, split_field
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
-from conflux.operators.interval import bucket_split, interval_chain, interval_join, window_counts
+from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
 from conflux.operators.split import Split, measure
 from conflux.operators.summary import batch_report, equi_join_summary
 from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
@@ -19,7 +20,7 @@ from conflux.plans import tpch
 from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
 from conflux.sources.generators import random_keys
-from conflux.streaming.joins import stored_theta_join, stream_join, stream_window_counts
+from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.progress import progress_table, save_progress
 from conflux.streaming.run import run_batches, run_to_table
 from conflux.streaming.store import BatchFolder, store_stream
@@ -56,7 +57,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 def _events(events: DataFrame, kind: str, prefix: str) -> DataFrame:
     """Events of one type: id, user and time, with prefixed names."""
     chosen = events.where(F.col("event_type") == kind)
-    return prefixed(chosen.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), prefix)
+    row = [c for c in ("row",) if c in events.columns]
+    return prefixed(chosen.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), *row), prefix)
 
 
 def _clicks_purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -64,11 +66,14 @@ def _clicks_purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return _events(events, "click", "click_"), _events(events, "purchase", "purchase_")
 
 
-def _stream_clicks_purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        _events(table_stream(spark, folder, "events"), "click", "click_"),
-        _events(table_stream(spark, folder, "events"), "purchase", "purchase_"),
-    )
+def _stream_events(spark: SparkSession, folder: str, kind: str, numbered: bool) -> DataFrame:
+    """Events of one type as a stream; ``numbered`` adds a number per row to deal copies by."""
+    stream = table_stream(spark, folder, "events", row_id="row" if numbered else None)
+    return _events(stream, kind, f"{kind}_")
+
+
+def _stream_clicks_purchases(spark: SparkSession, folder: str, numbered: bool = False) -> list[DataFrame]:
+    return [_stream_events(spark, folder, kind, numbered) for kind in ("click", "purchase")]
 
 
 def _keys(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -91,10 +96,10 @@ def _streamed(spark: SparkSession, folder: str, name: str, *columns: str) -> Dat
     return table_stream(spark, folder, name, max_files=_FILES_PER_BATCH).select(*columns)
 
 
-def _streamed_rows(spark: SparkSession, folder: str, name: str, column: str) -> DataFrame:
-    """One column of a table as a stream, with a number per row to deal copies by."""
+def _streamed_rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table as a stream, with a number per row to deal copies by."""
     rows = table_stream(spark, folder, name, max_files=_FILES_PER_BATCH, row_id=f"{name}_row")
-    return rows.select(column, f"{name}_row")
+    return rows.select(*columns, f"{name}_row")
 
 
 def _grid(left: DataFrame, right: DataFrame) -> Split:
@@ -374,38 +379,31 @@ def lt_chain_triples(spark, folder):
     return _chain(spark, folder)
 
 
-@query(f"select count(*) as n {_CHAIN_SQL}")
-def lt_chain_count(spark, folder):
-    """Size of the chain without its triples: regions below each nation, then the sum of those below each supplier."""
-    one = F.lit(1).cast("bigint")
-    nations = _below(
-        _keys(spark, folder, "region", F.col("r_regionkey").cast("bigint").alias("k"), one.alias("weight")),
-        _keys(spark, folder, "nation", F.col("n_nationkey").cast("bigint").alias("k"), one.alias("rows")),
-    )
-    chain = _below(
-        nations, _keys(spark, folder, "supplier", F.col("s_suppkey").alias("k"), one.alias("rows"))
-    )
-    return chain.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"))
+def _counted(spark: SparkSession, folder: str, **keys: str) -> DataFrame:
+    """For every key of the named tables: its rows in each, and those of smaller and greater keys."""
+    tagged = [
+        table(spark, folder, name).select(
+            F.col(column).cast("bigint").alias("k"),
+            *[F.lit(int(name == other)).cast("bigint").alias(other) for other in keys],
+        )
+        for name, column in keys.items()
+    ]
+    return running_totals(reduce(DataFrame.unionByName, tagged), "k", {name: F.sum(name) for name in keys})
 
 
-def _below(smaller: DataFrame, greater: DataFrame) -> DataFrame:
-    """For every key of ``greater``: its rows times the summed weights of all smaller keys."""
-    both = smaller.select("k", "weight", F.lit(0).cast("bigint").alias("rows")).unionByName(
-        greater.select("k", F.lit(0).cast("bigint").alias("weight"), "rows")
-    )
-    summed = running_totals(both, "k", {"weight": F.sum("weight"), "rows": F.sum("rows")})
-    return summed.where("rows > 0").select("k", (F.col("rows") * F.col("weight_before")).alias("weight"))
+@query(f"select count(*) as n {_CHAIN_SQL}")
+def lt_chain_count(spark, folder):
+    """Size of the chain without its triples: each nation, times the regions below, times the suppliers above."""
+    counted = _counted(spark, folder, region="r_regionkey", nation="n_nationkey", supplier="s_suppkey")
+    triples = F.col("region_before") * F.col("nation") * F.col("supplier_after")
+    return counted.agg(F.coalesce(F.sum(triples), F.lit(0)).alias("n"))
 
 
 @query("select count(*) as n from customer join orders on c_custkey < o_custkey")
 def theta_count(spark, folder):
     """Size of an inequality join of two large tables, without its pairs."""
-    one = F.lit(1).cast("bigint")
-    found = _below(
-        _keys(spark, folder, "customer", F.col("c_custkey").alias("k"), one.alias("weight")),
-        _keys(spark, folder, "orders", F.col("o_custkey").alias("k"), one.alias("rows")),
-    )
-    return found.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"))
+    counted = _counted(spark, folder, customer="c_custkey", orders="o_custkey")
+    return counted.agg(F.coalesce(F.sum(F.col("customer_before") * F.col("orders")), F.lit(0)).alias("n"))
 
 
 def _ordered(clicks: DataFrame, purchases: DataFrame, **options) -> DataFrame:
@@ -486,7 +484,7 @@ def stream_store(spark, folder):
 def stream_equi(spark, folder):
     split = _user_split(spark, folder)
     on = [("click_user_id", "purchase_user_id")]
-    pairs = stream_join(*_stream_clicks_purchases(spark, folder), on=on, split=split)
+    pairs = stream_join(*_stream_clicks_purchases(spark, folder, not split.whole), on=on, split=split)
     return run_to_table(pairs.select(*_EVENT_IDS[:2]), "stream-equi")
 
 
@@ -495,9 +493,19 @@ def _user_split(spark: SparkSession, folder: str) -> Split:
     return choose_split(*_clicks_purchases(spark, folder), [("click_user_id", "purchase_user_id")], "auto")
 
 
+@query("select a.event_id as click_event_id, b.event_id as purchase_event_id " + _PAIRS_SQL)
+def stream_equi_stored(spark, folder):
+    """The same join with files instead of join state, its keys measured anew in every micro-batch."""
+    on = [("click_user_id", "purchase_user_id")]
+    clicks, purchases = _stream_clicks_purchases(spark, folder)
+    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-stored")
+    return pairs.select(*_EVENT_IDS[:2])
+
+
 @query("select a.event_id as click_event_id, b.event_id as purchase_event_id " + _ORDERED_SQL)
 def stream_ordered_equi(spark, folder):
-    pairs = _ordered(*_stream_clicks_purchases(spark, folder), split=_user_split(spark, folder))
+    split = _user_split(spark, folder)
+    pairs = _ordered(*_stream_clicks_purchases(spark, folder, not split.whole), split=split)
     return run_to_table(pairs.select(*_EVENT_IDS[:2]), "stream-ordered")
 
 
@@ -556,8 +564,14 @@ _STREAMED_COLUMNS = {
 
 def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[DataFrame], tpch.ChainSplits]:
     at_rest = [_keys(spark, folder, name, *_STREAMED_COLUMNS[name]) for name in names]
-    streams = [_streamed(spark, folder, name, *_STREAMED_COLUMNS[name]) for name in names]
-    return streams, tpch.chain_splits(*at_rest)
+    splits = tpch.chain_splits(*at_rest)
+    streams = [
+        _streamed_rows(spark, folder, name, *_STREAMED_COLUMNS[name])
+        if splits.any
+        else _streamed(spark, folder, name, *_STREAMED_COLUMNS[name])
+        for name in names
+    ]
+    return streams, splits
 
 
 @query(f"select c_custkey, o_orderkey, l_suppkey {_Q3_FROM}")
@@ -592,8 +606,9 @@ _LATENESS = "1 hour"
 
 @query(f"select {_IDS2} {_INTERVAL_SQL}")
 def stream_interval_join(spark, folder):
-    split = bucket_split(*_clicks_purchases(spark, folder), "click_ts", "purchase_ts", WITHIN)
-    clicks, purchases = _stream_clicks_purchases(spark, folder)
+    clicks, purchases = _clicks_purchases(spark, folder)
+    (split,) = bucket_splits(clicks, "click_ts", [(purchases, "purchase_ts")], WITHIN)
+    clicks, purchases = _stream_clicks_purchases(spark, folder, numbered=not split.whole)
     pairs = _near(
         clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=split
     )
@@ -604,12 +619,11 @@ def stream_interval_join(spark, folder):
 def stream_interval_join3(spark, folder):
     events = table(spark, folder, "events")
     at_rest = [_events(events, kind, f"{kind}_") for kind in ("click", "purchase", "view")]
-    splits = [
-        bucket_split(at_rest[0], at_rest[1], "click_ts", "purchase_ts", WITHIN),
-        bucket_split(at_rest[0], at_rest[2], "click_ts", "view_ts", WITHIN),
-    ]
-    clicks, purchases = _stream_clicks_purchases(spark, folder)
-    views = _events(table_stream(spark, folder, "events"), "view", "view_")
+    splits = bucket_splits(at_rest[0], "click_ts", [(at_rest[1], "purchase_ts"), (at_rest[2], "view_ts")], WITHIN)
+    numbered = not all(split.whole for split in splits)
+    clicks, purchases, views = (
+        _stream_events(spark, folder, kind, numbered) for kind in ("click", "purchase", "view")
+    )
     others = [
         (purchases.withWatermark("purchase_ts", _LATENESS), "purchase_ts"),
         (views.withWatermark("view_ts", _LATENESS), "view_ts"),
@@ -634,7 +648,8 @@ def stream_window_count(spark, folder):
 def batch_stats(spark, folder):
     """Size and span of each micro-batch's pairs; in event time, and read as one batch, so that both are fixed."""
     on = [("click_user_id", "purchase_user_id")]
-    pairs = stream_join(*_stream_clicks_purchases(spark, folder), on=on, split=_user_split(spark, folder))
+    split = _user_split(spark, folder)
+    pairs = stream_join(*_stream_clicks_purchases(spark, folder, not split.whole), on=on, split=split)
     base = work_folder(spark, "batch-stats")
     rows, reports = BatchFolder(f"{base}/rows"), BatchFolder(f"{base}/reports")
     schema = pairs.schema

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflux.operators.equi import choose_split, equi_join
-from conflux.operators.split import Split
+from conflux.operators.split import Split, fits_broadcast
 
 # The parameters of Q3.
 SEGMENT = "FURNITURE"
@@ -25,26 +25,29 @@ def q3_revenue(
 ) -> DataFrame:
     """Revenue of each open order of a market segment.
 
-    Line items are added up per order before the join. That needs the same exchange as the join on
-    the order key, lets an order with very many items shrink before it, and leaves no further
-    exchange for the grouping after it.
+    Where the orders are small they are broadcast, and line items are joined as they are read. Where
+    not, line items are added up per order before the join: that needs the same exchange as the join
+    on the order key, and lets an order with very many items shrink before it.
     """
     cut = F.lit(date).cast("date")
-    chosen = customer.where(F.col("c_mktsegment") == segment).select("c_custkey")
-    open_orders = orders.where(F.col("o_orderdate") < cut)
     extra = [c for c in ("o_shippriority",) if c in orders.columns]
-    open_orders = equi_join(
-        chosen, open_orders.select("o_orderkey", "o_custkey", "o_orderdate", *extra), [("c_custkey", "o_custkey")]
-    )
-    open_orders = _per_key(open_orders, "o_orderkey", "o_orderdate", *extra, as_name="copies")
-    earned = (
-        lineitem.where(F.col("l_shipdate") > cut)
-        .groupBy("l_orderkey")
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("earned"))
-    )
-    return open_orders.join(earned, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        "l_orderkey", (F.col("earned") * F.col("copies")).alias("revenue"), "o_orderdate", *extra
-    )
+    chosen = customer.where(F.col("c_mktsegment") == segment).select("c_custkey")
+    orders = orders.where(F.col("o_orderdate") < cut).select("o_orderkey", "o_custkey", "o_orderdate", *extra)
+    open_orders = equi_join(chosen, orders, [("c_custkey", "o_custkey")])
+    keys = ["o_orderkey", "o_orderdate", *extra]
+    # Grouped, there is at most one row per row of the orders, whose size is checked here.
+    small = fits_broadcast(orders)
+    open_orders = _per_key(open_orders, *keys, as_name="copies")
+    items = lineitem.where(F.col("l_shipdate") > cut)
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    same = F.col("o_orderkey") == F.col("l_orderkey")
+    if small:
+        revenue = F.sum(price * F.col("copies")).alias("revenue")
+        found = items.join(F.broadcast(open_orders), same).groupBy("l_orderkey", "o_orderdate", *extra).agg(revenue)
+    else:
+        earned = items.groupBy("l_orderkey").agg(F.sum(price).alias("earned"))
+        found = open_orders.join(earned, same).withColumn("revenue", F.col("earned") * F.col("copies"))
+    return found.select("l_orderkey", "revenue", "o_orderdate", *extra)
 
 
 def q3_top(revenue: DataFrame, top: int = TOP) -> DataFrame:
@@ -59,26 +62,28 @@ def q3_count(customer: DataFrame, orders: DataFrame, lineitem: DataFrame) -> Dat
     the counts of keys that meet and to add up the products. Splits are measured on the relations
     as they are, so that nothing is aggregated twice.
     """
-    return _total(_order_weights(customer, orders), _per_key(lineitem, "l_orderkey", as_name="items"))
+    items = lineitem.select("l_orderkey", F.lit(1).cast("bigint").alias("items"))
+    return _total(customer, orders, items)
 
 
-def _order_weights(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    """How many customer-order pairs each order key stands for."""
+def _total(customer: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+    """The sum of ``items`` over all customer-order-item triples."""
     on = [("c_custkey", "o_custkey")]
     customer, orders = customer.select("c_custkey"), orders.select("o_orderkey", "o_custkey")
     split = choose_split(customer, orders, on, "auto")
-    customers = _per_key(customer, "c_custkey", as_name="customers")
-    return (
-        equi_join(customers, orders, on, split=split)
+    weights = (
+        equi_join(_per_key(customer, "c_custkey", as_name="customers"), orders, on, split=split)
         .groupBy("o_orderkey")
         .agg(F.sum("customers").alias("order_weight"))
     )
-
-
-def _total(order_weights: DataFrame, items: DataFrame) -> DataFrame:
-    product = F.col("order_weight") * F.col("items")
-    met = order_weights.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    return met.agg(F.coalesce(F.sum(product), F.lit(0)).alias("n"))
+    # There is at most one weight per row of the orders, whose size is checked here. Beyond it, items
+    # are added up per order first, through the exchange that the join needs anyway.
+    if fits_broadcast(orders):
+        weights = F.broadcast(weights)
+    else:
+        items = items.groupBy("l_orderkey").agg(F.sum("items").alias("items"))
+    met = items.join(weights, F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.agg(F.coalesce(F.sum(F.col("order_weight") * F.col("items")), F.lit(0)).alias("n"))
 
 
 def q5_count(
@@ -91,30 +96,29 @@ def q5_count(
 ) -> DataFrame:
     """Size of the six-way chain down to region, counted like ``q3_count``.
 
-    Suppliers are weighed by the nations and regions they belong to, line items by their supplier,
-    and the sums per order then meet the orders.
+    Suppliers are weighed by the nations and regions they belong to, and line items by their supplier.
     """
     regions = _per_key(region, "r_regionkey", as_name="regions")
-    nations = _per_key(nation, "n_nationkey", "n_regionkey", as_name="nations")
     nation_weights = (
-        equi_join(nations, regions, [("n_regionkey", "r_regionkey")])
+        equi_join(nation.select("n_nationkey", "n_regionkey"), regions, [("n_regionkey", "r_regionkey")])
         .groupBy("n_nationkey")
-        .agg(F.sum(F.col("nations") * F.col("regions")).alias("nation_weight"))
+        .agg(F.sum("regions").alias("nation_weight"))
     )
     supplier, lineitem = supplier.select("s_suppkey", "s_nationkey"), lineitem.select("l_orderkey", "l_suppkey")
+    if fits_broadcast(nation):
+        nation_weights = F.broadcast(nation_weights)
     in_nation = [("s_nationkey", "n_nationkey")]
     supplier_weights = (
         equi_join(supplier, nation_weights, in_nation, split=choose_split(supplier, nation, in_nation, "auto"))
         .groupBy("s_suppkey")
-        .agg(F.sum("nation_weight").alias("supplier_weight"))
+        .agg(F.sum("nation_weight").alias("items"))
     )
+    if fits_broadcast(supplier):
+        supplier_weights = F.broadcast(supplier_weights)
     by_supplier = [("l_suppkey", "s_suppkey")]
-    weighed = (
-        equi_join(lineitem, supplier_weights, by_supplier, split=choose_split(lineitem, supplier, by_supplier, "auto"))
-        .groupBy("l_orderkey")
-        .agg(F.sum("supplier_weight").alias("items"))
-    )
-    return _total(_order_weights(customer, orders), weighed)
+    split = choose_split(lineitem, supplier, by_supplier, "auto")
+    items = equi_join(lineitem, supplier_weights, by_supplier, split=split).select("l_orderkey", "items")
+    return _total(customer, orders, items)
 
 
 @dataclass(frozen=True)
@@ -127,6 +131,10 @@ class ChainSplits:
     supplier_nation: Split = Split()
     nation_region: Split = Split()
 
+    @property
+    def any(self) -> bool:
+        return not all(split.whole for split in vars(self).values())
+
 
 def chain_splits(
     customer: DataFrame,

@@ -1,4 +1,4 @@
-from conflux.streaming.joins import stored_theta_join, stream_join, stream_window_counts
+from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.progress import PROGRESS_COLUMNS, flatten_progress, progress_table
 from conflux.streaming.run import Run, run_batches, run_to_console, run_to_table
 from conflux.streaming.store import BatchFolder, latest, store_stream
@@ -14,6 +14,7 @@ __all__ = [
     "run_to_console",
     "run_to_table",
     "store_stream",
+    "stored_join",
     "stored_theta_join",
     "stream_join",
     "stream_window_counts",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,25 +42,25 @@ def stream_join(
     raise ValueError(f"how is 'equi' or 'cross', not {how!r}")
 
 
-def stored_theta_join(
+def stored_join(
     left: DataFrame,
     right: DataFrame,
-    predicate: Predicate,
+    join: Callable[[DataFrame, DataFrame], DataFrame],
     name: str,
     run: Run = Run(),
-    side: str | None = "auto",
     folder: str | None = None,
 ) -> DataFrame:
-    """Theta join of two streams that keeps what has come in as files instead of join state.
+    """Inner join of two streams that keeps what has come in as files instead of join state.
 
-    Each micro-batch is stored and then joined with all that is stored on the other side, as a batch
-    join: the plan is chosen anew each time, from the sizes at that time.
+    Each micro-batch is stored and then joined with all that is stored on the other side, by the batch
+    join ``join(left, right)``: broadcasts and splits are chosen anew each time, from the rows there are.
     """
     spark = left.sparkSession
     folder = folder or work_folder(spark, name)
     lefts, rights, pairs = (BatchFolder(f"{folder}/{part}") for part in ("left", "right", "rows"))
     left_schema, right_schema = left.schema, right.schema
-    result_schema = theta_join(left, right, predicate, side=None).schema
+    empty = [spark.createDataFrame([], schema) for schema in (left_schema, right_schema)]
+    result_schema = join(*empty).schema
 
     def tagged(df: DataFrame, mine: str, other: str, other_schema) -> DataFrame:
         return df.select(
@@ -78,15 +78,25 @@ def stored_theta_join(
         new_right = rights.at(session, right_schema, batch_id)
         old_left = lefts.before(session, left_schema, batch_id)
         all_right = rights.upto(session, right_schema, batch_id)
-        found = theta_join(new_left, all_right, predicate, side).unionByName(
-            theta_join(old_left, new_right, predicate, side)
-        )
-        pairs.write(found, batch_id)
+        pairs.write(join(new_left, all_right).unionByName(join(old_left, new_right)), batch_id)
 
     run_batches(both, name, each, run, folder=folder)
     return pairs.read(spark, result_schema).drop("batch_id")
 
 
+def stored_theta_join(
+    left: DataFrame,
+    right: DataFrame,
+    predicate: Predicate,
+    name: str,
+    run: Run = Run(),
+    side: str | None = "auto",
+    folder: str | None = None,
+) -> DataFrame:
+    """``stored_join`` on a predicate."""
+    return stored_join(left, right, lambda l, r: theta_join(l, r, predicate, side), name, run, folder)
+
+
 def stream_window_counts(
     df: DataFrame,
     ts: str,

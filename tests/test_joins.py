@@ -102,6 +102,7 @@ def test_running_totals(spark, values, parts):
         (k, present.count(k), sum(v < k for v in present)) for k in set(present)
     )
     assert Counter((r["k"], r["n"], r["n_before"]) for r in found.collect()) == expected
+    assert all(r["n_before"] + r["n"] + r["n_after"] == len(present) for r in found.collect())
 
 
 def test_empty_sides(spark):
@@ -228,6 +229,15 @@ def test_keys_of_different_kind_are_refused_when_measured(spark):
         measure(left, relation(spark, [1], "b"), [("a", "b")])
 
 
+def test_profiles_of_pairs():
+    from conflux.operators.split import Profile, split_for
+
+    left, right = Profile(1000, 10, {1: 500}), Profile(200, 10, {1: 20, 2: 110})
+    pairs = left.paired(right)
+    assert pairs.top == {1: 500 * 20, 2: 100 * 110}
+    assert split_for(pairs, right, 8, rows_per_cell=2000) == Split(1, 1, ((1, 5, 1), (2, 6, 1)))
+
+
 def test_auto_measures_only_what_cannot_be_broadcast(spark, monkeypatch):
     seen = []
     monkeypatch.setattr("conflux.operators.equi.measure", lambda *a: seen.append(a) or Split(2, 2))

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL, bag, plan
+from conftest import SMALL, bag, plan, settings
 from pyspark.sql import functions as F
 
 from conflux.operators import Split, equi_join, interval_join
@@ -47,8 +47,16 @@ def test_counts_shuffle_lineitem_once_per_key(spark, no_broadcast):
     assert sum("l_" in keys for keys in q5) == 2
 
 
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
 @pytest.mark.parametrize("copies", [1, 2])
-def test_counts_and_revenue_keep_copies_of_rows(spark, copies):
+def test_counts_and_revenue_keep_copies_of_rows(spark, copies, threshold, monkeypatch):
+    # Without broadcasts, and with cells this small, the joins are split as well.
+    monkeypatch.setattr("conflux.operators.split.MIN_ROWS_PER_CELL", 20)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": threshold}):
+        check_counts_and_revenue(spark, copies)
+
+
+def check_counts_and_revenue(spark, copies):
     def repeated(df):
         return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("i")).drop("i")
 

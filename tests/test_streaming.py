@@ -17,6 +17,7 @@ from conflux.streaming import (
     run_to_console,
     run_to_table,
     store_stream,
+    stored_join,
     stored_theta_join,
     stream_join,
     stream_window_counts,
@@ -99,6 +100,13 @@ def test_stored_theta(spark, cut, side):
     assert bag(found) == bag(theta_join(a, b, less))
 
 
+def test_stored_equi(spark, cut):
+    a, b = ints(spark, A, "a"), ints(spark, B + A, "b")
+    on = [("a", "b")]
+    found = stored_join(cut("a", a, 3), cut("ba", b, 4), lambda l, r: equi_join(l, r, on, split=Split(2, 2)), "t", FEW)
+    assert bag(found) == bag(equi_join(a, b, on))
+
+
 def test_stored_theta_goes_on_from_its_folder(spark, tmp_path):
     a, b = ints(spark, A, "a"), ints(spark, B, "b")
     cut_in_files(a.limit(3), tmp_path / "a", 2)
