@@ -22,7 +22,7 @@ from conflux.sources.files import delimited_table, int_relation, table, table_st
 from conflux.sources.generators import random_keys
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.progress import progress_table, save_progress
-from conflux.streaming.run import run_batches, run_to_table
+from conflux.streaming.run import Run, run_batches, run_to_table
 from conflux.streaming.store import BatchFolder, store_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +264,9 @@ def equi_split(spark, folder):
     return equi_join(clicks, purchases, on, split=split).select("click_event_id", "purchase_event_id")
 
 
+_Q3_TABLES = ("customer", "orders", "lineitem")
+_Q5_TABLES = (*_Q3_TABLES, "supplier", "nation", "region")
+
 _Q3_FROM = "from customer, orders, lineitem where c_custkey = o_custkey and l_orderkey = o_orderkey"
 _Q5_FROM = """from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey
     join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
@@ -276,12 +279,40 @@ def _tpch(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
 
 @query(f"select count(*) as n {_Q3_FROM}")
 def q3_join_count(spark, folder):
-    return tpch.q3_count(*_tpch(spark, folder, "customer", "orders", "lineitem"))
+    return tpch.q3_count(*_tpch(spark, folder, *_Q3_TABLES))
 
 
 @query(f"select count(*) as n {_Q5_FROM}")
 def q5_join_count(spark, folder):
-    return tpch.q5_count(*_tpch(spark, folder, "customer", "orders", "lineitem", "supplier", "nation", "region"))
+    return tpch.q5_count(*_tpch(spark, folder, *_Q5_TABLES))
+
+
+_CHAIN_COLUMNS = {
+    "customer": ("c_custkey",),
+    "orders": ("o_orderkey", "o_custkey"),
+    "lineitem": ("l_orderkey", "l_suppkey"),
+    "supplier": ("s_suppkey", "s_nationkey"),
+    "nation": ("n_nationkey", "n_regionkey"),
+    "region": ("r_regionkey",),
+}
+
+
+def _chain_keys(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    return [_keys(spark, folder, name, *_CHAIN_COLUMNS[name]) for name in names]
+
+
+_Q3_KEYS = ("c_custkey", "o_orderkey", "l_suppkey")
+_Q5_KEYS = ("c_custkey", "o_orderkey", "s_suppkey", "n_nationkey", "r_regionkey")
+
+
+@query(f"select {', '.join(_Q3_KEYS)} {_Q3_FROM}")
+def q3_chain(spark, folder):
+    return tpch.q3_chain(*_chain_keys(spark, folder, *_Q3_TABLES)).select(*_Q3_KEYS)
+
+
+@query(f"select {', '.join(_Q5_KEYS)} {_Q5_FROM}")
+def q5_chain(spark, folder):
+    return tpch.q5_chain(*_chain_keys(spark, folder, *_Q5_TABLES)).select(*_Q5_KEYS)
 
 
 _Q3_SQL = """select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue,
@@ -302,12 +333,12 @@ def _q3_shown(revenue: DataFrame) -> DataFrame:
 
 @query(_Q3_SQL)
 def q3_revenue(spark, folder):
-    return _q3_shown(tpch.q3_revenue(*_tpch(spark, folder, "customer", "orders", "lineitem")))
+    return _q3_shown(tpch.q3_revenue(*_tpch(spark, folder, *_Q3_TABLES)))
 
 
 @query(_Q3_SQL + " order by sum(l_extendedprice * (1 - l_discount)) desc, orders.o_orderdate, l_orderkey limit 10")
 def q3_topk(spark, folder):
-    return _q3_shown(tpch.q3_top(tpch.q3_revenue(*_tpch(spark, folder, "customer", "orders", "lineitem"))))
+    return _q3_shown(tpch.q3_top(tpch.q3_revenue(*_tpch(spark, folder, *_Q3_TABLES))))
 
 
 _GE_SQL = "select s_suppkey, n_nationkey from supplier join nation on s_suppkey >= n_nationkey"
@@ -552,33 +583,22 @@ def stream_cross(spark, folder):
     return run_to_table(pairs.select("n_nationkey", "s_suppkey"), "stream-cross")
 
 
-_STREAMED_COLUMNS = {
-    "customer": ("c_custkey",),
-    "orders": ("o_orderkey", "o_custkey"),
-    "lineitem": ("l_orderkey", "l_suppkey"),
-    "supplier": ("s_suppkey", "s_nationkey"),
-    "nation": ("n_nationkey", "n_regionkey"),
-    "region": ("r_regionkey",),
-}
-
-
 def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[DataFrame], tpch.ChainSplits]:
-    at_rest = [_keys(spark, folder, name, *_STREAMED_COLUMNS[name]) for name in names]
-    splits = tpch.chain_splits(*at_rest)
+    splits = tpch.chain_splits(*_chain_keys(spark, folder, *names))
     streams = [
-        _streamed_rows(spark, folder, name, *_STREAMED_COLUMNS[name])
+        _streamed_rows(spark, folder, name, *_CHAIN_COLUMNS[name])
         if splits.any
-        else _streamed(spark, folder, name, *_STREAMED_COLUMNS[name])
+        else _streamed(spark, folder, name, *_CHAIN_COLUMNS[name])
         for name in names
     ]
     return streams, splits
 
 
-@query(f"select c_custkey, o_orderkey, l_suppkey {_Q3_FROM}")
+@query(f"select {', '.join(_Q3_KEYS)} {_Q3_FROM}")
 def stream_q3(spark, folder):
-    streams, splits = _chain_inputs(spark, folder, "customer", "orders", "lineitem")
-    joined = tpch.q3_stream(*streams, splits=splits)
-    return run_to_table(joined.select("c_custkey", "o_orderkey", "l_suppkey"), "stream-q3")
+    streams, splits = _chain_inputs(spark, folder, *_Q3_TABLES)
+    joined = tpch.q3_chain(*streams, splits=splits)
+    return run_to_table(joined.select(*_Q3_KEYS), "stream-q3")
 
 
 @query(
@@ -586,22 +606,22 @@ def stream_q3(spark, folder):
     join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey"""
 )
 def stream_q5_cols(spark, folder):
-    streams, splits = _chain_inputs(spark, folder, "customer", "orders", "lineitem", "supplier")
-    joined = tpch.q5_stream(*streams, splits=splits)
+    streams, splits = _chain_inputs(spark, folder, *_Q5_TABLES[:4])
+    joined = tpch.q5_chain(*streams, splits=splits)
     return run_to_table(joined.select("c_custkey", "o_orderkey", "s_suppkey", "s_nationkey"), "stream-q5-cols")
 
 
-@query(f"select c_custkey, o_orderkey, s_suppkey, n_nationkey, r_regionkey {_Q5_FROM}")
+@query(f"select {', '.join(_Q5_KEYS)} {_Q5_FROM}")
 def stream_q5(spark, folder):
-    names = ("customer", "orders", "lineitem", "supplier", "nation", "region")
-    streams, splits = _chain_inputs(spark, folder, *names)
-    joined = tpch.q5_stream(*streams, splits=splits)
-    columns = ("c_custkey", "o_orderkey", "s_suppkey", "n_nationkey", "r_regionkey")
-    return run_to_table(joined.select(*columns), "stream-q5")
+    streams, splits = _chain_inputs(spark, folder, *_Q5_TABLES)
+    joined = tpch.q5_chain(*streams, splits=splits)
+    return run_to_table(joined.select(*_Q5_KEYS), "stream-q5")
 
 
 # The files are read as one micro-batch, so no row is late whatever their order.
 _LATENESS = "1 hour"
+# An inner join has nothing to add once all rows are read.
+_ONE_BATCH = Run(closing_batch=False)
 
 
 @query(f"select {_IDS2} {_INTERVAL_SQL}")
@@ -612,7 +632,7 @@ def stream_interval_join(spark, folder):
     pairs = _near(
         clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=split
     )
-    return run_to_table(pairs.select(*_EVENT_IDS[:2]), "stream-interval")
+    return run_to_table(pairs.select(*_EVENT_IDS[:2]), "stream-interval", _ONE_BATCH)
 
 
 @query(f"select {_IDS3} {_INTERVAL3_SQL}")
@@ -629,14 +649,14 @@ def stream_interval_join3(spark, folder):
         (views.withWatermark("view_ts", _LATENESS), "view_ts"),
     ]
     triples = interval_chain(clicks.withWatermark("click_ts", _LATENESS), "click_ts", others, WITHIN, splits)
-    return run_to_table(triples.select(*_EVENT_IDS), "stream-interval3")
+    return run_to_table(triples.select(*_EVENT_IDS), "stream-interval3", _ONE_BATCH)
 
 
 @query(_WINDOW_SQL)
 def stream_window_count(spark, folder):
     events = table_stream(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     return stream_window_counts(
-        events, "ts", ["event_type"], "10 minutes", "5 minutes", _LATENESS, "stream-window-count"
+        events, "ts", ["event_type"], "10 minutes", "5 minutes", _LATENESS, "stream-window-count", _ONE_BATCH
     )
 
 
@@ -666,12 +686,30 @@ def batch_stats(spark, folder):
     return spark.read.parquet(reports.path).select(F.col("batch_id").cast("bigint"), "size", "latency_ms")
 
 
-@query()
-def progress_flatten(spark, folder):
+def _progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Progress of a streaming join of customers and orders."""
     customer = _streamed(spark, folder, "customer", "c_custkey")
     orders = _streamed(spark, folder, "orders", "o_orderkey", "o_custkey")
     pairs = stream_join(customer, orders, on=[("c_custkey", "o_custkey")])
     base = work_folder(spark, "progress")
     rows = BatchFolder(f"{base}/rows")
-    done = run_batches(pairs, "progress", rows.write, folder=base)
+    done = run_batches(pairs, "progress", rows.write, Run(reports=10_000), folder=base)
     return progress_table(spark, save_progress(done, f"{base}/reports"))
+
+
+@query()
+def progress_flatten(spark, folder):
+    return _progress(spark, folder)
+
+
+@query(
+    """select (select count(*) from customer) + (select count(*) from orders) as rows_in,
+    (select count(*) from customer) as rows_in_a, (select count(*) from orders) as rows_in_b"""
+)
+def progress_rows(spark, folder):
+    """Rows read, over all micro-batches: the part of the progress reports that does not depend on the clock."""
+    return _progress(spark, folder).agg(
+        F.sum("numInputRows").alias("rows_in"),
+        F.sum("numInputRowsA").alias("rows_in_a"),
+        F.sum("numInputRowsB").alias("rows_in_b"),
+    )

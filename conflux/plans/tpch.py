@@ -157,14 +157,19 @@ def chain_splits(
     return ChainSplits(**splits)
 
 
-def q3_stream(
-    customer: DataFrame, orders: DataFrame, lineitem: DataFrame, splits: ChainSplits = ChainSplits(), stamps: bool = False
+def q3_chain(
+    customer: DataFrame,
+    orders: DataFrame,
+    lineitem: DataFrame,
+    splits: ChainSplits | None = None,
+    stamps: bool = False,
 ) -> DataFrame:
-    """Customer x orders x lineitem over streams.
+    """Customer x orders x lineitem, over tables or streams.
 
     ``stamps`` adds the times of the micro-batches in which the customer-order pair (``pair_ts``) and
-    the result (``emit_ts``) came out.
+    the result (``emit_ts``) came out. Tables are measured when no splits are given.
     """
+    splits = splits or _splits_of(customer, orders, lineitem)
     pairs = equi_join(customer, orders, [("c_custkey", "o_custkey")], split=splits.customer_orders)
     if stamps:
         pairs = pairs.withColumn("pair_ts", F.current_timestamp())
@@ -172,24 +177,31 @@ def q3_stream(
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
 
 
-def q5_stream(
+def q5_chain(
     customer: DataFrame,
     orders: DataFrame,
     lineitem: DataFrame,
     supplier: DataFrame,
     nation: DataFrame | None = None,
     region: DataFrame | None = None,
-    splits: ChainSplits = ChainSplits(),
+    splits: ChainSplits | None = None,
     stamps: bool = False,
 ) -> DataFrame:
-    """The chain to supplier, or to nation and region where these are given, over streams.
+    """The chain to supplier, or to nation and region where these are given, over tables or streams.
 
     Nations are joined with regions, and suppliers with those, before they meet the line items: the
     few nation and region keys would otherwise each gather a share of all line items.
     """
-    joined = q3_stream(customer, orders, lineitem, splits, stamps).drop("emit_ts")
+    splits = splits or _splits_of(customer, orders, lineitem, supplier, nation, region)
+    joined = q3_chain(customer, orders, lineitem, splits, stamps).drop("emit_ts")
     if nation is not None and region is not None:
         places = equi_join(nation, region, [("n_regionkey", "r_regionkey")], split=splits.nation_region)
         supplier = equi_join(supplier, places, [("s_nationkey", "n_nationkey")], split=splits.supplier_nation)
     joined = equi_join(joined, supplier, [("l_suppkey", "s_suppkey")], split=splits.lineitem_supplier)
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
+
+
+def _splits_of(*inputs: DataFrame | None) -> ChainSplits:
+    if any(df is not None and df.isStreaming for df in inputs):
+        return ChainSplits()
+    return chain_splits(*inputs)

@@ -32,6 +32,8 @@ class Run:
     partitions  state partitions, fixed for the life of a checkpoint; None takes the session's
                 shuffle partitions, on a local session one per core
     spill       keep join state in RocksDB on the executors' disks rather than in JVM memory
+    closing_batch  whether a last micro-batch without rows may follow, in which Spark acts on the final
+                watermark; needed where windows are only given out once they are closed
     reports     how many progress reports Spark is to hold for the query
     """
 
@@ -39,6 +41,7 @@ class Run:
     timeout: float | None = None
     partitions: int | None = None
     spill: bool = True
+    closing_batch: bool = True
     reports: int | None = None
 
 
@@ -66,6 +69,8 @@ def start(writer: DataStreamWriter, spark: SparkSession, run: Run) -> StreamingQ
     settings = {}
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
+    if not run.closing_batch:
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
     if run.spill:
         settings.update(_SPILLING)
     if run.reports:

@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL, bag, cut_in_files
 from pyspark.sql import functions as F
 
+from conflux.functions import stamped
 from conflux.operators import Split, equi_join, interval_chain, interval_join, theta_join, window_counts
 from conflux.plans import tpch
 from conflux.sources import file_stream, int_relation, table
@@ -170,8 +171,8 @@ def test_q3_in_any_order_of_arrival(spark, cut, order):
         cut("orders", orders, 2),
         cut("items", items, 1),
     )
-    found = run_to_table(tpch.q3_stream(*streams, stamps=True), "t", FEW)
-    expected = tpch.q3_stream(customer, orders, items, tpch.ChainSplits(Split(), Split()))
+    found = run_to_table(tpch.q3_chain(*streams, stamps=True), "t", FEW)
+    expected = tpch.q3_chain(customer, orders, items, tpch.ChainSplits(Split(), Split()))
     assert bag(found.drop("pair_ts", "emit_ts")) == bag(expected)
     assert found.where("pair_ts > emit_ts").isEmpty()
 
@@ -189,9 +190,9 @@ def test_q5_with_split_joins(spark, cut):
     at_rest = [spark.createDataFrame(d.collect(), d.schema) for d in at_rest]
     streams = [cut(f"q5-{n}", d, 2 if n in ("nation", "lineitem") else 1) for n, d in zip(names, at_rest)]
     splits = tpch.ChainSplits(lineitem_supplier=Split(2, 1), supplier_nation=Split(3, 1), nation_region=Split(1, 2))
-    found = run_to_table(tpch.q5_stream(*streams, splits=splits), "t", FEW)
+    found = run_to_table(tpch.q5_chain(*streams, splits=splits), "t", FEW)
     none = tpch.ChainSplits()
-    assert bag(found) == bag(tpch.q5_stream(*at_rest, splits=none))
+    assert bag(found) == bag(tpch.q5_chain(*at_rest, splits=none))
 
 
 # ---- time --------------------------------------------------------------------------------------
@@ -237,6 +238,16 @@ def test_interval_chain(spark, cut):
     assert bag(run_to_table(found, "t", FEW)) == bag(expected)
 
 
+@pytest.mark.parametrize("closing_batch", [True, False])
+def test_interval_join_by_time_of_arrival(spark, cut, closing_batch):
+    a, b = ints(spark, A, "a"), ints(spark, B, "b")
+    l = stamped(cut("a", a, 3), "a_ts").withWatermark("a_ts", "1 minute")
+    r = stamped(cut("b", b, 2), "b_ts").withWatermark("b_ts", "1 minute")
+    found = interval_join(l, r, "a_ts", "b_ts", WITHIN, split=Split())
+    result = run_to_table(found, "t", Run(partitions=2, closing_batch=closing_batch))
+    assert bag(result.select("a", "b")) == bag(a.crossJoin(b))
+
+
 def test_window_counts_over_batches(spark, cut):
     a = stamps(spark, range(0, 9000, 130), "a").withColumn("kind", F.col("a_id") % 2)
     stream = cut("wa", a, 4, "a_ts")
