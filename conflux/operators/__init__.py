@@ -1,9 +1,9 @@
 from conflux.operators.equi import equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import interval_chain, interval_join, window_counts
-from conflux.operators.split import Split, measure
+from conflux.operators.split import Split, grid_shape, measure
 from conflux.operators.summary import equi_join_summary, join_summary
-from conflux.operators.theta import cross_join, grid_join, grid_shape, theta_join
+from conflux.operators.theta import cross_join, grid_join, theta_join
 
 __all__ = [
     "Split",

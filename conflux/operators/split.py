@@ -26,6 +26,11 @@ TOP_KEYS = 64
 SKETCH_ITEMS = 4096
 MIN_ROWS_PER_CELL = 1_000_000
 
+# Candidate pairs one cell is meant to check: in a grid over all rows, and in the grid of one key,
+# which has but one cell as long as it is below that.
+PAIRS_PER_CELL = 10_000_000
+PAIRS_PER_KEY_CELL = 100_000_000
+
 ROW, COL = "__cell_row", "__cell_col"
 
 Pairs = Sequence[tuple[str, str]]
@@ -123,6 +128,30 @@ def _key_hashes(left: DataFrame, right: DataFrame, on: Pairs) -> tuple[Column, C
     return hashes
 
 
+def grid_shape(n_left: float, n_right: float, cells: int) -> tuple[int, int]:
+    """Rows and columns of a grid of about ``cells`` cells that copies as few rows as possible.
+
+    A grid copies ``cols * n_left + rows * n_right`` rows; for a given number of cells that is least
+    when rows and columns are in the proportion of the inputs.
+    """
+    n_left, n_right = math.ceil(n_left), math.ceil(n_right)
+    if min(n_left, n_right) == 0:
+        return 1, 1
+    rows = round(math.sqrt(cells * n_left / n_right))
+    rows = min(max(1, rows), cells, n_left)
+    cols = min(max(1, math.ceil(cells / rows)), n_right)
+    if cols == n_right:
+        rows = min(max(1, math.ceil(cells / cols)), n_left)
+    return rows, cols
+
+
+def cells_for(n_left: int, n_right: int, cores: int) -> int:
+    """Cells for a grid over all rows: enough to keep every core busy and to let even work fall out of many
+    small cells, whose rows stay in the processor's cache, as far as there are pairs to fill them."""
+    pairs = n_left * n_right
+    return max(cores, min(16 * cores, pairs // 100_000), math.ceil(pairs / PAIRS_PER_CELL))
+
+
 @dataclass(frozen=True)
 class Profile:
     """How the rows of an input are spread over its keys: their number, the keys' number, the top keys."""
@@ -173,20 +202,27 @@ def profiles(*inputs: tuple[DataFrame, Sequence[str]]) -> list[Profile]:
 
 
 def split_for(left: Profile, right: Profile, cores: int, rows_per_cell: int | None = None) -> Split:
-    """A split that gives no cell much more than ``rows_per_cell`` rows of one key of either side.
+    """A split that gives no cell much more than ``rows_per_cell`` rows of one key of either side, nor
+    many more than PAIRS_PER_KEY_CELL pairs of them to check.
 
-    By default that is the share of a core, but not less than MIN_ROWS_PER_CELL.
+    By default, the rows are the share of a core, but not less than MIN_ROWS_PER_CELL.
     """
     if rows_per_cell is None:
         rows_per_cell = max(MIN_ROWS_PER_CELL, int(left.rows + right.rows) // (2 * cores))
 
-    def pieces(count: float) -> int:
-        return max(1, math.ceil(count / rows_per_cell))
+    def grid_of(n_left: float, n_right: float) -> tuple[int, int]:
+        rows, cols = (max(1, math.ceil(n / rows_per_cell)) for n in (n_left, n_right))
+        cells = math.ceil(n_left * n_right / PAIRS_PER_KEY_CELL)
+        if cells <= rows * cols:
+            return rows, cols
+        shape = grid_shape(n_left, n_right, cells)
+        return max(rows, shape[0]), max(cols, shape[1])
 
-    base = pieces(left.mean), pieces(right.mean)
+    base = grid_of(left.mean, right.mean)
     heavy = []
     for key in sorted(left.top.keys() | right.top.keys()):
-        grid = max(base[0], pieces(left.top.get(key, 0))), max(base[1], pieces(right.top.get(key, 0)))
+        own = grid_of(left.count(key), right.count(key))
+        grid = max(base[0], own[0]), max(base[1], own[1])
         if grid != base:
             heavy.append((key, *grid))
     return Split(*base, tuple(heavy))

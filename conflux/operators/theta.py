@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflux.functions.columns import Predicate, condition_of, require_distinct_names
-from conflux.operators.split import Split, broadcast_limit, fits_broadcast, measured, meet, parallelism
-
-# Candidate pairs one grid cell is meant to check.
-PAIRS_PER_CELL = 200_000_000
+from conflux.operators.split import (
+    Split,
+    broadcast_limit,
+    cells_for,
+    fits_broadcast,
+    grid_shape,
+    measured,
+    meet,
+    parallelism,
+)
 
 # Beyond this, a side named by the caller is not broadcast either.
 HARD_BROADCAST_BYTES = 1 << 30
 
 
-def grid_shape(n_left: int, n_right: int, cells: int) -> tuple[int, int]:
-    """Rows and columns of a grid of about ``cells`` cells that copies as few rows as possible.
-
-    A grid copies ``cols * n_left + rows * n_right`` rows; for a given number of cells that is least
-    when rows and columns are in the proportion of the inputs.
-    """
-    if min(n_left, n_right) == 0:
-        return 1, 1
-    rows = round(math.sqrt(cells * n_left / n_right))
-    rows = min(max(1, rows), cells, n_left)
-    cols = min(max(1, math.ceil(cells / rows)), n_right)
-    if cols == n_right:
-        rows = min(max(1, math.ceil(cells / cols)), n_left)
-    return rows, cols
-
-
-def cells_for(n_left: int, n_right: int, cores: int) -> int:
-    """Enough cells to bound the pairs checked in one, and to keep every core busy."""
-    return max(cores, math.ceil(n_left * n_right / PAIRS_PER_CELL))
-
-
 def measured_shape(left: DataFrame, right: DataFrame) -> tuple[int, int]:
     """The grid for two tables, from their row counts."""
     (n_left, _), (n_right, _) = measured(left.select(), right.select())

@@ -235,6 +235,9 @@ def test_profiles_of_pairs():
     left, right = Profile(1000, 10, {1: 500}), Profile(200, 10, {1: 20, 2: 110})
     pairs = left.paired(right)
     assert pairs.top == {1: 500 * 20, 2: 100 * 110}
+    # A key of 900,000 x 90,000 rows has 810 times the pairs one cell is meant to check.
+    large = split_for(Profile(10**6, 2, {1: 900_000}), Profile(10**5, 2, {1: 90_000}), 8, 10**6)
+    assert large == Split(50, 5, ((1, 90, 9),))
     assert split_for(pairs, right, 8, rows_per_cell=2000) == Split(1, 1, ((1, 5, 1), (2, 6, 1)))
 
 
