@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conflux.llm.decontaminate import contamination
 from conflux.llm.langid import identify, train
+from conflux.llm.line_dedup import SITES, without_boilerplate
+from conflux.llm.mixing import mixed
 from conflux.llm.simhash import near_copies
 from conflux.sources.files import table
 
@@ -17,21 +20,63 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
 
+    return register
 
-@query
+
+LINES_SQL = f"""
+with lines as (
+  select doc_id, source, n, line
+  from (select doc_id, source, unnest(string_split(text, chr(10))) as line,
+               unnest(range(len(string_split(text, chr(10))))) as n from documents)),
+common as (
+  select line, min(struct_pack(a := doc_id, b := n)) as first
+  from lines where trim(line) <> '' group by line having count(distinct source) >= {SITES}),
+marked as (
+  select l.doc_id, l.n, l.line, c.line is not null and struct_pack(a := l.doc_id, b := l.n) <> c.first as gone
+  from lines l left join common c on l.line = c.line)"""
+
+
+@query(
+    LINES_SQL
+    + """
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+       md5(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_md5
+from marked group by doc_id"""
+)
+def op1_line_dedup(spark, folder):
+    found = without_boilerplate(table(spark, folder, "documents"))
+    kept = F.md5(F.col("kept").cast("binary")).alias("kept_md5")
+    return found.select("row.doc_id", "n_lines", "n_removed", kept)
+
+
+@query()
 def op4_simhash(spark, folder):
     found = near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-@query
+@query()
 def op8_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = train(docs.where(~held_out))
     found = identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op9_mixing(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixed(docs).select("row.doc_id", "row.source", "slot", "position")
+
+
+@query()
+def op5_decontaminate(spark, folder):
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
