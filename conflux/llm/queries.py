@@ -12,6 +12,7 @@ from conflux.llm.langid import identify, train
 from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
 from conflux.llm.simhash import near_copies
+from conflux.llm.url_rules import judged, rules_table
 from conflux.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +81,39 @@ def op9_mixing(spark, folder):
 @query()
 def op5_decontaminate(spark, folder):
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# The rules of the query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+URL_SQL = """
+with rules(action, host, path) as (values {rules}),
+urls as (
+  select page_id, url,
+         case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+  from pages),
+parts as (
+  select page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+  from urls),
+fit as (
+  select p.page_id, p.host, p.path, r.action, r.host || r.path as rule,
+         row_number() over (partition by p.page_id order by length(r.host || r.path) desc) as n
+  from parts p left join rules r
+    on (p.host = r.host or p.host like '%.' || r.host) and starts_with(p.path, r.path))
+select page_id, host, path, rule, coalesce(action, 'allow') as verdict from fit where n = 1
+""".format(rules=", ".join(str((a, r.split("/", 1)[0], "/" + r.split("/", 1)[1])) for a, r in URL_RULES))
+
+
+@query(URL_SQL)
+def op6_url_rules(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    found = judged(pages, rules_table(spark, URL_RULES))
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
