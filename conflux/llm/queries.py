@@ -12,6 +12,7 @@ from conflux.llm.langid import identify, train
 from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
 from conflux.llm.simhash import near_copies
+from conflux.llm.surrogates import replaced
 from conflux.llm.url_rules import judged, rules_table
 from conflux.sources.files import table
 
@@ -117,3 +118,13 @@ def op6_url_rules(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url")
     found = judged(pages, rules_table(spark, URL_RULES))
     return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+# Any secret text; a corpus that is to keep its surrogates from run to run keeps its key.
+SURROGATE_KEY = "the key of the registered query"
+
+
+@query()
+def op7_surrogates(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return replaced(docs, SURROGATE_KEY).select("row.doc_id", "n_mentions", F.col("safe").alias("text"))
