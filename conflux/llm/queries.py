@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conflux.llm.decontaminate import contamination
+from conflux.llm.digest import with_next
 from conflux.llm.langid import identify, train
 from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
@@ -58,6 +59,11 @@ def op1_line_dedup(spark, folder):
     return found.select("row.doc_id", "n_lines", "n_removed", kept)
 
 
+@query()
+def op2_digest(spark, folder):
+    return with_next(table(spark, folder, "documents"))
+
+
 @query()
 def op4_simhash(spark, folder):
     found = near_copies(table(spark, folder, "documents"))
