@@ -14,6 +14,7 @@ from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
 from conflux.llm.simhash import near_copies
 from conflux.llm.surrogates import replaced
+from conflux.llm.token_count import Unigram, token_counts
 from conflux.llm.url_rules import judged, rules_table
 from conflux.sources.files import table
 
@@ -64,6 +65,11 @@ def op2_digest(spark, folder):
     return with_next(table(spark, folder, "documents"))
 
 
+@query()
+def op3_token_counts(spark, folder):
+    return token_counts(table(spark, folder, "documents"), Unigram.read())
+
+
 @query()
 def op4_simhash(spark, folder):
     found = near_copies(table(spark, folder, "documents"))
