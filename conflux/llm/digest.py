@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from conflux.llm.tables import chunks, saved, text_column
+from conflux.llm.tables import arrow_map, chunks, saved, text_column
 
 WINDOW = 16
 # A window is a feature if it is the rarest of so many neighbourhoods of SPAN windows in a row; of a text whose windows
@@ -217,7 +217,7 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     order = [F.col("id").asc_nulls_last(), F.xxhash64("text").asc()]
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = saved(rows.mapInArrow(run, schema), "digests")
+    found = saved(arrow_map(rows, run, schema), "digests")
     # Two rows for each task of the first pass.
     firsts = found.where("edge = 'first'").select(F.col("part").alias("first_part"), F.col("text").alias("following"))
     ordered = Window.orderBy("first_part")
@@ -225,5 +225,5 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
         F.lag("first_part").over(ordered).alias("after"), F.max("first_part").over(Window.partitionBy()).alias("end"), "following"
     ).select(F.coalesce("after", "end").alias("after"), "following")
     edges = found.where("edge = 'last'").select("id", "part", "text").join(firsts, F.col("part") == F.col("after"))
-    done = found.where("edge is null").unionByName(edges.select("id", "text", "following").mapInArrow(run_edges, schema))
+    done = found.where("edge is null").unionByName(arrow_map(edges.select("id", "text", "following"), run_edges, schema))
     return done.select(F.col("id").alias(id_column), *names)

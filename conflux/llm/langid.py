@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflux.llm.tables import text_column
+from conflux.llm.tables import arrow_map, text_column
 
 BUCKETS = 1 << 16
 PIECE = 250_000
@@ -127,7 +127,7 @@ def gram_counts(labelled: DataFrame, text: str = "text", label: str = "lang") ->
             )
 
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(label, text)
-    each = rows.mapInArrow(run, "label string, bucket long, n long")
+    each = arrow_map(rows, run, "label string, bucket long, n long")
     return each.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], schema.names
             )
 
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_column, text), run, schema)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -179,4 +179,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
             names, _, unsure = shared.value.predict(text_column(batch, text))
             yield batch.filter(pa.array([n != UNDETERMINED and not u for n, u in zip(names, unsure.tolist(), strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

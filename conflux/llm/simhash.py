@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conflux.llm.components import components
 from conflux.llm.golay import keys_of_short_words
-from conflux.llm.tables import packed, saved, text_column
+from conflux.llm.tables import arrow_map, packed, saved, text_column
 
 WORDS = 3
 SEED = 42
@@ -54,7 +54,7 @@ def simhash(docs: DataFrame, text_column_name: str = "text", words: int = WORDS)
             columns = [batch.column(i) for i in range(len(others))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps.view(np.int64))], schema.names)
 
-    return docs.select(*others, text_column_name).mapInArrow(run, schema)
+    return arrow_map(docs.select(*others, text_column_name), run, schema)
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
             keys, rows = golay_keys(values)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows])], ["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return arrow_map(fps.select("fp"), run, "key long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
@@ -162,7 +162,7 @@ def _linked(keyed: DataFrame, keys: list[str], distance: int, group: int) -> Dat
             yield from complete(rest_key, rest_fp)
 
     rows = keyed.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "u long, v long, key long")
+    return arrow_map(rows, run, "u long, v long, key long")
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:

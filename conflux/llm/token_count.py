@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from conflux.llm.tables import chunks, text_column
+from conflux.llm.tables import arrow_map, chunks, text_column
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -162,4 +162,4 @@ def token_counts(docs: DataFrame, model: Unigram, id_column: str = "doc_id", tex
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], schema.names
             )
 
-    return docs.select(id_column, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_column, text), run, schema)
