@@ -13,6 +13,7 @@ from conflux.llm.langid import identify, train
 from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
 from conflux.llm.simhash import near_copies
+from conflux.llm.substrings import without_repeats
 from conflux.llm.surrogates import replaced
 from conflux.llm.token_count import Unigram, token_counts
 from conflux.llm.url_rules import judged, rules_table
@@ -140,3 +141,8 @@ SURROGATE_KEY = "the key of the registered query"
 def op7_surrogates(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return replaced(docs, SURROGATE_KEY).select("row.doc_id", "n_mentions", F.col("safe").alias("text"))
+
+
+@query()
+def op10_substrings(spark, folder):
+    return without_repeats(table(spark, folder, "documents"))
