@@ -29,7 +29,7 @@ COVER = 16
 # Bytes before an anchor that a window with it may start at, and columns of a surrounding: the anchor is at LEFT.
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-# Rows that are sorted together; a bucket of over HOT rows is worked out by grouping windows instead.
+# Rows that are sorted together; a bucket of over HOT rows is worked out by grouping its windows instead, all tasks sharing it.
 ROWS, HOT = 16_384, 65_536
 CHUNK = 1_000_000
 
@@ -190,7 +190,7 @@ _RUN = "t1 long, t2 long, begin long, end long, hot long"
 _NAMES = ["t1", "t2", "begin", "end", "hot"]
 
 
-def _repeats(around: DataFrame) -> DataFrame:
+def _repeats(around: DataFrame, batch_rows: int, most: int) -> DataFrame:
     """Runs of repeated windows, ``begin`` to ``end``; of a bucket that is too large, only ``hot``, its gram."""
 
     def solved(t1, t2, pos, first, last, data) -> Iterator[pa.RecordBatch]:
@@ -212,8 +212,8 @@ def _repeats(around: DataFrame) -> DataFrame:
             return columns, [d for h in held for d in h[6]]
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
                 columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
                 data = part.column(6).to_pylist()
                 if over is not None:
@@ -224,14 +224,14 @@ def _repeats(around: DataFrame) -> DataFrame:
                     over = None
                 held.append([*columns, data])
                 size += len(data)
-                if size < ROWS:
+                if size < batch_rows:
                     continue
                 columns, data = joined()
                 open_from = int(np.argmax(columns[0] == columns[0][-1]))
                 if open_from:
                     yield from solved(*[c[:open_from] for c in columns[1:]], data[:open_from])
                 held, size = [[*[c[open_from:] for c in columns], data[open_from:]]], len(data) - open_from
-                if size > HOT:
+                if size > most:
                     over = int(columns[0][-1])
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([over])], _NAMES)
                     held, size = [], 0
@@ -266,13 +266,13 @@ def _windows(around: DataFrame) -> DataFrame:
     return arrow_map(around, run, "code binary, t1 long, t2 long, at long")
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
+def repeated_runs(texts: DataFrame, batch_rows: int = ROWS, most: int = HOT) -> DataFrame:
     """``t1``, ``t2``, ``begin``, ``end``: runs of window starts whose 400 bytes stand at another place too.
 
     ``texts`` has one row for each distinct text, with ``places``, its anchors that stand at two places or more.
     """
     around = _surroundings(texts)
-    found = saved(_repeats(around), "substring-runs")
+    found = saved(_repeats(around, batch_rows, most), "substring-runs")
     runs = found.where("hot is null").select("t1", "t2", "begin", "end")
     hot = found.where("hot is not null").select(F.col("hot").alias("gram")).distinct()
     if hot.isEmpty():
@@ -311,7 +311,9 @@ def _cut(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, run, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", batch_rows: int = ROWS, most: int = HOT
+) -> DataFrame:
     """``id_column``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row: what is left of its bytes without those
     covered by a string of 400 bytes that also starts anywhere else, in any row. Null texts count as empty.
 
@@ -336,7 +338,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     chosen = saved(chosen, "substring-chosen")
     same = (rows["t1"] == chosen["c1"]) & (rows["t2"] == chosen["c2"]) & rows["id"].eqNullSafe(chosen["least"])
     texts = saved(rows.join(chosen, same).select("t1", "t2", "text", "places", "copies"), "substring-texts")
-    runs = repeated_runs(texts.select("t1", "t2", "text", "places"))
+    runs = repeated_runs(texts.select("t1", "t2", "text", "places"), batch_rows, most)
     runs = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     once = texts.where("copies = 1").select("t1", "t2", "text")
     cut = saved(_cut(once.join(runs, ["t1", "t2"]).select("t1", "t2", "text", "runs")), "substring-cut")
