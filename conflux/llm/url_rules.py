@@ -114,7 +114,7 @@ def judged(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     # Keys are distinct, so the rows of a popular host are dealt by their paths.
     tried = saved(tried, "url-tried")
     longest = open_prefixes(tried.select("key").distinct(), known.select("prefix"))
-    longest = longest.where(F.size("stack") > 0).select("key", F.element_at("stack", -1).alias("prefix"))
+    longest = longest.select("key", F.try_element_at("stack", F.lit(-1)).alias("prefix")).where("prefix is not null")
     fit = tried.join(longest, "key").join(known.select("prefix", "rule", "action", "n_host"), "prefix")
     best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "rule", "action")).alias("best"))
     best = saved(best.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best.rule", "best.action"), "url-judged")

@@ -1,0 +1,188 @@
+"""The registered queries against their SQL, and the language classifier, URL rules and surrogates by what they promise."""
+
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from conftest import SMALL, bag
+from pyspark.sql import functions as F
+
+from conflux.llm.langid import codewords, identify, train
+from conflux.llm.queries import ORACLES, QUERIES
+from conflux.llm.surrogates import replaced, surrogates
+from conflux.llm.url_rules import judged, open_prefixes, rules_table
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    df = QUERIES[name](spark, SMALL)
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    assert sorted(df.columns) == sorted(columns)
+    assert bag(df) == Counter(tuple(row[i] for i in order) for row in result.fetchall())
+
+
+# ---- language --------------------------------------------------------------------------------
+
+
+def test_held_out_documents_are_told(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    found = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out")
+    right, n = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 150 and right >= 0.99
+
+
+def test_labels_and_ids_are_no_inputs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = train(docs)
+    bare = docs.select((F.col("doc_id") * 3).alias("doc_id"), "text")
+    a = [tuple(r)[1:] for r in identify(docs, model).orderBy("doc_id").collect()]
+    assert a == [tuple(r)[1:] for r in identify(bare, model).orderBy("doc_id").collect()]
+
+
+def test_undetermined_and_ambiguous_texts(spark):
+    german = "der die das und nicht ist ein eine mit von zu auf sich"
+    english = "the of and to in is was that with for on by from"
+    model = train(spark.createDataFrame([(german * 5, "de"), (english * 5, "en"), ("x", None), (None, "en")], "text string, lang string"))
+    rows = [(1, german), (2, english), (3, None), (4, ""), (5, "12 + 3"), (7, "日本")]
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 5)] == ["de", "en", "und", "und", "und"]
+    assert got[7]["ambiguous"] and got[7]["lang_pred"] in ("de", "en")
+    assert not got[1]["ambiguous"] and not got[2]["ambiguous"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 6, 9, 40):
+        code = codewords(n)
+        apart = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        assert len(code) == n and apart >= max(1, code.shape[1] // 4)
+
+
+# ---- URLs ------------------------------------------------------------------------------------
+
+URLS = [
+    None,
+    "",
+    "no scheme/example.com",
+    "http://",
+    "http://EXAMPLE.com",
+    "http://example.com/",
+    "https://a.b.example.com/en/x?y=/en/",
+    "https://www.example.com/en/1#x",
+    "https://x.www.example.com/en/",
+    "https://notexample.com/en/",
+    "https://example.com:80/en/",
+    "http://example.net/es",
+    "http://deep.example.net/es/1",
+    "http://net/fr/",
+    "http://a://b.net/es/",
+    "//x.net/es/ http://y.net/fr/z",
+    "http://x.com/a/b/c",
+    "http://x.com/a/bc",
+    "http://.com/é",
+    "http://é.x.com/a/b",
+]
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+    ("block", "x.com/a/"),
+    ("allow", "x.com/a/b/"),
+    ("allow", "x.com/a/b"),
+    ("block", "x.com/a/b"),
+]
+
+
+def plain_verdict(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = []
+    for action, rule in RULES:
+        of, slash, start = rule.partition("/")
+        if (host == of or host.endswith("." + of)) and path.startswith(slash + start):
+            fit.append((len(rule), len(of), action == "block", rule, action))
+    return (host, path, *(max(fit)[3:] if fit else (None, "allow")))
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, *URLS])], "page_id long, url string")
+    got = {r["row"]["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judged(pages, rules_table(spark, RULES)).collect()}
+    assert got == {i: plain_verdict(u) for i, u in enumerate([*URLS, *URLS])}
+    assert judged(pages, rules_table(spark, [])).where("rule is not null").count() == 0
+
+
+def test_open_prefixes_over_many_ranges(spark):
+    keys = sorted({f"{a}{b}{c}" for a in "abc" for b in ("", "a", "bb", "é") for c in ("", "x", "zz", "\U0010ffff")})
+    prefixes = ["a", "ab", "abb", "b", "bé", "bé\U0010ffff", "ca", "caz", "d"]
+    wide = spark.createDataFrame([(k,) for k in keys], "key string").repartition(16)
+    found = open_prefixes(wide, spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
+    assert {r["key"]: r["stack"] for r in found.collect()} == {k: sorted((p for p in prefixes if k.startswith(p)), key=len) for k in keys}
+
+
+# ---- surrogates ------------------------------------------------------------------------------
+
+
+def safe(spark, *texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["safe"] for r in replaced(docs, key).orderBy("row.doc_id").collect()]
+
+
+def test_formats_and_coreference(spark):
+    mail, phone, card, ip, name, none = safe(
+        spark,
+        "Mail Bob.Smith7@Mail.Example.com or bob.smith7@mail.example.com",
+        "Call +1 (017) 555-7713 or +1-017-555-7713",
+        "card 4111 1111 1111 1111 or 4111111111111111",
+        "ip 10.2.3.4, token 04dbebab91ab85687d33eeaaf9ac699e1188f962",
+        "Mrs. Anna Smith met Mr. Smith; Госпожа Анна Иванова",
+        "nothing of this kind: 2024, 3.14, a@b",
+    )
+    a, b = re.findall(r"\S+@\S+", mail)
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{4}\d@[A-Z][a-z]{3}\.[A-Z][a-z]{6}\.com", a) and a.lower() == b and "bob" not in b
+    one, two = re.fullmatch(r"Call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1-\d{3}-\d{3}-\d{4})", phone).groups()
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", two) != "10175557713"
+    one, two = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) or (\d{16})", card).groups()
+    digits = [int(d) for d in two]
+    assert one.replace(" ", "") == two != "4111111111111111"
+    assert sum(digits[1::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[::2]) == sum(digits[1::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[::2])
+    assert (sum(digits[1::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[::2])) % 10 == 0
+    assert re.fullmatch(r"ip \d+\.\d+\.\d+\.\d+, token [0-9a-f]{40}", ip) and "10.2.3.4" not in ip and "04dbebab" not in ip
+    got = re.fullmatch(r"Mrs\. ([A-Z][a-z]+)na ([A-Z][a-z]+) met Mr\. ([A-Z][a-z]+); Госпожа ([А-Я][а-я]+)на ([А-Я][а-я]+)", name)
+    assert got and got[2] == got[3] != "Smith"
+    assert none == "nothing of this kind: 2024, 3.14, a@b"
+
+
+def test_the_key_decides(spark):
+    text = "a.b@c.de 192.168.1.20"
+    assert safe(spark, text) == safe(spark, text) != safe(spark, text, key="other")
+
+
+def test_surrogates_stay_distinct_and_away_from_entities(spark):
+    """One-digit numbers: more collisions than free surrogates at first, longer ones in the end."""
+    rows = [("ssn", str(d)) for d in range(10)] + [("name-latin-s", f"n{i}") for i in range(3000)] + [("ip", f"1.2.3.{i}") for i in range(200)]
+    got = surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "k").collect()
+    pairs = {(r["kind"], r["surrogate"]) for r in got}
+    assert len(got) == len(rows) == len(pairs)
+    assert not pairs & set(rows)
+
+
+def test_no_private_string_is_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    private = re.compile(r"\S+@\S+\.com|\d{16}|\+1 \(\d{3}\) \d{3}-\d{4}|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}")
+    n = 0
+    for r in replaced(docs, "k").select("row.text", "safe", "n_mentions").collect():
+        found = private.findall(r["text"])
+        n += len(found)
+        assert not any(f in r["safe"] for f in found)
+        assert r["n_mentions"] or r["safe"] == r["text"]
+    assert n > 20
