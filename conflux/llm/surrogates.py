@@ -31,6 +31,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_HONORIFIC})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(PATTERNS.values())
+# In every mention; a quicker search.
+_LIKELY = rf"[0-9@]|[a-f]{{32}}|{_HONORIFIC}"
 
 # Syllables of coined names by script, and what a given name ends in by gender.
 _SYLLABLES = {
@@ -154,6 +156,11 @@ def draw(kind: Column, canonical: Column, attempt: int, key: str) -> Column:
     return F.concat(out, F.lit(str(attempt))) if attempt >= ROUNDS else out
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that are few bytes but much work each, dealt to as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind``, ``canonical``, ``surrogate`` of distinct entities; no two of a kind share one, and none is an entity itself.
 
@@ -165,7 +172,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     given = None
     attempt = 0
     while not left.isEmpty():
-        drawn = left.withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), attempt, key))
+        drawn = spread(left, "kind", "canonical").withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), attempt, key))
         taken = known if given is None else known.unionByName(given.select("kind", "surrogate"))
         fresh = drawn.join(taken, ["kind", "surrogate"], "left_anti")
         won = saved(fresh.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")), "surrogates")
@@ -216,17 +223,23 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "
     One row for each row of ``docs``; a null text stays null. The same key and the same entities give the same surrogates,
     whatever documents they are in.
     """
-    named = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    found = named.where(F.col("text").rlike(rf"[0-9@]|{_HONORIFIC}")).select(
-        "id", F.xxhash64("text").alias("tie"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions")
+    content = F.col(f"row.`{text}`")
+    rows = packed(docs)
+    holds = F.coalesce(content.rlike(_LIKELY) & content.rlike(ANY), F.lit(False))
+    # Only rows with mentions are moved about; the others are read again for the result.
+    met = rows.where(holds).select(
+        "row",
+        F.col(f"row.`{id_column}`").alias("id"),
+        F.xxhash64(content).alias("tie"),
+        F.regexp_extract_all(content, F.lit(ANY), F.lit(0)).alias("mentions"),
     )
-    met = saved(found.where(F.size("mentions") > 0), "mentions")
+    met = saved(met, "mentions")
     each = met.select("id", "tie", F.posexplode("mentions").alias("pos", "mention"))
-    distinct = each.select("mention").distinct().withColumn("of", _kind(F.col("mention")))
+    distinct = spread(each.select("mention").distinct(), "mention").withColumn("of", _kind(F.col("mention")))
     pieces = distinct.select("mention", F.posexplode(_pieces(F.col("mention"), F.col("of"))).alias("i", "piece"))
     pieces = saved(pieces.select("mention", "i", "piece.text", "piece.kind", "piece.canonical"), "pieces")
     named_pieces = surrogates(pieces.where("kind is not null"), key)
-    drawn = pieces.join(named_pieces, ["kind", "canonical"], "left")
+    drawn = spread(pieces.join(named_pieces, ["kind", "canonical"], "left"), "mention")
     piece = F.when(F.col("surrogate").isNull(), F.col("text")).otherwise(_written(F.col("text"), F.col("kind"), F.col("surrogate")))
     whole = drawn.select("mention", F.struct("i", piece.alias("new")).alias("part")).groupBy("mention")
     whole = whole.agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["new"]), " ").alias("new"))
@@ -235,12 +248,9 @@ def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "
     # Rows that agree in id and text are put together once.
     once = each.distinct().join(whole, "mention").groupBy("id", "tie").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
     once = saved(once.select(F.col("id").alias("new_id"), F.col("tie").alias("new_tie"), F.col("news.new").alias("news")), "replaced")
-    rows = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(f"row.`{text}`"))
-    rows = rows.join(once, rows["id"].eqNullSafe(once["new_id"]) & (rows["tie"] == once["new_tie"]), "left")
-    between = F.split(F.col(f"row.`{text}`"), ANY, -1)
+    here = met.join(once, met["id"].eqNullSafe(once["new_id"]) & (met["tie"] == once["new_tie"]))
+    between = F.split(content, ANY, -1)
     safe = F.array_join(F.zip_with(between, "news", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return rows.select(
-        "row",
-        F.coalesce(F.array_size("news"), F.lit(0)).cast("long").alias("n_mentions"),
-        F.when(F.col("news").isNull(), F.col(f"row.`{text}`")).otherwise(safe).alias("safe"),
-    )
+    changed = here.select("row", F.array_size("news").cast("long").alias("n_mentions"), safe.alias("safe"))
+    same = rows.where(~holds).select("row", F.lit(0).cast("long").alias("n_mentions"), content.alias("safe"))
+    return changed.unionByName(same)
