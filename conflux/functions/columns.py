@@ -49,12 +49,12 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def python_predicate(
-    fn: Callable[..., bool], left_columns: Sequence[str], right_columns: Sequence[str], vectorized: bool = False
+    fn: Callable[..., bool], left_columns: Sequence[str], right_columns: Sequence[str], vectorized: bool = True
 ) -> Predicate:
     """Make a join predicate out of a Python function over the named columns' values.
 
-    The function sees Arrow batches of candidate pairs; with ``vectorized`` it is called on whole
-    Series, otherwise once per pair. Catalyst cannot look inside it, so prefer Column predicates.
+    The function is called on whole Series, Arrow batches of candidate pairs; without ``vectorized`` once per pair,
+    which is slow. Catalyst cannot look inside it, so prefer Column predicates.
     """
 
     def check(*values: pd.Series) -> pd.Series:
@@ -67,9 +67,16 @@ def python_predicate(
     return lambda l, r: udf(*[l[c] for c in left_columns], *[r[c] for c in right_columns])
 
 
+def checked_cast(text: Column, to: str) -> Column:
+    """``text`` as ``to``; what is no such value, null included, fails the query whatever the session's ANSI mode."""
+    value = text.try_cast(to)
+    shown = F.coalesce(text.cast("string"), F.lit("null"))
+    return F.when(value.isNull(), F.raise_error(F.concat(shown, F.lit(f" is no {to}"))).cast(to)).otherwise(value)
+
+
 def split_field(text: Column, position: int, to: str = "int", sep: str = "|") -> Column:
     """Field ``position`` of a delimited line, cast to ``to``; bad numbers and short lines fail the query."""
-    return F.split(text, re.escape(sep))[position].cast(to)
+    return checked_cast(F.get(F.split(text, re.escape(sep)), F.lit(position)), to)
 
 
 def stamped(df: DataFrame, name: str = "arrival_ts") -> DataFrame:

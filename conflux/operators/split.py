@@ -20,10 +20,8 @@ from pyspark.sql import types as T
 
 from conflux.functions.columns import require_distinct_names
 
-# How many of the most frequent keys are looked up for a grid of their own, and how many
-# candidates the counting sketch keeps. Both bound what reaches the driver, not the result.
-TOP_KEYS = 64
-SKETCH_ITEMS = 4096
+# Sketches of the most frequent keys are merged in this many groups of map tasks, then into one.
+SKETCH_GROUPS = 64
 MIN_ROWS_PER_CELL = 1_000_000
 
 # Candidate pairs one cell is meant to check: in a grid over all rows, and in the grid of one key,
@@ -95,37 +93,79 @@ def parallelism(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _normal(column: Column, dtype: T.DataType) -> tuple[Column, str]:
+def top_keys(cores: int) -> int:
+    """How many of the most frequent keys are looked up for a grid of their own.
+
+    A key gets one if it has more rows than half a core's share, which is true of 2 * cores keys of an input at most.
+    """
+    return min(max(1024, 4 * cores), 100_000)
+
+
+def sketch_items(cores: int) -> int:
+    """Candidates a sketch keeps: its counts are then off by a small part of a core's share at most."""
+    return min(8 * top_keys(cores), 1_000_000)
+
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _kind(types: Sequence[T.DataType]) -> str:
+    """What columns of these types are compared as; "any" where their equality can't be put in terms of one type."""
+
+    def all_are(*kinds) -> bool:
+        return all(isinstance(t, kinds) for t in types)
+
+    if all_are(*_INTEGERS):
+        return "bigint"
+    if all_are(T.NumericType, T.StringType) and not all_are(T.StringType):
+        # Equal numbers of any types are equal as doubles, and doubles that differ are not.
+        return "same" if all(t == types[0] for t in types) and not all_are(T.FractionalType) else "double"
+    if all(t == types[0] for t in types) and not _has_map(types[0]):
+        return "same"
+    if all_are(*_TIMES, T.StringType):
+        return "timestamp"
+    if all_are(T.BinaryType, T.StringType):
+        return "binary"
+    return "any"
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    return not _orderable(dtype)
+
+
+def _normal(column: Column, kind: str) -> Column:
     """A form of the key whose hash is the same on both sides whenever the keys are equal."""
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return column.cast("bigint"), "bigint"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = column.cast("double")
-        return F.when(value == 0, F.lit(0.0)).otherwise(value), "double"
-    return column, dtype.simpleString()
+    if kind == "any":
+        return F.lit(0)
+    if kind == "double":
+        value = column.try_cast("double")
+        return F.when(value == 0, F.lit(0.0)).otherwise(value)
+    return column if kind == "same" else column.try_cast(kind)
 
 
-def key_hash(df: DataFrame, keys: Sequence[str], types: list[str] | None = None) -> Column:
-    parts = [_normal(F.col(f"`{k}`"), df.schema[k].dataType) for k in keys]
-    if types is not None:
-        types.extend(t for _, t in parts)
-    return F.xxhash64(*[c for c, _ in parts])
+def key_kinds(*inputs: tuple[DataFrame, Sequence[str]]) -> list[str]:
+    """For each key position, the kind its columns in all the inputs are compared as."""
+    return [_kind([df.schema[k].dataType for (df, _), k in zip(inputs, ks, strict=True)]) for ks in zip(*[k for _, k in inputs], strict=True)]
 
 
-def _require_common_types(*types: list[str]) -> None:
-    if any(t != types[0] for t in types):
-        raise TypeError(f"cast the join keys to common types before splitting: {', '.join(map(str, types))}")
+def key_hash(df: DataFrame, keys: Sequence[str], kinds: Sequence[str] | None = None) -> Column:
+    """A hash of the keys that is the same in every input whose keys are compared as the same ``kinds``."""
+    kinds = key_kinds((df, keys)) if kinds is None else kinds
+    return F.xxhash64(*[_normal(F.col(f"`{k}`"), kind) for k, kind in zip(keys, kinds, strict=True)])
 
 
 def _key_hashes(left: DataFrame, right: DataFrame, on: Pairs) -> tuple[Column, Column]:
-    left_types: list[str] = []
-    right_types: list[str] = []
-    hashes = (
-        key_hash(left, [l for l, _ in on], left_types),
-        key_hash(right, [r for _, r in on], right_types),
-    )
-    _require_common_types(left_types, right_types)
-    return hashes
+    ls, rs = [l for l, _ in on], [r for _, r in on]
+    kinds = key_kinds((left, ls), (right, rs))
+    return key_hash(left, ls, kinds), key_hash(right, rs, kinds)
+
+
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that can match: those without a null key."""
+    for k in keys:
+        df = df.where(F.col(f"`{k}`").isNotNull())
+    return df
 
 
 def grid_shape(n_left: float, n_right: float, cells: int) -> tuple[int, int]:
@@ -175,29 +215,36 @@ class Profile:
 
 
 def profiles(*inputs: tuple[DataFrame, Sequence[str]]) -> list[Profile]:
-    """Profile inputs by the given key columns, in one job.
+    """Profile inputs by the given key columns, in one job; rows with a null key are left out.
 
-    Each input aggregates to a single row (row count, number of keys, sketch of the most frequent
-    keys), with partial aggregation before the exchange; nothing is shuffled by key.
+    Each input aggregates to a single row (row count, number of keys, sketch of the most frequent keys): in every map
+    task, then in ``SKETCH_GROUPS`` groups of them, then altogether. Nothing is shuffled by key.
     """
-    parts, kinds = [], []
+    kinds, parts = key_kinds(*inputs), []
+    cores = parallelism(inputs[0][0])
+    items, top = sketch_items(cores), top_keys(cores)
     for i, (df, keys) in enumerate(inputs):
-        types: list[str] = []
-        parts.append(
-            df.select(key_hash(df, keys, types).alias("h"))
+        groups = (
+            with_keys(df, keys)
+            .select(key_hash(df, keys, kinds).alias("h"))
+            .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
             .agg(
                 F.count("h").alias("n"),
-                F.approx_count_distinct("h").alias("keys"),
-                F.expr(f"approx_top_k(h, {TOP_KEYS}, {SKETCH_ITEMS})").alias("top"),
+                F.hll_sketch_agg("h").alias("keys"),
+                F.expr(f"approx_top_k_accumulate(h, {items})").alias("top"),
             )
-            .withColumn("i", F.lit(i))
         )
-        kinds.append(types)
-    _require_common_types(*kinds)
+        # By a group for all rows, as sketches of no input at all can't be merged.
+        whole = groups.groupBy(F.lit(i).alias("i")).agg(
+            F.sum("n").alias("n"),
+            F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"),
+            F.expr(f"approx_top_k_estimate(approx_top_k_combine(top), {top})").alias("top"),
+        )
+        parts.append(whole)
     found = {row["i"]: row for row in reduce(DataFrame.unionAll, parts).collect()}
     return [
-        Profile(row["n"], row["keys"], {t["item"]: t["count"] for t in row["top"] or []})
-        for row in (found[i] for i in range(len(inputs)))
+        Profile(row["n"], row["keys"], {t["item"]: t["count"] for t in row["top"] or []}) if row else Profile(0, 0, {})
+        for row in (found.get(i) for i in range(len(inputs)))
     ]
 
 
@@ -242,50 +289,56 @@ def _orderable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
-def row_number_hash(df: DataFrame, row_id: Sequence[str] | None) -> tuple[DataFrame, Column]:
+def row_number_hash(df: DataFrame, row_id: Sequence[str] | None, streaming: bool = False) -> tuple[DataFrame, Column]:
     """A number per row to deal it by, which comes out the same if a task is run again.
 
     ``row_id`` names columns that tell rows apart. Without it, a batch input is sorted within its
     partitions (no shuffle) and numbered there: equal rows get different numbers, so copies of one row
-    are spread too, and a rerun can at most swap rows that are equal. On a stream, where numbering is
+    are spread too, and a rerun can at most swap rows that are equal. In a streaming query, where numbering is
     not available, the whole row is hashed; give ``row_id`` if many rows may be equal.
     """
     if row_id:
         return df, F.xxhash64(*[F.col(f"`{c}`") for c in row_id])
-    unordered = [f.name for f in df.schema.fields if not _orderable(f.dataType)]
-    if unordered:
-        raise TypeError(f"columns {unordered} cannot be ordered: name the columns that tell rows apart in row_id")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    if df.isStreaming:
+    # What has no order is put in order by its text.
+    columns = [F.col(f"`{f.name}`") if _orderable(f.dataType) else _text(f) for f in df.schema.fields]
+    if streaming or df.isStreaming:
         return df, F.xxhash64(*columns)
     ordered = df.sortWithinPartitions(F.xxhash64(*columns), *columns)
     numbered = ordered.withColumn("__row", F.xxhash64(F.monotonically_increasing_id()))
     return numbered, F.col("__row")
 
 
+def _text(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    return column.cast("string") if isinstance(field.dataType, T.VariantType) else F.to_json(F.struct(column))
+
+
 def _dealt(
-    df: DataFrame, split: Split, hashed: Column | None, own: str, other: str, row_id: Sequence[str] | None
+    df: DataFrame,
+    split: Split,
+    hashed: Column | None,
+    own: str,
+    other: str,
+    row_id: Sequence[str] | None,
+    streaming: bool = False,
 ) -> DataFrame:
-    rows, cols = F.lit(split.rows), F.lit(split.cols)
-    if split.heavy:
-        grids = F.create_map(
-            *[F.lit(x) for h, r, c in split.heavy for x in (h, (r << 32) + c)]
-        )
-        packed = F.try_element_at(grids, hashed)
-        rows = F.coalesce(F.shiftright(packed, 32).cast("int"), rows)
-        cols = F.coalesce(packed.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"), cols)
-    here, there = (rows, cols) if own == ROW else (cols, rows)
-    pieces = [split.rows, *(h[1] for h in split.heavy)] if own == ROW else [split.cols, *(h[2] for h in split.heavy)]
     kept = df.columns
+    pieces = [split.rows, *(h[1] for h in split.heavy)] if own == ROW else [split.cols, *(h[2] for h in split.heavy)]
     if max(pieces) > 1:
-        df, number = row_number_hash(df, row_id)
-        dealt = F.pmod(number, here.cast("bigint")).cast("int")
+        df, number = row_number_hash(df, row_id, streaming)
     else:
         # Always 0, but not a literal: a folded constant would take the cell out of the join keys.
-        dealt = F.pmod(F.xxhash64(F.col(f"`{kept[0]}`")), F.lit(1)).cast("int")
+        number = F.pmod(F.xxhash64(F.col(f"`{kept[0]}`")), F.lit(1))
+    rows, cols = F.lit(split.rows), F.lit(split.cols)
+    if split.heavy:
+        # One row for each hot key, of which there are ``top_keys`` for each side at most.
+        grids = df.sparkSession.createDataFrame(list(split.heavy), "__hot long, __hot_rows int, __hot_cols int")
+        df = df.withColumn("__hash", hashed).join(F.broadcast(grids), F.col("__hash") == F.col("__hot"), "left")
+        rows, cols = F.coalesce("__hot_rows", rows), F.coalesce("__hot_cols", cols)
+    here, there = (rows, cols) if own == ROW else (cols, rows)
     return df.select(
         *[F.col(f"`{c}`") for c in kept],
-        dealt.alias(own),
+        F.pmod(number, here.cast("bigint")).cast("int").alias(own),
         F.explode(F.sequence(F.lit(0), there - 1)).alias(other),
     )
 
@@ -306,8 +359,10 @@ def meet(
     streaming = left.isStreaming or right.isStreaming
     if not split.whole or (streaming and not on):
         left_hash, right_hash = _key_hashes(left, right, on) if split.heavy else (None, None)
-        left = _dealt(left, split, left_hash, ROW, COL, left_id)
-        right = _dealt(right, split, right_hash, COL, ROW, right_id)
+        # Numbering keeps Catalyst from moving this below by itself.
+        left, right = with_keys(left, [l for l, _ in on]), with_keys(right, [r for _, r in on])
+        left = _dealt(left, split, left_hash, ROW, COL, left_id, streaming)
+        right = _dealt(right, split, right_hash, COL, ROW, right_id, streaming)
         right = right.withColumnsRenamed({ROW: ROW + "_r", COL: COL + "_r"})
         equal += [F.col(ROW) == F.col(ROW + "_r"), F.col(COL) == F.col(COL + "_r")]
     if equal:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conflux.operators.inequality import running_extremes
+
 
 def _report(size: Column, first_us: Column, last_us: Column) -> list[Column]:
     elapsed = F.floor((last_us - first_us) / 1000).cast("bigint")
@@ -59,8 +61,44 @@ def equi_join_summary(
     return totals.select(*_report(F.col("size"), F.col("first_us"), F.col("last_us")))
 
 
+def chain_summary(relations: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
+    """What ``join_summary`` reports of all a, b, c, ... with ``a.key < b.key < c.key < ...``, without building them.
+
+    ``relations`` gives each relation's table, key and time column. Every relation is reduced to one row per key. From the second
+    one on, a key takes the totals of the smaller keys of the chain so far, read off running totals; so the work is that
+    of sorting the distinct keys. Sizes are decimals, as chains of a few relations pass a long.
+    """
+
+    def per_key(df: DataFrame, key: str, ts: str) -> DataFrame:
+        return df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("k")).agg(
+            F.count(F.lit(1)).cast("decimal(38,0)").alias("n"),
+            F.unix_micros(F.min(ts)).alias("first"),
+            F.unix_micros(F.max(ts)).alias("last"),
+        )
+
+    chain = per_key(*relations[0])
+    for relation in relations[1:]:
+        smaller = running_extremes(chain, "k", ["n"], ["first"], ["last"], per_key(*relation))
+        chain = smaller.where("n_before > 0").select(
+            "k",
+            (F.col("n_before") * F.col("n")).cast("decimal(38,0)").alias("n"),
+            F.least("first_before", "first").alias("first"),
+            F.greatest("last_before", "last").alias("last"),
+        )
+    totals = chain.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)").alias("size"), F.min("first").alias("first_us"), F.max("last").alias("last_us")
+    )
+    return totals.select(*_report(F.col("size"), F.col("first_us"), F.col("last_us")))
+
+
 def batch_report(pairs: DataFrame, batch_id: int, first: Column, last: Column) -> DataFrame:
-    """Size and latency of one micro-batch's result."""
+    """Size and latency of one micro-batch's result, and its ends, by which reports can be put together."""
     return join_summary(pairs, first, last).select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"), "size", F.col("elapsed_ms").alias("latency_ms")
+        F.lit(batch_id).cast("bigint").alias("batch_id"), "size", F.col("elapsed_ms").alias("latency_ms"), "first_us", "last_us"
     )
+
+
+def run_report(reports: DataFrame) -> DataFrame:
+    """Size and latency of a whole run, from the reports of its micro-batches."""
+    elapsed = F.floor((F.max("last_us") - F.min("first_us")) / 1000).cast("bigint")
+    return reports.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), elapsed.alias("latency_ms"))

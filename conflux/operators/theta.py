@@ -17,6 +17,7 @@ from conflux.operators.split import (
     measured,
     meet,
     parallelism,
+    plan_bytes,
 )
 
 # Beyond this, a side named by the caller is not broadcast either.
@@ -56,6 +57,8 @@ def theta_join(
     predicate: Predicate,
     side: str | None = "auto",
     shape: tuple[int, int] | None = None,
+    left_id: Sequence[str] | None = None,
+    right_id: Sequence[str] | None = None,
 ) -> DataFrame:
     """All pairs for which ``predicate(left, right)`` holds; columns are left, then right, for every ``side``.
 
@@ -64,30 +67,34 @@ def theta_join(
     side="left" / "right"   broadcast that side, unless it is counted to be over HARD_BROADCAST_BYTES
     side="grid"   never broadcast
     side=None     let Catalyst choose
+
+    Of a stream and a table, the table is broadcast if it is under the threshold; a larger one needs a shape for the grid.
     """
     require_distinct_names(left, right)
     if side == "grid":
-        return grid_join(left, right, predicate, shape)
+        return grid_join(left, right, predicate, shape, left_id, right_id)
     condition = condition_of(left, right, predicate)
     if side is None:
         return left.crossJoin(right).where(condition)
     if side == "auto":
         if left.isStreaming and right.isStreaming:
             raise ValueError("two streams cannot be counted or broadcast; use grid_join with a shape")
+        if left.isStreaming or right.isStreaming:
+            return _with_table(left, right, predicate, condition, shape, left_id, right_id)
         limit = broadcast_limit(left)
         small = [s for s, df in (("left", left), ("right", right)) if fits_broadcast(df, limit)]
-        if len(small) == 1:
-            side = small[0]
+        if small:
+            side = min(small, key=lambda s: plan_bytes(left if s == "left" else right))
         else:
             (n_left, bytes_left), (n_right, bytes_right) = measured(left, right)
             side = "left" if bytes_left < bytes_right else "right"
-            if not small and min(bytes_left, bytes_right) > limit:
+            if min(bytes_left, bytes_right) > limit:
                 shape = shape or grid_shape(n_left, n_right, cells_for(n_left, n_right, parallelism(left)))
-                return grid_join(left, right, predicate, shape)
+                return grid_join(left, right, predicate, shape, left_id, right_id)
     elif side in ("left", "right"):
         chosen = left if side == "left" else right
         if not fits_broadcast(chosen) and measured(chosen)[0][1] > HARD_BROADCAST_BYTES:
-            return grid_join(left, right, predicate, shape)
+            return grid_join(left, right, predicate, shape, left_id, right_id)
     else:
         raise ValueError(f"side is 'auto', 'left', 'right', 'grid' or None, not {side!r}")
     if side == "left":
@@ -95,6 +102,18 @@ def theta_join(
     return left.crossJoin(F.broadcast(right)).where(condition)
 
 
+def _with_table(left, right, predicate, condition, shape, left_id, right_id) -> DataFrame:
+    """A stream, which can't be counted, and a table."""
+    table = right if left.isStreaming else left
+    if not fits_broadcast(table) and measured(table)[0][1] > broadcast_limit(table):
+        if shape is None:
+            raise ValueError("the table is over the broadcast threshold; pass a shape for the grid")
+        return grid_join(left, right, predicate, shape, left_id, right_id)
+    if left.isStreaming:
+        return left.crossJoin(F.broadcast(right)).where(condition)
+    return F.broadcast(left).crossJoin(right).where(condition)
+
+
 def cross_join(left: DataFrame, right: DataFrame, side: str | None = "auto") -> DataFrame:
     """Every pair of rows."""
     return theta_join(left, right, lambda l, r: F.lit(True), side)

@@ -14,14 +14,14 @@ from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
 from conflux.operators.split import Split, measure
-from conflux.operators.summary import batch_report, equi_join_summary
+from conflux.operators.summary import batch_report, chain_summary, equi_join_summary, run_report
 from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
 from conflux.plans import tpch
 from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
 from conflux.sources.generators import random_keys
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
-from conflux.streaming.progress import progress_table, save_progress
+from conflux.streaming.progress import PROGRESS_COLUMNS, progress_table
 from conflux.streaming.run import Run, run_batches, run_to_table
 from conflux.streaming.store import BatchFolder, store_stream
 
@@ -40,8 +40,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             # events.ts carries no time zone; event-time columns are made from it as UTC.
+            zone = spark.conf.get("spark.sql.session.timeZone")
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, folder)
+            try:
+                return fn(spark, folder)
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         QUERIES[name or fn.__name__] = run
         if sql is not None:
@@ -66,14 +70,16 @@ def _clicks_purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     return _events(events, "click", "click_"), _events(events, "purchase", "purchase_")
 
 
-def _stream_events(spark: SparkSession, folder: str, kind: str, numbered: bool) -> DataFrame:
+def _stream_events(spark: SparkSession, folder: str, kind: str, numbered: bool, max_files: int | None = None) -> DataFrame:
     """Events of one type as a stream; ``numbered`` adds a number per row to deal copies by."""
-    stream = table_stream(spark, folder, "events", row_id="row" if numbered else None)
+    stream = table_stream(spark, folder, "events", max_files=max_files, row_id="row" if numbered else None)
     return _events(stream, kind, f"{kind}_")
 
 
-def _stream_clicks_purchases(spark: SparkSession, folder: str, numbered: bool = False) -> list[DataFrame]:
-    return [_stream_events(spark, folder, kind, numbered) for kind in ("click", "purchase")]
+def _stream_clicks_purchases(
+    spark: SparkSession, folder: str, numbered: bool = False, max_files: int | None = _FILES_PER_BATCH
+) -> list[DataFrame]:
+    return [_stream_events(spark, folder, kind, numbered, max_files) for kind in ("click", "purchase")]
 
 
 def _keys(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -502,6 +508,28 @@ def window_count(spark, folder):
     return window_counts(events, "ts", ["event_type"], "10 minutes", "5 minutes")
 
 
+@query(
+    """with c as (select user_id as k, count(*) as n, min(ts) as f, max(ts) as l from events
+                 where event_type = 'click' group by 1),
+    p as (select user_id as k, count(*) as n, min(ts) as f, max(ts) as l from events
+          where event_type = 'purchase' group by 1),
+    v as (select user_id as k, count(*) as n, min(ts) as f, max(ts) as l from events
+          where event_type = 'view' group by 1),
+    t as (select sum(c.n::hugeint * p.n * v.n) as size, epoch_us(min(least(c.f, p.f, v.f))) as first_us,
+          epoch_us(max(greatest(c.l, p.l, v.l))) as last_us
+          from c join p on c.k < p.k join v on p.k < v.k)
+    select cast(size as bigint) as size, first_us, last_us, (last_us - first_us) // 1000 as elapsed_ms,
+    cast(size as bigint) // ((last_us - first_us) // 1000) as per_ms from t""",
+    name="lt_chain_summary",
+)
+def lt_chain_summary_query(spark, folder):
+    """Size, span and rate of the chain click < purchase < view by user, without its triples."""
+    events = table(spark, folder, "events")
+    kinds = [_events(events, kind, f"{kind}_") for kind in ("click", "purchase", "view")]
+    chain = [(df, f"{kind}_user_id", f"{kind}_ts") for df, kind in zip(kinds, ("click", "purchase", "view"), strict=True)]
+    return chain_summary(chain).withColumn("size", F.col("size").cast("bigint"))
+
+
 # ---- streaming ---------------------------------------------------------------------------------
 
 
@@ -533,6 +561,17 @@ def stream_equi_stored(spark, folder):
     return pairs.select(*_EVENT_IDS[:2])
 
 
+@query("select a.event_id as click_event_id, b.event_id as purchase_event_id " + _PAIRS_SQL)
+def stream_equi_batches(spark, folder):
+    """The same join over the events cut into several files that come one by one, so old rows meet new ones both ways."""
+    base = work_folder(spark, "events-by-time")
+    table(spark, folder, "events").repartitionByRange(4, "ts").write.parquet(f"{base}/events.parquet")
+    on = [("click_user_id", "purchase_user_id")]
+    clicks, purchases = _stream_clicks_purchases(spark, base, max_files=1)
+    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-batches")
+    return pairs.select(*_EVENT_IDS[:2])
+
+
 @query("select a.event_id as click_event_id, b.event_id as purchase_event_id " + _ORDERED_SQL)
 def stream_ordered_equi(spark, folder):
     split = _user_split(spark, folder)
@@ -628,7 +667,7 @@ _ONE_BATCH = Run(closing_batch=False)
 def stream_interval_join(spark, folder):
     clicks, purchases = _clicks_purchases(spark, folder)
     (split,) = bucket_splits(clicks, "click_ts", [(purchases, "purchase_ts")], WITHIN)
-    clicks, purchases = _stream_clicks_purchases(spark, folder, numbered=not split.whole)
+    clicks, purchases = _stream_clicks_purchases(spark, folder, not split.whole, max_files=None)
     pairs = _near(
         clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=split
     )
@@ -661,12 +700,12 @@ def stream_window_count(spark, folder):
 
 
 @query(
-    """select cast(0 as bigint) as batch_id, count(*) as size,
+    """select count(*) as size,
     (epoch_us(max(greatest(a.ts, b.ts))) - epoch_us(min(least(a.ts, b.ts)))) // 1000 as latency_ms """
     + _PAIRS_SQL
 )
 def batch_stats(spark, folder):
-    """Size and span of each micro-batch's pairs; in event time, and read as one batch, so that both are fixed."""
+    """Size and span, in event time, of the pairs of a stream, put together from a report on each micro-batch."""
     on = [("click_user_id", "purchase_user_id")]
     split = _user_split(spark, folder)
     pairs = stream_join(*_stream_clicks_purchases(spark, folder, not split.whole), on=on, split=split)
@@ -683,7 +722,7 @@ def batch_stats(spark, folder):
         reports.write(report.drop("batch_id"), batch_id)
 
     run_batches(pairs, "batch-stats", each, folder=base)
-    return spark.read.parquet(reports.path).select(F.col("batch_id").cast("bigint"), "size", "latency_ms")
+    return run_report(spark.read.parquet(reports.path))
 
 
 def _progress(spark: SparkSession, folder: str) -> DataFrame:
@@ -693,13 +732,25 @@ def _progress(spark: SparkSession, folder: str) -> DataFrame:
     pairs = stream_join(customer, orders, on=[("c_custkey", "o_custkey")])
     base = work_folder(spark, "progress")
     rows = BatchFolder(f"{base}/rows")
-    done = run_batches(pairs, "progress", rows.write, Run(reports=10_000), folder=base)
-    return progress_table(spark, save_progress(done, f"{base}/reports"))
+    run_batches(pairs, "progress", rows.write, Run(reports=f"{base}/reports"), folder=base)
+    return progress_table(spark, f"{base}/reports")
+
+
+# Durations and rates: all but the counts of rows.
+_MEASURES = [c for c in PROGRESS_COLUMNS if not c.startswith("numInputRows")]
 
 
-@query()
+@query(
+    """select (select count(*) from customer) + (select count(*) from orders) as "numInputRows",
+    (select count(*) from customer) as "numInputRowsA", (select count(*) from orders) as "numInputRowsB", """
+    + ", ".join(f'true as "{c}"' for c in _MEASURES)
+)
 def progress_flatten(spark, folder):
-    return _progress(spark, folder)
+    """The flat table, of each count its sum and of each measure, which the clock decides, whether all are there and sound."""
+    return _progress(spark, folder).agg(
+        *[F.sum(c).alias(c) for c in PROGRESS_COLUMNS if c not in _MEASURES],
+        *[F.every(F.coalesce(F.col(c) >= 0, F.lit(False))).alias(c) for c in _MEASURES],
+    )
 
 
 @query(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from conflux.functions.columns import checked_cast
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``<folder>/<name>.parquet``, one file or a folder of files."""
@@ -89,4 +91,4 @@ def int_relation(
 ) -> DataFrame:
     """A relation of integers, one per line, stamped with the time of arrival; duplicates are kept."""
     lines = text_lines(spark, path, stream, max_files)
-    return lines.select(F.col("value").cast("int").alias(key), F.current_timestamp().alias("arrival_ts"))
+    return lines.select(checked_cast(F.col("value"), "int").alias(key), F.current_timestamp().alias("arrival_ts"))

@@ -1,10 +1,11 @@
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.progress import PROGRESS_COLUMNS, flatten_progress, progress_table
-from conflux.streaming.run import Run, run_batches, run_to_console, run_to_table
+from conflux.streaming.run import CutShort, Run, run_batches, run_to_console, run_to_table
 from conflux.streaming.store import BatchFolder, latest, store_stream
 
 __all__ = [
     "BatchFolder",
+    "CutShort",
     "PROGRESS_COLUMNS",
     "Run",
     "flatten_progress",

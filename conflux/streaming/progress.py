@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from conflux.session import work_folder
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 _SCHEMA = """
     numInputRows BIGINT, processedRowsPerSecond DOUBLE,
@@ -59,10 +59,66 @@ def progress_table(spark: SparkSession, path: str) -> DataFrame:
     return flatten_progress(spark.read.schema(_SCHEMA).json(path))
 
 
-def save_progress(query: StreamingQuery, folder: str | None = None) -> str:
-    """Keep the reports Spark still holds of a query as lines of JSON; returns the folder."""
-    spark = SparkSession.active()
-    folder = folder or work_folder(spark, "progress")
-    lines = [(p.json if hasattr(p, "json") else json.dumps(p),) for p in query.recentProgress]
-    spark.createDataFrame(lines, "value string").write.mode("overwrite").text(folder)
-    return folder
+class _Reports(StreamingQueryListener):
+    """Appends the reports of one query to a folder as they come, so their number is not bounded by what Spark holds."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.query_id: str | None = None
+        self.early: list[tuple[str, str]] = []
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def _write(self, lines: list[str]) -> None:
+        rows = self.spark.createDataFrame([(line,) for line in lines], "value string")
+        rows.coalesce(1).write.mode("append").text(self.folder)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        # Reports may come before the caller has been told which query they are of.
+        with self.changed:
+            of, line = str(event.progress.runId), event.progress.json
+            if self.query_id is None:
+                self.early.append((of, line))
+            elif of == self.query_id:
+                self._write([line])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def follow(self, query: StreamingQuery) -> StreamingQuery:
+        with self.changed:
+            self.query_id = str(query.runId)
+            lines = [line for of, line in self.early if of == self.query_id]
+            self.early.clear()
+            if lines:
+                self._write(lines)
+        return query
+
+    def wait(self, seconds: float = 60) -> None:
+        """Until the query's end has been told, which comes after its last report."""
+        with self.changed:
+            if self.query_id and not self.changed.wait_for(lambda: self.query_id in self.ended, seconds):
+                raise TimeoutError("the end of the query has not been reported")
+
+
+@contextmanager
+def kept_reports(spark: SparkSession, folder: str | None) -> Iterator[Callable[[StreamingQuery], StreamingQuery]]:
+    """While open, every progress report of the query handed to it is appended to ``folder`` as a line of JSON."""
+    if folder is None:
+        yield lambda query: query
+        return
+    reports = _Reports(spark, folder)
+    spark.streams.addListener(reports)
+    try:
+        yield reports.follow
+        reports.wait()
+    finally:
+        spark.streams.removeListener(reports)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from conflux.session import is_local, work_folder
+from conflux.streaming.progress import kept_reports
 
 # State on disk, saved by changes instead of whole files, one store per partition and join rather than
 # four, and without a lookup per write to keep count of the rows.
@@ -34,7 +36,7 @@ class Run:
     spill       keep join state in RocksDB on the executors' disks rather than in JVM memory
     closing_batch  whether a last micro-batch without rows may follow, in which Spark acts on the final
                 watermark; needed where windows are only given out once they are closed
-    reports     how many progress reports Spark is to hold for the query
+    reports     a folder in the shared file system that each progress report is appended to; a later run may add to it
     """
 
     every: str | None = None
@@ -42,7 +44,7 @@ class Run:
     partitions: int | None = None
     spill: bool = True
     closing_batch: bool = True
-    reports: int | None = None
+    reports: str | None = None
 
 
 @contextmanager
@@ -73,24 +75,35 @@ def start(writer: DataStreamWriter, spark: SparkSession, run: Run) -> StreamingQ
         settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
     if run.spill:
         settings.update(_SPILLING)
-    if run.reports:
-        settings["spark.sql.streaming.numRecentProgressUpdates"] = str(run.reports)
     with _settings(spark, **settings):
         return writer.trigger(**trigger).start()
 
 
+class CutShort(UserWarning):
+    """A run was stopped by its timeout: what it gives is what there was by then."""
+
+
 def finish(query: StreamingQuery, run: Run) -> StreamingQuery:
-    """Wait for the query's end or its timeout; failures of the query are raised here."""
+    """Wait for the query's end or its timeout; failures of the query are raised here.
+
+    Stopping at a timeout gives a ``CutShort`` warning, except for periodic runs, which have no other end.
+    """
     try:
         if run.timeout is None:
             query.awaitTermination()
-        else:
-            query.awaitTermination(run.timeout)
+        elif not query.awaitTermination(run.timeout) and not run.every:
+            warnings.warn(f"{query.name} was stopped after {run.timeout} s and did not read all", CutShort, stacklevel=3)
     finally:
         query.stop()
     return query
 
 
+def _run(writer: DataStreamWriter, spark: SparkSession, run: Run) -> StreamingQuery:
+    with kept_reports(spark, run.reports) as keep:
+        query = keep(start(writer, spark, run))
+        return finish(query, run)
+
+
 def run_to_table(df: DataFrame, name: str, run: Run = Run(), folder: str | None = None) -> DataFrame:
     """Run a stream in append mode into Parquet files and return them as a DataFrame.
 
@@ -106,7 +119,7 @@ def run_to_table(df: DataFrame, name: str, run: Run = Run(), folder: str | None
         .option("checkpointLocation", f"{folder}/checkpoint")
         .option("path", f"{folder}/rows")
     )
-    finish(start(writer, spark, run), run)
+    _run(writer, spark, run)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
@@ -131,7 +144,7 @@ def run_batches(
         .queryName(f"{name}-{folder[-8:]}")
         .option("checkpointLocation", f"{folder}/checkpoint")
     )
-    return finish(start(writer, spark, run), run)
+    return _run(writer, spark, run)
 
 
 def run_to_console(df: DataFrame, run: Run = Run(), rows: int = 20) -> StreamingQuery:
@@ -144,4 +157,4 @@ def run_to_console(df: DataFrame, run: Run = Run(), rows: int = 20) -> Streaming
         .option("truncate", False)
         .option("checkpointLocation", f"{work_folder(spark, 'console')}/checkpoint")
     )
-    return finish(start(writer, spark, run), run)
+    return _run(writer, spark, run)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from conflux.functions import prefixed, python_predicate
 from conflux.operators import (
     Split,
+    chain_summary,
     cross_join,
     equi_join,
     equi_join_summary,
@@ -24,6 +25,7 @@ from conflux.operators import (
     interval_join,
     join_summary,
     measure,
+    running_extremes,
     running_totals,
     theta_join,
 )
@@ -223,10 +225,65 @@ def test_keys_of_different_width_hash_alike(spark):
     assert bag(equi_join(left, right, [("a", "b")], split=split)) == Counter({(0, 0): 10, (1, 1): 20})
 
 
-def test_keys_of_different_kind_are_refused_when_measured(spark):
-    left = spark.createDataFrame([("1",)], "a string")
-    with pytest.raises(TypeError, match="common types"):
-        measure(left, relation(spark, [1], "b"), [("a", "b")])
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "string", "double", "smallint"])
+def test_keys_of_different_kinds_join_alike_at_every_size(spark, threshold, kind, monkeypatch):
+    monkeypatch.setattr("conflux.operators.split.MIN_ROWS_PER_CELL", 4)
+    left = spark.range(60).select((F.col("id") % 4).cast("int").alias("a"))
+    right = spark.range(40).select((F.col("id") % 5).cast(kind).alias("b"))
+    expected = Counter({k: 15 * 8 for k in range(4)})
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": threshold}):
+        assert Counter(r["a"] for r in equi_join(left, right, [("a", "b")]).collect()) == expected
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_rows_without_an_order_join_alike_at_every_size(spark, threshold, monkeypatch):
+    monkeypatch.setattr("conflux.operators.split.MIN_ROWS_PER_CELL", 4)
+    left = spark.range(60).select((F.col("id") % 2).alias("a"), F.create_map(F.lit("k"), F.col("id") % 3).alias("m"))
+    right = spark.range(20).select((F.col("id") % 2).alias("b"), F.lit("x").alias("y"))
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": threshold}):
+        found = equi_join(left, right, [("a", "b")])
+        assert Counter((r["a"], r["m"]["k"]) for r in found.collect()) == Counter((i % 2, i % 3) for i in range(60) for _ in range(10))
+
+
+def test_null_keys_get_no_grid_and_leave_filters_pushed_down(spark, no_broadcast, tmp_path):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 50).alias("a"), F.col("id").alias("x"))
+    rows.write.parquet(str(tmp_path / "t"))
+    left = spark.read.parquet(str(tmp_path / "t"))
+    right = prefixed(left, "b_")
+    split = measure(left, right, [("a", "b_a")], rows_per_cell=200)
+    assert split.whole
+    dealt = equi_join(left, right, [("a", "b_a")], split=Split(2, 2))
+    pushed = [line for line in plan_with_filters(dealt).splitlines() if "PushedFilters" in line]
+    assert len(pushed) == 2 and all("IsNotNull" in line for line in pushed)
+    expected = bag(left.join(right, F.col("a") == F.col("b_a")).groupBy("a").count())
+    assert bag(dealt.groupBy("a").count()) == expected
+
+
+def plan_with_filters(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_two_hundred_hot_keys_get_a_grid_each(spark, no_broadcast):
+    left = spark.range(40_000).select((F.col("id") % 200).alias("a"))
+    right = spark.range(1000).select((F.col("id") % 1000).alias("b"))
+    split = measure(left, right, [("a", "b")], rows_per_cell=100)
+    assert len([h for h in split.heavy if h[1] > 1]) == 200 or split.rows > 1
+    counts = equi_join(left, right, [("a", "b")], split=split).groupBy("a").count().collect()
+    assert Counter(r["count"] for r in counts) == {200: 200}
+
+
+def test_theta_joins_and_chains_take_ids(spark, no_broadcast):
+    left = relation(spark, [1, 1, 2], "a").withColumn("a_id", F.monotonically_increasing_id())
+    right = relation(spark, [1, 2, 2], "b").withColumn("b_id", F.monotonically_increasing_id())
+    found = theta_join(left, right, lambda l, r: l.a < r.b, side="grid", shape=(2, 2), left_id=["a_id"], right_id=["b_id"])
+    assert bag(found.select("a", "b")) == Counter({(1, 2): 4})
+    times = [0, 100, 700, 1300, 2500]
+    a, b, c = (stamps(spark, times, n) for n in "abc")
+    others, splits = [(b, "b_ts"), (c, "c_ts")], [Split(2, 2), Split(2, 3)]
+    plain = interval_chain(a, "a_ts", others, WITHIN, [None, None])
+    with_ids = interval_chain(a, "a_ts", others, WITHIN, splits, ids=[["a_id"], ["b_id"], ["c_id"]])
+    assert bag(with_ids) == bag(plain)
 
 
 def test_profiles_of_pairs():
@@ -319,3 +376,27 @@ def test_summary_of_nothing_and_of_no_time(spark):
     assert equi_join_summary(a.where("false"), stamps(spark, [5], "b"), [("a_id", "b_id")], "a_ts", "b_ts").first()[
         "size"
     ] == 0
+
+
+def test_chain_summary_equals_summary_of_the_chain(spark):
+    rows = {n: stamps(spark, [5, 9, 1, 30, 7, 2, 44], n).withColumn(f"{n}_k", F.pmod(F.col(f"{n}_id") * 3, F.lit(5))) for n in "abc"}
+    on = F.expr("a_k < b_k and b_k < c_k")
+    built = join_summary(
+        rows["a"].crossJoin(rows["b"]).crossJoin(rows["c"]).where(on), F.least("a_ts", "b_ts", "c_ts"), F.greatest("a_ts", "b_ts", "c_ts")
+    )
+    found = chain_summary([(rows[n], f"{n}_k", f"{n}_ts") for n in "abc"])
+    assert tuple(found.first()) == tuple(built.first())
+    nothing = chain_summary([(rows["a"], "a_k", "a_ts"), (rows["b"].where("false"), "b_k", "b_ts")])
+    assert nothing.first()["size"] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_running_extremes(spark, parts):
+    rows = spark.createDataFrame([(k, 10 * k % 7, 10 * k % 11) for k in (1, 2, 4, 5, 8, 9, 12)], "k int, n int, t int")
+    at = spark.createDataFrame([(k, k * k) for k in (0, 1, 2, 3, 8, 13)], "k int, x int")
+    found = running_extremes(rows, "k", ["n"], ["t"], [], at, parts)
+    known = [tuple(r) for r in rows.collect()]
+    for r in found.collect():
+        before = [x for x in known if x[0] < r["k"]]
+        assert (r["x"], r["n_before"]) == (r["k"] ** 2, sum(x[1] for x in before))
+        assert r["t_before"] == (min(x[2] for x in before) if before else None)

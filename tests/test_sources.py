@@ -52,9 +52,9 @@ def test_bad_numbers_fail(spark, tmp_path):
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
         delimited_table(spark, str(tmp_path / "x.tbl"), "k int, v string").collect()
     lines = spark.read.text(str(tmp_path / "x.tbl"))
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="is no int"):
         lines.select(split_field(F.col("value"), 0)).collect()
-    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+    with pytest.raises(Exception, match="is no int"):
         lines.select(split_field(F.col("value"), 9)).collect()
 
 

@@ -1,10 +1,11 @@
 """Streams cut into several micro-batches give what the batch join gives."""
 
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SMALL, bag, cut_in_files
+from conftest import SMALL, bag, cut_in_files, settings
 from pyspark.sql import functions as F
 
 from conflux.functions import stamped
@@ -13,7 +14,9 @@ from conflux.plans import tpch
 from conflux.sources import file_stream, int_relation, table
 from conflux.streaming import (
     BatchFolder,
+    CutShort,
     Run,
+    progress_table,
     run_batches,
     run_to_console,
     run_to_table,
@@ -268,15 +271,52 @@ def test_timeout_ends_a_periodic_run(spark, cut, tmp_path):
 
 def test_settings_are_put_back(spark, cut):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    run_to_table(cut("a", ints(spark, A, "a"), 3), "t", Run(partitions=3, reports=7))
+    run_to_table(cut("a", ints(spark, A, "a"), 3), "t", Run(partitions=3))
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_every_report_is_kept_over_restarts(spark, cut, tmp_path):
+    """Five micro-batches of which Spark itself would hold two reports, then a second run with what came in meanwhile."""
+    a, run = ints(spark, range(50), "a"), Run(partitions=2, reports=str(tmp_path / "reports"))
+    source = str(tmp_path / "in")
+    a.where("a < 25").repartition(5).write.parquet(source)
+    with settings(spark, **{"spark.sql.streaming.numRecentProgressUpdates": "2"}):
+        for n in (5, 10):
+            run_to_table(file_stream(spark, source, a.schema, max_files=1), "t", run, folder=str(tmp_path / "out"))
+            found = progress_table(spark, run.reports).where("numInputRows > 0")
+            assert (found.count(), found.agg(F.sum("numInputRows")).first()[0]) == (n, 5 * n)
+            if n == 5:
+                a.where("a >= 25").repartition(5).write.mode("append").parquet(source)
+
+
+def test_streams_without_files_give_empty_results(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    nothing = lambda name: file_stream(spark, str(tmp_path / "none"), ints(spark, [], name).schema)
+    assert store_stream(nothing("a"), "t", FEW).count() == 0
+    pairs = stored_join(nothing("a"), nothing("b"), lambda l, r: equi_join(l, r, [("a", "b")]), "t", FEW)
+    assert pairs.columns == ["a", "b"] and pairs.count() == 0
+
+
+def test_a_run_cut_short_says_so(spark, cut):
+    slow = F.udf(lambda v: time.sleep(1) or v, "int")
+    stream = cut("a", ints(spark, A, "a"), 3).select(slow("a").alias("a"))
+    with pytest.warns(CutShort):
+        run_to_table(stream, "t", Run(timeout=2, partitions=2))
+
+
+def test_stream_with_a_table_over_the_threshold(spark, cut, no_broadcast):
+    a, b = ints(spark, A, "a"), ints(spark, B, "b")
+    with pytest.raises(ValueError, match="shape"):
+        theta_join(cut("a", a, 3), b, less)
+    found = theta_join(cut("a", a, 3), b, less, shape=(2, 2))
+    assert bag(run_to_table(found, "t", FEW)) == bag(theta_join(a, b, less, side="grid"))
+
+
 def test_failures_come_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.txt").write_text("1\ntwo\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="is no int"):
         run_to_table(int_relation(spark, str(tmp_path / "in"), stream=True), "t", FEW)
 
 
