@@ -214,33 +214,35 @@ class Profile:
         return Profile(self.mean * other.mean * keys, keys, top)
 
 
-def profiles(*inputs: tuple[DataFrame, Sequence[str]]) -> list[Profile]:
-    """Profile inputs by the given key columns, in one job; rows with a null key are left out.
+def _sketched(df: DataFrame, keys: Sequence[str], kinds: Sequence[str], number: int) -> DataFrame:
+    """One row: row count, number of keys and sketch of the most frequent keys, summed up in every map task, then in
+    ``SKETCH_GROUPS`` groups of them, then altogether."""
+    cores = parallelism(df)
+    groups = (
+        with_keys(df, keys)
+        .select(key_hash(df, keys, kinds).alias("h"))
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+        .agg(
+            F.count("h").alias("n"),
+            F.hll_sketch_agg("h").alias("keys"),
+            F.expr(f"approx_top_k_accumulate(h, {sketch_items(cores)})").alias("top"),
+        )
+    )
+    # By a group for all rows, as sketches of no input at all can't be merged.
+    return groups.groupBy(F.lit(number).alias("i")).agg(
+        F.sum("n").alias("n"),
+        F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(top), {top_keys(cores)})").alias("top"),
+    )
+
+
+def profiles(*inputs: tuple[DataFrame, Sequence[str]], kinds: Sequence[Sequence[str]] | None = None) -> list[Profile]:
+    """Profile inputs by the given key columns, in one job; rows with a null key are left out, and nothing is shuffled by key.
 
-    Each input aggregates to a single row (row count, number of keys, sketch of the most frequent keys): in every map
-    task, then in ``SKETCH_GROUPS`` groups of them, then altogether. Nothing is shuffled by key.
+    Keys are compared as the same kinds in all inputs, or in each as ``kinds`` says.
     """
-    kinds, parts = key_kinds(*inputs), []
-    cores = parallelism(inputs[0][0])
-    items, top = sketch_items(cores), top_keys(cores)
-    for i, (df, keys) in enumerate(inputs):
-        groups = (
-            with_keys(df, keys)
-            .select(key_hash(df, keys, kinds).alias("h"))
-            .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
-            .agg(
-                F.count("h").alias("n"),
-                F.hll_sketch_agg("h").alias("keys"),
-                F.expr(f"approx_top_k_accumulate(h, {items})").alias("top"),
-            )
-        )
-        # By a group for all rows, as sketches of no input at all can't be merged.
-        whole = groups.groupBy(F.lit(i).alias("i")).agg(
-            F.sum("n").alias("n"),
-            F.hll_sketch_estimate(F.hll_union_agg("keys")).alias("keys"),
-            F.expr(f"approx_top_k_estimate(approx_top_k_combine(top), {top})").alias("top"),
-        )
-        parts.append(whole)
+    kinds = [key_kinds(*inputs)] * len(inputs) if kinds is None else kinds
+    parts = [_sketched(df, keys, kind, i) for i, ((df, keys), kind) in enumerate(zip(inputs, kinds, strict=True))]
     found = {row["i"]: row for row in reduce(DataFrame.unionAll, parts).collect()}
     return [
         Profile(row["n"], row["keys"], {t["item"]: t["count"] for t in row["top"] or []}) if row else Profile(0, 0, {})
@@ -281,6 +283,21 @@ def measure(left: DataFrame, right: DataFrame, on: Pairs, rows_per_cell: int | N
     return split_for(*found, parallelism(left), rows_per_cell)
 
 
+def measure_all(joins: Sequence[tuple[DataFrame, DataFrame, Pairs]]) -> list[Split]:
+    """Splits of several joins of tables at rest from one counting job; none where Catalyst can broadcast a side."""
+    large = [i for i, (left, right, _) in enumerate(joins) if not fits_broadcast(left) and not fits_broadcast(right)]
+    inputs, kinds = [], []
+    for left, right, on in (joins[i] for i in large):
+        both = [(left, [l for l, _ in on]), (right, [r for _, r in on])]
+        inputs += both
+        kinds += [key_kinds(*both)] * 2
+    found = profiles(*inputs, kinds=kinds) if inputs else []
+    splits = [Split()] * len(joins)
+    for k, i in enumerate(large):
+        splits[i] = split_for(found[2 * k], found[2 * k + 1], parallelism(joins[i][0]))
+    return splits
+
+
 def _orderable(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.StructType):
         return all(_orderable(f.dataType) for f in dtype.fields)

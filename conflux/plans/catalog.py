@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from conflux.functions.columns import earliest, prefixed, row_message, split_field
+from conflux.functions.columns import earliest, prefixed, row_message, split_field, stamped
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
@@ -20,6 +21,7 @@ from conflux.plans import tpch
 from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
 from conflux.sources.generators import random_keys
+from conflux.sources.schemas import TPCH
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.progress import PROGRESS_COLUMNS, progress_table
 from conflux.streaming.run import Run, run_batches, run_to_table
@@ -133,6 +135,45 @@ def tbl_scan(spark, folder):
     return delimited_table(spark, _customer_lines(spark, folder), schema)
 
 
+@query(
+    """select o_orderkey, o_custkey, o_orderstatus, cast(o_orderdate as date) as o_orderdate, o_orderpriority,
+    0 as o_shippriority from orders"""
+)
+def tbl_schema_scan(spark, folder):
+    """Orders as text in the full layout, the columns the table lacks filled in, read by their published types."""
+    orders = table(spark, folder, "orders")
+    known = {
+        "o_totalprice": F.col("o_totalprice").cast("decimal(15,2)"),
+        "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "o_clerk": F.lit("Clerk"),
+        "o_shippriority": F.lit(0),
+        "o_comment": F.lit("none"),
+    }
+    fields = [known.get(f.name, F.col(f.name)) for f in StructType.fromDDL(TPCH["orders"]).fields]
+    path = work_folder(spark, "orders-lines")
+    orders.select(F.concat(F.concat_ws("|", *[f.cast("string") for f in fields]), F.lit("|"))).write.text(path)
+    read = delimited_table(spark, path, TPCH["orders"])
+    return read.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_shippriority")
+
+
+@query("select c_custkey, c_nationkey, true as stamped from customer")
+def arrival_stamp(spark, folder):
+    """Each row with the time at which it came in, which is the same for all and not in the future."""
+    rows = stamped(_keys(spark, folder, "customer", "c_custkey", "c_nationkey"))
+    instant = rows.agg(F.min("arrival_ts").alias("low"), F.max("arrival_ts").alias("high"))
+    sound = F.coalesce(F.col("low") == F.col("high"), F.lit(False)) & (F.col("arrival_ts") <= F.current_timestamp())
+    # One row of two times.
+    return rows.crossJoin(F.broadcast(instant)).select("c_custkey", "c_nationkey", sound.alias("stamped"))
+
+
+@query("select c_custkey, o_orderkey from customer join orders on c_custkey = o_custkey where c_mktsegment = 'BUILDING'")
+def transform_join(spark, folder):
+    """The joins as methods of a DataFrame."""
+    buyers = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    orders = _keys(spark, folder, "orders", "o_orderkey", "o_custkey")
+    return buyers.transform(equi_join, orders, [("c_custkey", "o_custkey")]).select("c_custkey", "o_orderkey")
+
+
 @query("select c_custkey, c_nationkey from customer")
 def split_cast(spark, folder):
     lines = text_lines(spark, _customer_lines(spark, folder))
@@ -539,6 +580,16 @@ def stream_store(spark, folder):
     return store_stream(customer, "stream-store").select("c_custkey", "c_nationkey")
 
 
+@query("select c_custkey, c_nationkey from customer")
+def stream_text_sink(spark, folder):
+    """A stream written as lines of text by micro-batch, read back."""
+    customer = _streamed(spark, folder, "customer", "c_custkey", "c_nationkey")
+    lines = BatchFolder(work_folder(spark, "stream-text"))
+    run_batches(customer, "stream-text", lines.write_text)
+    read = spark.read.text(lines.path).select(F.from_json("value", customer.schema).alias("row"))
+    return read.select("row.*")
+
+
 @query("select a.event_id as click_event_id, b.event_id as purchase_event_id " + _PAIRS_SQL)
 def stream_equi(spark, folder):
     split = _user_split(spark, folder)
@@ -640,6 +691,15 @@ def stream_q3(spark, folder):
     return run_to_table(joined.select(*_Q3_KEYS), "stream-q3")
 
 
+@query(f"select {', '.join(_Q3_KEYS)}, true as in_time {_Q3_FROM}")
+def stream_q3_times(spark, folder):
+    """The same with the times at which the pair and the result came out, of which only their order is fixed."""
+    streams, splits = _chain_inputs(spark, folder, *_Q3_TABLES)
+    joined = tpch.q3_chain(*streams, splits=splits, stamps=True)
+    found = run_to_table(joined.select(*_Q3_KEYS, "pair_ts", "emit_ts"), "stream-q3-times")
+    return found.select(*_Q3_KEYS, F.coalesce(F.col("pair_ts") <= F.col("emit_ts"), F.lit(False)).alias("in_time"))
+
+
 @query(
     """select c_custkey, o_orderkey, s_suppkey, s_nationkey from customer join orders on c_custkey = o_custkey
     join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflux.operators.equi import choose_split, equi_join
-from conflux.operators.split import Split, fits_broadcast
+from conflux.operators.split import fits_broadcast, measure_all, Split
 
 # The parameters of Q3.
 SEGMENT = "FURNITURE"
@@ -144,17 +144,17 @@ def chain_splits(
     nation: DataFrame | None = None,
     region: DataFrame | None = None,
 ) -> ChainSplits:
-    """Measure the splits on tables at rest, such as the history a stream starts with."""
-    splits = {
-        "customer_orders": choose_split(customer, orders, [("c_custkey", "o_custkey")], "auto"),
-        "orders_lineitem": choose_split(orders, lineitem, [("o_orderkey", "l_orderkey")], "auto"),
+    """Measure the splits, in one job, on tables at rest, such as the history a stream starts with."""
+    joins = {
+        "customer_orders": (customer, orders, [("c_custkey", "o_custkey")]),
+        "orders_lineitem": (orders, lineitem, [("o_orderkey", "l_orderkey")]),
     }
     if supplier is not None:
-        splits["lineitem_supplier"] = choose_split(lineitem, supplier, [("l_suppkey", "s_suppkey")], "auto")
+        joins["lineitem_supplier"] = lineitem, supplier, [("l_suppkey", "s_suppkey")]
     if nation is not None and region is not None:
-        splits["supplier_nation"] = choose_split(supplier, nation, [("s_nationkey", "n_nationkey")], "auto")
-        splits["nation_region"] = choose_split(nation, region, [("n_regionkey", "r_regionkey")], "auto")
-    return ChainSplits(**splits)
+        joins["supplier_nation"] = supplier, nation, [("s_nationkey", "n_nationkey")]
+        joins["nation_region"] = nation, region, [("n_regionkey", "r_regionkey")]
+    return ChainSplits(**dict(zip(joins, measure_all(list(joins.values())), strict=True)))
 
 
 def q3_chain(
