@@ -17,6 +17,12 @@ from conflux.llm.tables import arrow_map, packed, saved, text_column
 WORDS = 3
 SEED = 42
 DISTANCE = 3
+# The distance up to which one segment's codewords alone find every pair: with 11 errors, one of four segments has two at most.
+WIDE_DISTANCE = 11
+# For near copies by content: shingles of so many words, and the least Jaccard similarity of their sets.
+SHINGLE, SIMILAR = 5, 0.8
+# Texts of a cluster that are checked against each other in one task; larger clusters are divided.
+CLUSTER = 512
 SEGMENTS, SEGMENT_BITS = 4, 16
 # Fingerprints of a key that one task compares with each other; larger keys are divided.
 GROUP = 4096
@@ -77,19 +83,42 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _keyed(fps: DataFrame) -> DataFrame:
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the row each belongs to. Two fingerprints up to 11 bits apart share a key: the nearby codewords of a segment
+    have one in common if it has two errors at most."""
+    table = keys_of_short_words(SEGMENT_BITS)
+    keys, rows = [], []
+    for i in range(SEGMENTS):
+        near = table[(fps.view(np.uint64) >> np.uint64(i * SEGMENT_BITS) & np.uint64(0xFFFF)).astype(np.int64)]
+        row, which = np.nonzero(near >= 0)
+        keys.append(i << 12 | near[row, which])
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _keyed(fps: DataFrame, keys_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, rows = golay_keys(values)
+            keys, rows = keys_of(values)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows])], ["key", "fp"])
 
     return arrow_map(fps.select("fp"), run, "key long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Edges that connect what links within ``distance`` connect, at most one for each fingerprint."""
-    bits = fps.view(np.uint64)
+    """Edges that connect what links within ``distance`` connect: all of them if they are few, else one for each fingerprint."""
+    bits, few = fps.view(np.uint64), ([], [])
+    for at in range(0, len(bits), 256):
+        near = np.bitwise_count(bits[at : at + 256, None] ^ bits[None, :]) <= distance
+        i, j = np.nonzero(near)
+        ahead = i + at < j
+        few[0].extend(fps[i[ahead] + at].tolist())
+        few[1].extend(fps[j[ahead]].tolist())
+        if len(few[0]) > len(fps):
+            break
+    else:
+        return few
     left, a, b = np.arange(len(fps)), [], []
     while len(left):
         front, left = [int(left[0])], left[1:]
@@ -166,14 +195,16 @@ def _linked(keyed: DataFrame, keys: list[str], distance: int, group: int) -> Dat
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """``u``, ``v``: links of distinct fingerprints (``fp``, long) that connect all those within ``distance`` (3 at most).
+    """``u``, ``v``: links of distinct fingerprints (``fp``, long) that connect all those within ``distance`` (11 at most).
+
+    Up to three bits, keys are 28 bits long; beyond that 12, so that many more fingerprints share one.
 
     The fingerprints of a key are compared in one task, up to ``group`` of them. A larger key is cut into blocks of its
     fingerprints, and each two of its blocks meet in a task, so no task holds more than two blocks and none is left out.
     """
-    if distance > DISTANCE:
-        raise ValueError("the keys find pairs of up to three different bits")
-    keyed = _keyed(fps)
+    if distance > WIDE_DISTANCE:
+        raise ValueError(f"the keys find pairs of up to {WIDE_DISTANCE} different bits")
+    keyed = _keyed(fps, golay_keys if distance <= DISTANCE else wide_keys)
     found = saved(_linked(keyed, ["key"], distance, group), "simhash-links")
     links = found.where("u is not null").select("u", "v")
     large = found.where("key is not null").select("key").distinct()
@@ -216,17 +247,114 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column_name: st
     return found.select(F.col("id").alias(id_column), "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text", words: int = WORDS) -> DataFrame:
-    """One row of ``docs``, all columns, of each group of ``near_copies``: the one with the smallest id.
+def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted; of a shorter text, of all its words; none without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(parts) - words + 1)
+    return np.unique(np.array([digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether the sets' Jaccard similarity is ``least`` or more; two empty sets are alike."""
+    few, many = sorted((len(a), len(b)))
+    if few < least * many:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (few + many - common)
+
+
+def _checked(members: DataFrame) -> DataFrame:
+    """``u``, ``v``: links of texts (by ``tie``) that connect all similar ones of each cell, one for each text at most."""
+
+    def forest(ties: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        left, out = list(range(len(ties))), []
+        while left:
+            front = [left.pop()]
+            while front and left:
+                node = front.pop()
+                found = [k for k in left if similar(sets[node], sets[k])]
+                out += [(ties[node], ties[k]) for k in found]
+                front += found
+                gone = set(found)
+                left = [k for k in left if k not in gone]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+            edges = forest(list(rows), list(rows.values()))
+            columns = [pa.array([e[i] for e in edges], pa.int64()) for i in range(2)]
+            return pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+        cell, rows = None, {}
+        for batch in batches:
+            cells = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for here, tie, data in zip(cells, text_column(batch, "tie"), text_column(batch, "shingles"), strict=True):
+                if here != cell and rows:
+                    yield out(rows)
+                    rows = {}
+                cell = here
+                rows[tie] = np.frombuffer(data, np.uint64)
+        if rows:
+            yield out(rows)
+
+    keys = ["root", "first", "second"]
+    rows = members.select(*keys, "tie", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return arrow_map(rows, run, "u long, v long")
+
+
+def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words).tobytes() for t in text_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["root", "tie", "shingles"])
+
+    return arrow_map(texts.select("root", "tie", "text"), run, "root long, tie long, shingles binary")
+
+
+def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (``id``, ``text``) as ``id``, ``tie`` (a hash of the text); and ``node``, ``root`` of the ties that are linked.
+
+    Texts are linked if their fingerprints are within 11 bits and the Jaccard similarity of their five-word shingles is 0.8 or
+    more. Fingerprints alone make clusters first; a cluster's texts are then compared in cells of up to two blocks, and each
+    two texts of a cluster meet in one.
+    """
+    rows = saved(simhash(docs.select("id", "text", F.xxhash64("text").alias("tie"))), "simhash")
+    wide = components(fingerprint_links(rows.select("fp").distinct(), WIDE_DISTANCE))
+    texts = rows.groupBy("fp", "tie").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("least"))
+    clustered = texts.join(wide, texts["fp"] == wide["node"], "left").select(F.coalesce("root", "fp").alias("root"), "tie", "least")
+    clustered = saved(clustered, "simhash-clusters")
+    sizes = clustered.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = clustered.join(sizes, "root").select("root", "n", F.col("tie").alias("of_tie"), "least")
+    chosen = saved(chosen, "simhash-chosen")
+    named = docs.withColumn("tie", F.xxhash64("text"))
+    same = (named["tie"] == chosen["of_tie"]) & named["id"].eqNullSafe(chosen["least"])
+    # A row that is repeated gives its text more than once, to the same place of the same cells.
+    with_text = _with_shingles(named.join(chosen, same).select("root", "tie", "text"), SHINGLE)
+    members = saved(with_text, "simhash-shingles").join(sizes, "root")
+    blocks = F.ceil(F.col("n") * 2 / cluster)
+    members = members.withColumn("block", F.pmod(F.xxhash64("tie"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = members.select(
+        "root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "tie", "shingles"
+    )
+    return rows.select("id", "tie"), components(saved(_checked(cells), "simhash-checked"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, of each group of ``similar_texts``: the one with the smallest id.
 
     Null ids come last. Of rows with the same id, the one with the smallest text hash stays; of rows that agree in
-    id and text, any one.
+    id and text, any one. Texts without words are alike, and so are null and empty ones.
     """
-    rows, groups = _grouped(docs, id_column, text_column_name, words)
-    found = rows.join(groups, rows["fp"] == groups["distinct_fp"])
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie")).alias("first"))
+    named = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column_name), F.lit("")).alias("text"))
+    rows, groups = similar_texts(named)
+    found = rows.join(groups, rows["tie"] == groups["node"], "left").withColumn("group", F.coalesce("root", "tie"))
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie")).alias("first"))
     kept = saved(first.select(F.col("first.id").alias("kept_id"), F.col("first.tie").alias("kept_tie")), "simhash-kept")
-    tied = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(f"row.`{text_column_name}`"))
+    whole = F.coalesce(F.col(f"row.`{text_column_name}`"), F.lit(""))
+    tied = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(whole))
     same = kept["kept_id"].eqNullSafe(tied["id"]) & (kept["kept_tie"] == tied["tie"])
     left = tied.join(kept, same, "left_semi")
     again = rows.groupBy("id", "tie").count().where("count > 1").select("id", "tie")
