@@ -67,6 +67,64 @@ def test_components_of_near_copies(small, texts):
     assert {i: r["component"] for i, r in got.items()} == wanted
 
 
+def reworded(draw, words, n):
+    """``words`` with ``n`` of them replaced."""
+    out = list(words)
+    for at in draw.sample(range(len(out)), n):
+        out[at] = f"new{draw.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("cluster", [512, 6])
+def test_one_of_each_group_of_similar_texts_stays(spark, small, cluster, monkeypatch):
+    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (cluster,))
+    draw = random.Random(6)
+    base = [[f"w{draw.randrange(500)}" for _ in range(n)] for n in (400, 150, 90)]
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()]
+    rows += [(2000 + 100 * k + i, " ".join(reworded(draw, b, len(b) // 90))) for k, b in enumerate(base) for i in range(20)]
+    rows += [(3000, "A b c"), (3001, "a  B c"), (3002, "a b"), (3003, None), (3004, ""), (3005, "\n"), (3001, "a  B c")]
+    rows += [(3006, rows[5][1]), (None, rows[5][1]), (None, "only here " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(docs).collect()
+
+    def shingles(text):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t in rows]
+    alike = [
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a + 1, len(rows))
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ]
+    group = joined(alike, range(len(rows)))
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        first.setdefault(group[k], []).append((i is None, i or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(g) for g in first.values())
+
+
+def test_every_pair_of_eleven_bits_shares_a_wide_key():
+    draw = random.Random(8)
+    for _ in range(300):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), draw.randint(4, 11)):
+            b ^= 1 << bit
+        keys = [set(simhash.wide_keys(np.array([x], np.uint64).view(np.int64))[0].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+def test_words_two_bits_apart_share_a_codeword():
+    table = golay.keys_of_short_words(16)
+    sets = [set(k[k >= 0].tolist()) for k in table[::97]]
+    for word, keys in zip(range(0, 1 << 16, 97), sets, strict=True):
+        for i in range(16):
+            for j in range(i):
+                assert keys & set(table[word ^ 1 << i ^ 1 << j].tolist())
+
+
 def test_every_pair_of_three_bits_shares_a_key():
     draw = random.Random(3)
     for _ in range(400):
