@@ -123,3 +123,8 @@ def tpch_within():
     from datetime import timedelta
 
     return timedelta(minutes=10)
+
+
+def test_q3_exchanges_the_open_orders_once(spark, no_broadcast):
+    found = tpch.q3_revenue(*(table(spark, SMALL, name) for name in ("customer", "orders", "lineitem")))
+    assert plan(found).count("Exchange hashpartitioning(o_orderkey") == 1
