@@ -319,7 +319,7 @@ def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, D
 
     Texts are linked if their fingerprints are within 11 bits and the Jaccard similarity of their five-word shingles is 0.8 or
     more. Fingerprints alone make clusters first; a cluster's texts are then compared in cells of up to two blocks, and each
-    two texts of a cluster meet in one.
+    two texts of a cluster meet in one. Similar texts that are further apart than 11 bits aren't linked.
     """
     rows = saved(simhash(docs.select("id", "text", F.xxhash64("text").alias("tie"))), "simhash")
     wide = components(fingerprint_links(rows.select("fp").distinct(), WIDE_DISTANCE))
