@@ -26,7 +26,8 @@ def session(master: str | None = None, app: str = "conflux", **settings: str) ->
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
