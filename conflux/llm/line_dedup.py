@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflux.llm.tables import packed, saved, text_key
+from conflux.llm.tables import merged, packed, saved, text_key
 
 SITES = 10
 LG_K = 12
@@ -73,7 +73,7 @@ def without_boilerplate(
     gone = saved(removed_lines(docs, id_column, text, site, sites), "lines-gone")
     gone = gone.select(F.col("id").alias("gone_id"), F.col("tie").alias("gone_tie"), "gone")
     rows = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(f"row.`{text}`"))
-    met = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]) & (rows["tie"] == gone["gone_tie"]), "left")
+    met = rows.join(merged(gone), rows["id"].eqNullSafe(gone["gone_id"]) & (rows["tie"] == gone["gone_tie"]), "left")
     whole = F.col(f"row.`{text}`")
     lines = F.split(whole, "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("gone", i)), "\n")

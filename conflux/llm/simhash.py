@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conflux.llm.components import components
 from conflux.llm.golay import keys_of_short_words
-from conflux.llm.tables import arrow_map, packed, saved, text_column
+from conflux.llm.tables import arrow_map, merged, packed, saved, text_column
 
 WORDS = 3
 SEED = 42
@@ -332,7 +332,7 @@ def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, D
     named = docs.withColumn("tie", F.xxhash64("text"))
     same = (named["tie"] == chosen["of_tie"]) & named["id"].eqNullSafe(chosen["least"])
     # A row that is repeated gives its text more than once, to the same place of the same cells.
-    with_text = _with_shingles(named.join(chosen, same).select("root", "tie", "text"), SHINGLE)
+    with_text = _with_shingles(named.join(merged(chosen), same).select("root", "tie", "text"), SHINGLE)
     members = saved(with_text, "simhash-shingles").join(sizes, "root")
     blocks = F.ceil(F.col("n") * 2 / cluster)
     members = members.withColumn("block", F.pmod(F.xxhash64("tie"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -356,7 +356,7 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: st
     whole = F.coalesce(F.col(f"row.`{text_column_name}`"), F.lit(""))
     tied = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(whole))
     same = kept["kept_id"].eqNullSafe(tied["id"]) & (kept["kept_tie"] == tied["tie"])
-    left = tied.join(kept, same, "left_semi")
+    left = tied.join(merged(kept), same, "left_semi")
     again = rows.groupBy("id", "tie").count().where("count > 1").select("id", "tie")
     again = saved(again.select(F.col("id").alias("kept_id"), F.col("tie").alias("kept_tie")), "simhash-again")
     if again.isEmpty():

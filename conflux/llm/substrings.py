@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflux.llm.tables import arrow_map, chunks, saved, text_column
+from conflux.llm.tables import arrow_map, chunks, merged, saved, text_column
 
 LENGTH = 400
 GRAM = 64
@@ -337,7 +337,7 @@ def without_repeats(
     )
     chosen = saved(chosen, "substring-chosen")
     same = (rows["t1"] == chosen["c1"]) & (rows["t2"] == chosen["c2"]) & rows["id"].eqNullSafe(chosen["least"])
-    texts = saved(rows.join(chosen, same).select("t1", "t2", "text", "places", "copies"), "substring-texts")
+    texts = saved(rows.join(merged(chosen), same).select("t1", "t2", "text", "places", "copies"), "substring-texts")
     runs = repeated_runs(texts.select("t1", "t2", "text", "places"), batch_rows, most)
     runs = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     once = texts.where("copies = 1").select("t1", "t2", "text")

@@ -24,6 +24,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df``, a table that grows with the documents, to be joined to their texts by sorting both at every size.
+
+    Broadcasting it as long as it is small would only put off the shuffle of the texts to where it costs most.
+    """
+    return df.hint("merge")
+
+
 def packed(df: DataFrame, name: str = "row") -> DataFrame:
     """All columns in one struct, so that added columns can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
