@@ -21,6 +21,9 @@ DISTANCE = 3
 WIDE_DISTANCE = 11
 # For near copies by content: shingles of so many words, and the least Jaccard similarity of their sets.
 SHINGLE, SIMILAR = 5, 0.8
+# One in so many texts tells which shingles are common, and so many of the most common ones are put last in the order of
+# shingles. Any order gives the same pairs; a good one gives fewer to check.
+COUNTED, COMMON = 16, 100_000
 # Texts of a cluster that are checked against each other in one task; larger clusters are divided.
 CLUSTER = 512
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -314,12 +317,125 @@ def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
     return arrow_map(texts.select("root", "tie", "text"), run, "root long, tie long, shingles binary")
 
 
+def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles: uncommon ones by hash, then common ones by number.
+
+    Of two sets whose Jaccard similarity is ``least`` or more, the larger lacks 1 - ``least`` of its shingles at most, so
+    they share one of the first so many and one more.
+    """
+    known, numbers = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, numbers[at], 0)
+    order = np.lexsort((shingles, rank))
+    return shingles[order[: int((1 - least) * len(shingles) + 1e-9) + 1]]
+
+
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, sorted, and in how many of the texts counted each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_column(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["shingle"])
+
+    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
+    sizes = arrow_map(counted, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 3")
+    found = sizes.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles = found.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found.column("n").to_numpy()[order]
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """``shingle``, ``tie``, ``at``, ``n``: the prefix of each text, the shingle's place in it and the size of the text's
+    set; only shingles that are in the prefixes of two texts or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
+    names = ["shingle", "tie", "at", "n"]
+    schema = "shingle long, tie long, at int, n int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, ties, sizes, seen = [], [], [], set()
+            for tie, text in zip(text_column(batch, "tie"), text_column(batch, "text"), strict=True):
+                if tie in seen:
+                    continue
+                seen.add(tie)
+                shingles = shingle_set(text)
+                if len(shingles):
+                    parts.append(prefix_of(shingles, shared.value))
+                    ties.append(tie)
+                    sizes.append(len(shingles))
+            if parts:
+                lengths = [len(p) for p in parts]
+                at = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                columns = [np.concatenate(parts).view(np.int64), np.repeat(ties, lengths), at, np.repeat(sizes, lengths).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted; the last row of a batch waits for the next one.
+        rest, twice = None, False
+        for batch in batches:
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            if not rows.num_rows:
+                continue
+            shingle, tie = (rows.column(i).to_numpy() for i in range(2))
+            repeated = np.append(False, (shingle[1:] == shingle[:-1]) & (tie[1:] == tie[:-1]))
+            first = np.flatnonzero(~repeated)
+            rows, shingle = rows.take(pa.array(first)), shingle[first]
+            same = shingle[1:] == shingle[:-1]
+            shared_by_two = np.append(twice, same) | np.append(same, False)
+            yield rows.slice(0, len(first) - 1).filter(pa.array(shared_by_two[:-1]))
+            rest, twice = rows.slice(len(first) - 1), bool(shared_by_two[-1])
+        if twice:
+            yield rest
+
+    rows = arrow_map(docs.select("tie", "text"), run, schema)
+    return arrow_map(rows.repartition("shingle").sortWithinPartitions("shingle", "tie"), met, schema)
+
+
+def _further_links(docs: DataFrame, roots: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``u``, ``v``: all pairs of similar texts (``docs`` with ``tie``) that have different roots.
+
+    A pair has its first shingle in common in both prefixes, and no more shingles in common than follow there.
+    """
+    rows = saved(_prefixes(docs), "simhash-prefixes")
+    rooted = rows.join(merged(roots), rows["tie"] == roots["node"], "left").withColumn("root", F.coalesce("root", "tie"))
+    rooted = saved(rooted.select("shingle", "tie", "at", "n", "root"), "simhash-rooted")
+    several = rooted.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
+    left = saved(rooted.join(merged(several), "shingle"), "simhash-several")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("tie", "at", "n", "root")])
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (1 + least)
+    near = (F.col("tie") < F.col("tie2")) & (F.col("root") != F.col("root2")) & (most >= least * (F.col("n") + F.col("n2")) - 1e-6)
+    pairs = left.join(merged(right), "shingle").where(near).select(F.col("tie").alias("u"), F.col("tie2").alias("v")).distinct()
+    pairs = saved(pairs, "simhash-pairs")
+    wanted = pairs.select(F.col("u").alias("tie")).union(pairs.select(F.col("v").alias("tie"))).distinct()
+
+    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t).tobytes() for t in text_column(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["tie", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in text_column(batch, c)] for c in ("a", "b"))
+            alike = [similar(x, y, least) for x, y in zip(a, b, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    texts = docs.select("tie", "text").join(merged(wanted), "tie").groupBy("tie").agg(F.first("text").alias("text"))
+    sets = saved(arrow_map(texts, of_text, "tie long, shingles binary"), "simhash-sets")
+    with_a = pairs.join(merged(sets.select(F.col("tie").alias("u"), F.col("shingles").alias("a"))), "u")
+    with_both = with_a.join(merged(sets.select(F.col("tie").alias("v"), F.col("shingles").alias("b"))), "v")
+    return arrow_map(with_both.select("u", "v", "a", "b"), check, "u long, v long")
+
+
 def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (``id``, ``text``) as ``id``, ``tie`` (a hash of the text); and ``node``, ``root`` of the ties that are linked.
 
-    Texts are linked if their fingerprints are within 11 bits and the Jaccard similarity of their five-word shingles is 0.8 or
-    more. Fingerprints alone make clusters first; a cluster's texts are then compared in cells of up to two blocks, and each
-    two texts of a cluster meet in one. Similar texts that are further apart than 11 bits aren't linked.
+    Texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Fingerprints within 11 bits make
+    clusters first; a cluster's texts are compared in cells of up to two blocks, and each two texts of a cluster meet in one.
+    Similar texts that this leaves apart, however far their fingerprints are, are found by prefixes of their shingles.
     """
     rows = saved(simhash(docs.select("id", "text", F.xxhash64("text").alias("tie"))), "simhash")
     wide = components(fingerprint_links(rows.select("fp").distinct(), WIDE_DISTANCE))
@@ -339,7 +455,9 @@ def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, D
     cells = members.select(
         "root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "tie", "shingles"
     )
-    return rows.select("id", "tie"), components(saved(_checked(cells), "simhash-checked"))
+    links = saved(_checked(cells), "simhash-checked")
+    more = saved(_further_links(named.select("tie", "text"), components(links)), "simhash-further")
+    return rows.select("id", "tie"), components(links.unionByName(more))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text") -> DataFrame:
