@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from conflux.llm.tables import arrow_map, chunks, saved, text_column
 
 WINDOW = 16
-# A window is a feature if it is the rarest of so many neighbourhoods of SPAN windows in a row; of a text whose windows
-# fit in one filter, every window is.
+# A window is a feature if it is the rarest of so many neighbourhoods of SPAN windows in a row. A text too short for that has
+# its rarest window. A longer text that holds a shorter one has all of its neighbourhoods, so its voted features too.
 SPAN, POPULAR = 32, 8
 # Entropy, in bits a byte, of a usual window of text; below LEAST_ENTROPY a window is all repetition and tells little.
 TYPICAL, LEAST_ENTROPY = 3.2, 1.0
@@ -70,11 +70,8 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     np.add.at(marks, last + 1, -1)
     inside = np.cumsum(marks[:-1]) > 0
     votes = np.bincount(least[inside] & places, minlength=len(key))
-    few = windows <= FEATURES
     chosen = votes >= POPULAR
-    for s, e in zip(starts[few].tolist(), ends[few].tolist(), strict=True):
-        chosen[s : e - WINDOW + 1] = True
-    for s, e in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         part = slice(s, e - WINDOW + 1)
         if not chosen[part].any():
             chosen[int(key[part].min() & places)] = True

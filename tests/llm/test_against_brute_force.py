@@ -315,6 +315,20 @@ def test_digests_do_not_depend_on_what_is_beside_them(texts):
     assert digest.likeness(digest.digests([b""])[0], together[0]) == 0.0
 
 
+def test_a_passage_is_as_like_its_document_at_every_length(texts):
+    plain = [d for t in texts.values() if len(d := (t or "").encode()) > 6000][:20]
+    assert len(plain) > 3
+    draw = random.Random(11)
+    for size in (100, 120, 170, 175, 176, 190, 400):
+        found = []
+        for data in plain:
+            for _ in range(5):
+                at = draw.randrange(len(data) - size)
+                a, b = digest.digests([data[at : at + size], data])
+                found.append(digest.likeness(a, b))
+        assert sum(found) / len(found) > 0.9, size
+
+
 def test_rarity_is_the_windows_entropy():
     data = np.random.default_rng(0).integers(97, 105, 300).astype(np.uint8)
     rank = digest._rarity(data)
