@@ -19,8 +19,8 @@ from conflux.llm.tables import arrow_map, chunks, text_column
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-# Longer words are cut every so many characters.
-LONGEST = 256
+# Longer words aren't put in a trie or kept: each is segmented by itself, so many characters at a time.
+LONGEST, STEP = 256, 1 << 16
 # Words whose counts a task keeps; beyond that it starts anew, so memory is bounded.
 KEPT = 400_000
 TEXT_BYTES = 8_000_000
@@ -29,11 +29,8 @@ _BASE = 0x100000001B3
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of characters that are not white space, cut where they are too long."""
-    words = (text or "").split()
-    if all(len(w) <= LONGEST for w in words):
-        return words
-    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    """Runs of characters that are not white space."""
+    return (text or "").split()
 
 
 @dataclass(frozen=True)
@@ -81,6 +78,12 @@ class Unigram:
 
     def counts(self, words: list[str]) -> np.ndarray:
         """The number of tokens of the best segmentation of each word, with a mark for the space before it; of equally good ones, the one with fewest tokens counts."""
+        long = np.array([len(w) > LONGEST for w in words], bool)
+        if long.any():
+            out = np.empty(len(words), np.int64)
+            out[long] = [self._count(w) for w in words if len(w) > LONGEST]
+            out[~long] = self.counts([w for w in words if len(w) <= LONGEST])
+            return out
         if not words:
             return np.empty(0, np.int64)
         words = [SPACE + w for w in words]
@@ -139,6 +142,50 @@ class Unigram:
         out[order] = tokens
         return out
 
+    def _count(self, word: str) -> int:
+        """What ``counts`` says of one word: all pieces at each place, then the best way to each place in turn."""
+        data = np.frombuffer((SPACE + word).encode("utf-32-le", "surrogatepass"), np.uint32)
+        longest = max(self.by_length, default=1)
+        # Score and tokens of the best way to the places from the present one on; None where there is none yet.
+        ahead: list[tuple[int, int] | None] = [(0, 0)]
+        for at in range(0, len(data), STEP):
+            part = data[at : at + STEP + longest - 1]
+            n = min(STEP, len(data) - at)
+            starts, lengths, gains = [], [], []
+            hashes = np.zeros(len(part), np.uint64)
+            for length in range(1, min(longest, len(part)) + 1):
+                hashes = hashes[: len(part) - length + 1] * np.uint64(_BASE) + part[length - 1 :]
+                if length not in self.by_length:
+                    continue
+                known, chars, scores = self.by_length[length]
+                wanted = hashes[:n]
+                place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                hit = np.flatnonzero(known[place] == wanted)
+                hit = hit[(part[hit[:, None] + np.arange(length)] == chars[place[hit]]).all(axis=1)]
+                starts.append(hit)
+                lengths.append(np.full(len(hit), length))
+                gains.append(scores[place[hit]])
+            if starts:
+                start = np.concatenate(starts)
+                order = np.argsort(start, kind="stable")
+                edges = list(zip(np.concatenate(lengths)[order].tolist(), np.concatenate(gains)[order].tolist(), strict=True))
+                bounds = np.searchsorted(start[order], np.arange(n + 1)).tolist()
+            else:
+                edges, bounds = [], [0] * (n + 1)
+            c = part[:n]
+            widths = np.select([c < 0x80, c < 0x800, c < 0x10000], [1, 2, 3], 4).tolist()
+            best = ahead + [None] * (n + longest + 1 - len(ahead))
+            for i in range(n):
+                score, tokens = best[i]
+                ways = [(1, self.unknown, widths[i])]
+                ways += [(length, gain, 1) for length, gain in edges[bounds[i] : bounds[i + 1]]]
+                for length, gain, more in ways:
+                    s, t, old = score + gain, tokens + more, best[i + length]
+                    if old is None or s > old[0] or s == old[0] and t < old[1]:
+                        best[i + length] = s, t
+            ahead = best[n:]
+        return ahead[0][1]
+
 
 def token_counts(docs: DataFrame, model: Unigram, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_column``, ``n_words`` and ``n_tokens`` of the whole text of every row; null and blank texts have none."""
@@ -158,6 +205,9 @@ def token_counts(docs: DataFrame, model: Unigram, id_column: str = "doc_id", tex
                 known.update(zip(new, shared.value.counts(new).tolist(), strict=True))
                 n_words += [len(words) for words in split]
                 n_tokens += [sum(map(known.__getitem__, words)) for words in split]
+                for w in new:
+                    if len(w) > LONGEST:
+                        del known[w]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], schema.names
             )

@@ -367,6 +367,36 @@ def test_token_counts(spark, small, texts):
     assert model.counts(odd).tolist() == [plain_count(model, w) for w in odd]
 
 
+def test_long_words_are_counted_whole(spark):
+    model = token_count.Unigram.read()
+    draw = random.Random(12)
+    scores = dict(zip(model.pieces, model.scores.tolist(), strict=True))
+    longest = max(map(len, scores))
+
+    def plain_long(word):
+        word, best = token_count.SPACE + word, [(0, 0)]
+        for end in range(1, len(word) + 1):
+            options = [(best[-1][0] + model.unknown, best[-1][1] - len(word[end - 1].encode()))]
+            for s in range(max(0, end - longest), end):
+                if word[s:end] in scores:
+                    options.append((best[s][0] + scores[word[s:end]], best[s][1] - 1))
+            best.append(max(options))
+        return -best[-1][1]
+
+    pieces = [p.strip(token_count.SPACE) or "x" for p in model.pieces[:3000]]
+    whole = [
+        "".join(draw.choice(pieces) for _ in range(400))[:300],
+        "the" * 100,
+        "日本語の文章" * 60,
+        "".join(draw.choice("ab日😀/=é") for _ in range(100_000)),
+    ]
+    assert model.counts([*whole, "a"]).tolist() == [plain_long(w) for w in [*whole, "a"]]
+    docs = spark.createDataFrame([(1, f"a {whole[0]}\n{whole[3]} b"), (2, whole[1])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_count.token_counts(docs, model).collect()}
+    words = ["a", whole[0], whole[3], "b"]
+    assert got == {1: (4, sum(plain_long(w) for w in words)), 2: (1, plain_long(whole[1]))}
+
+
 # ---- mixing ----------------------------------------------------------------------------------
 
 
