@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conflux.llm.collocations import collocations
 from conflux.llm.decontaminate import contamination
 from conflux.llm.digest import with_next
 from conflux.llm.langid import identify, train
@@ -146,3 +147,44 @@ def op7_surrogates(spark, folder):
 @query()
 def op10_substrings(spark, folder):
     return without_repeats(table(spark, folder, "documents"))
+
+
+PHRASES_SQL = """
+with pieces as (
+  select row_number() over () as p, lang, regexp_extract_all(piece, '[^ \t]+') as words
+  from (select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\n\x0B\f\r]')) as piece from documents)),
+sizes as (select unnest(range(1, 5)) as size),
+counts as (
+  select lang, words, count(*) as f
+  from (select lang, unnest(list_transform(range(1, len(words) - size + 2), lambda i: list_slice(words, i, i + size - 1))) as words
+        from pieces, sizes where len(words) >= size)
+  group by lang, words having count(*) >= 30 or len(words) = 1),
+totals as (select lang, sum(f) as n from counts where len(words) = 1 group by lang),
+cuts as (
+  select lang, words, f, unnest(range(1, len(words))) as k from counts where len(words) > 1 and f >= 30),
+scored as (
+  select c.lang, c.words, c.f as a, k, l.f as l, r.f as r, 2000000::hugeint * c.f // (l.f + r.f) as score
+  from cuts c join counts l on l.lang = c.lang and l.words = list_slice(c.words, 1, k)
+  join counts r on r.lang = c.lang and r.words = list_slice(c.words, k + 1, len(c.words))),
+best as (select * from scored qualify row_number() over (partition by lang, words order by score, k) = 1),
+around as (
+  select lang, inner_words, max(f) as f
+  from (select lang, f, unnest([list_slice(words, 1, len(words) - 1), list_slice(words, 2, len(words))]) as inner_words
+        from counts where len(words) > 2 and f >= 30)
+  group by lang, inner_words),
+kept as (
+  select b.lang, array_to_string(b.words, ' ') as phrase, a, l, r, score
+  from best b left join around o on o.lang = b.lang and o.inner_words = b.words
+  where coalesce(100 * o.f < 80 * a, true))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r,
+       n::bigint as n, score::bigint as score
+from kept join totals using (lang)
+qualify rank <= 2000
+"""
+
+
+@query(PHRASES_SQL)
+def op11_collocations(spark, folder):
+    return collocations(table(spark, folder, "documents"))
