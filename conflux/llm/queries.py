@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from conflux.llm.collocations import collocations
 from conflux.llm.decontaminate import contamination
 from conflux.llm.digest import with_next
+from conflux.llm.embedding_copies import embedding_copies
+from conflux.llm.hard_negatives import hard_negatives
 from conflux.llm.langid import identify, train
 from conflux.llm.line_dedup import SITES, without_boilerplate
 from conflux.llm.mixing import mixed
@@ -188,3 +190,49 @@ qualify rank <= 2000
 @query(PHRASES_SQL)
 def op11_collocations(spark, folder):
     return collocations(table(spark, folder, "documents"))
+
+
+VECTORS_SQL = """
+with recursive usable as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select a.vec_id as u, b.vec_id as v from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, p.v from reached r join pairs p on p.u = r.other)
+select e.vec_id, (select count(*) from pairs where u = e.vec_id) as n_links, min(r.other) as component_id,
+       e.vec_id = min(r.other) as kept
+from embeddings e join reached r on r.vec_id = e.vec_id group by e.vec_id
+"""
+
+
+@query(VECTORS_SQL)
+def op12_embedding_copies(spark, folder):
+    return embedding_copies(table(spark, folder, "embeddings"))
+
+
+NEGATIVES_SQL = """
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from usable a join usable b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, (row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
+@query(NEGATIVES_SQL)
+def op13_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", label))

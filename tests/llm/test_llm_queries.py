@@ -17,7 +17,7 @@ from conflux.llm.url_rules import judged, open_prefixes, rules_table
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     result = con.execute(ORACLES[name])

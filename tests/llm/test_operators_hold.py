@@ -74,5 +74,5 @@ def test_stages_of_an_empty_table(spark, no_documents, tmp_path):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert Path(corpus_pipeline.__file__).parent == Path(__file__).resolve().parents[2]
