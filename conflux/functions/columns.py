@@ -19,8 +19,10 @@ class Side:
 
     def __init__(self, columns: Sequence[str]):
         self._columns = frozenset(columns)
+        self._asked = False
 
     def __getitem__(self, name: str) -> Column:
+        self._asked = True
         if name not in self._columns:
             raise AttributeError(f"no column {name!r} here; there are {sorted(self._columns)}")
         return F.col(f"`{name}`")
@@ -43,6 +45,24 @@ def condition_of(left: DataFrame, right: DataFrame, predicate: Predicate) -> Col
     return predicate(Side(left.columns), Side(right.columns))
 
 
+def sided(
+    left: DataFrame, right: DataFrame, predicates: Predicate | Sequence[Predicate] | None
+) -> tuple[DataFrame, DataFrame, Column | None]:
+    """The inputs of an inner join, filtered by the predicates that ask for columns of one side only, and all others as one condition."""
+    require_distinct_names(left, right)
+    both = None
+    for predicate in [predicates] if callable(predicates) else predicates or []:
+        l, r = Side(left.columns), Side(right.columns)
+        condition = predicate(l, r)
+        if l._asked and not r._asked:
+            left = left.where(condition)
+        elif r._asked and not l._asked:
+            right = right.where(condition)
+        else:
+            both = condition if both is None else both & condition
+    return left, right, both
+
+
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     """Put ``prefix`` before every column name, so that a relation can be joined with itself."""
     return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from conflux.functions.columns import Predicate, condition_of
+from conflux.functions.columns import Predicate, sided
 from conflux.operators.split import Pairs, Split, fits_broadcast, measure, meet
 
 
@@ -33,15 +33,19 @@ def equi_join(
     left: DataFrame,
     right: DataFrame,
     on: Pairs,
-    residual: Predicate | None = None,
+    residual: Predicate | Sequence[Predicate] | None = None,
     split: Split | str | None = "auto",
     left_id: Sequence[str] | None = None,
     right_id: Sequence[str] | None = None,
+    apart: bool = True,
 ) -> DataFrame:
     """All pairs with equal keys for which ``residual`` holds, duplicates kept; columns are left, then right.
 
-    ``on`` lists pairs of column names. Works on batch and streaming inputs; for streams give a
-    fixed Split (or None).
+    ``on`` lists pairs of column names. Of several residual predicates, those that look at one side only filter it before
+    anything else, hot keys included. Works on batch and streaming inputs; for streams give a fixed Split (or None).
+
+    Batch inputs are read twice if some keys are hot, once for these and once for all others; ``apart=False`` reads them once,
+    and is for inputs that are costly to work out, such as joins: all rows are then numbered to be dealt.
     """
-    condition = None if residual is None else condition_of(left, right, residual)
-    return meet(left, right, on, condition, choose_split(left, right, on, split), left_id, right_id)
+    left, right, condition = sided(left, right, residual)
+    return meet(left, right, on, condition, choose_split(left, right, on, split), left_id, right_id, apart)

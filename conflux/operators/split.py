@@ -330,6 +330,11 @@ def _text(field: T.StructField) -> Column:
     return column.cast("string") if isinstance(field.dataType, T.VariantType) else F.to_json(F.struct(column))
 
 
+def _grids(df: DataFrame, split: Split) -> DataFrame:
+    """One row for each hot key, of which there are ``top_keys`` for each side at most."""
+    return F.broadcast(df.sparkSession.createDataFrame(list(split.heavy), "__hot long, __hot_rows int, __hot_cols int"))
+
+
 def _dealt(
     df: DataFrame,
     split: Split,
@@ -338,8 +343,12 @@ def _dealt(
     other: str,
     row_id: Sequence[str] | None,
     streaming: bool = False,
+    hot_only: bool = False,
 ) -> DataFrame:
+    """``df`` with the cells its rows go to; with ``hot_only``, only the rows of hot keys, found before any is numbered."""
     kept = df.columns
+    if hot_only:
+        df = df.join(_grids(df, split), hashed == F.col("__hot"), "left_semi")
     pieces = [split.rows, *(h[1] for h in split.heavy)] if own == ROW else [split.cols, *(h[2] for h in split.heavy)]
     if max(pieces) > 1:
         df, number = row_number_hash(df, row_id, streaming)
@@ -348,9 +357,7 @@ def _dealt(
         number = F.pmod(F.xxhash64(F.col(f"`{kept[0]}`")), F.lit(1))
     rows, cols = F.lit(split.rows), F.lit(split.cols)
     if split.heavy:
-        # One row for each hot key, of which there are ``top_keys`` for each side at most.
-        grids = df.sparkSession.createDataFrame(list(split.heavy), "__hot long, __hot_rows int, __hot_cols int")
-        df = df.withColumn("__hash", hashed).join(F.broadcast(grids), F.col("__hash") == F.col("__hot"), "left")
+        df = df.withColumn("__hash", hashed).join(_grids(df, split), F.col("__hash") == F.col("__hot"), "left")
         rows, cols = F.coalesce("__hot_rows", rows), F.coalesce("__hot_cols", cols)
     here, there = (rows, cols) if own == ROW else (cols, rows)
     return df.select(
@@ -368,9 +375,26 @@ def meet(
     split: Split,
     left_id: Sequence[str] | None = None,
     right_id: Sequence[str] | None = None,
+    apart: bool = False,
 ) -> DataFrame:
-    """Inner join on the pairs of columns ``on`` and ``condition``, the work divided by ``split``."""
+    """Inner join on the pairs of columns ``on`` and ``condition``, the work divided by ``split``.
+
+    With ``apart``, where only some keys of tables at rest have a grid, all other rows are joined plainly: conditions reach
+    their scans, nothing is numbered or copied. The rows of hot keys are picked out by a broadcast list of these keys, dealt
+    over their grids, joined, and added. Both inputs are worked out twice for it, so it is for tables, not for joins of joins.
+    """
     require_distinct_names(left, right)
+    streaming = left.isStreaming or right.isStreaming
+    if apart and split.heavy and (split.rows, split.cols) == (1, 1) and not streaming:
+        left, right = with_keys(left, [l for l, _ in on]), with_keys(right, [r for _, r in on])
+        hashes = _key_hashes(left, right, on)
+        cold = [df.join(_grids(df, split), h == F.col("__hot"), "left_anti") for df, h in zip((left, right), hashes, strict=True)]
+        rest = _met(*cold, on, condition, Split(), left_id, right_id, False)
+        return rest.unionAll(_met(left, right, on, condition, split, left_id, right_id, True))
+    return _met(left, right, on, condition, split, left_id, right_id, False)
+
+
+def _met(left, right, on, condition, split, left_id, right_id, hot_only) -> DataFrame:
     output = left.columns + right.columns
     equal = [F.col(f"`{l}`") == F.col(f"`{r}`") for l, r in on]
     streaming = left.isStreaming or right.isStreaming
@@ -378,8 +402,8 @@ def meet(
         left_hash, right_hash = _key_hashes(left, right, on) if split.heavy else (None, None)
         # Numbering keeps Catalyst from moving this below by itself.
         left, right = with_keys(left, [l for l, _ in on]), with_keys(right, [r for _, r in on])
-        left = _dealt(left, split, left_hash, ROW, COL, left_id, streaming)
-        right = _dealt(right, split, right_hash, COL, ROW, right_id, streaming)
+        left = _dealt(left, split, left_hash, ROW, COL, left_id, streaming, hot_only)
+        right = _dealt(right, split, right_hash, COL, ROW, right_id, streaming, hot_only)
         right = right.withColumnsRenamed({ROW: ROW + "_r", COL: COL + "_r"})
         equal += [F.col(ROW) == F.col(ROW + "_r"), F.col(COL) == F.col(COL + "_r")]
     if equal:

@@ -173,10 +173,10 @@ def q3_chain(
     the result (``emit_ts``) came out. Tables are measured when no splits are given.
     """
     splits = splits or _splits_of(customer, orders, lineitem)
-    pairs = equi_join(customer, orders, [("c_custkey", "o_custkey")], split=splits.customer_orders)
+    pairs = equi_join(customer, orders, [("c_custkey", "o_custkey")], split=splits.customer_orders, apart=False)
     if stamps:
         pairs = pairs.withColumn("pair_ts", F.current_timestamp())
-    joined = equi_join(pairs, lineitem, [("o_orderkey", "l_orderkey")], split=splits.orders_lineitem)
+    joined = equi_join(pairs, lineitem, [("o_orderkey", "l_orderkey")], split=splits.orders_lineitem, apart=False)
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
 
 
@@ -198,9 +198,9 @@ def q5_chain(
     splits = splits or _splits_of(customer, orders, lineitem, supplier, nation, region)
     joined = q3_chain(customer, orders, lineitem, splits, stamps).drop("emit_ts")
     if nation is not None and region is not None:
-        places = equi_join(nation, region, [("n_regionkey", "r_regionkey")], split=splits.nation_region)
-        supplier = equi_join(supplier, places, [("s_nationkey", "n_nationkey")], split=splits.supplier_nation)
-    joined = equi_join(joined, supplier, [("l_suppkey", "s_suppkey")], split=splits.lineitem_supplier)
+        places = equi_join(nation, region, [("n_regionkey", "r_regionkey")], split=splits.nation_region, apart=False)
+        supplier = equi_join(supplier, places, [("s_nationkey", "n_nationkey")], split=splits.supplier_nation, apart=False)
+    joined = equi_join(joined, supplier, [("l_suppkey", "s_suppkey")], split=splits.lineitem_supplier, apart=False)
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
 
 

@@ -7,6 +7,7 @@ from conftest import SMALL, bag, plan, settings
 from pyspark.sql import functions as F
 
 from conflux.operators import Split, equi_join, interval_join
+from conflux.operators.split import measure
 from conflux.plans import tpch
 from conflux.sources import table
 
@@ -128,3 +129,52 @@ def tpch_within():
 def test_q3_exchanges_the_open_orders_once(spark, no_broadcast):
     found = tpch.q3_revenue(*(table(spark, SMALL, name) for name in ("customer", "orders", "lineitem")))
     assert plan(found).count("Exchange hashpartitioning(o_orderkey") == 1
+
+
+def hot_orders(spark):
+    """Customers and orders with one hot key, and the split that says so."""
+    c, o, _ = tables(spark, *Q3)
+    hot = o.first()["o_custkey"]
+    o = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(hot)).otherwise(F.col("o_custkey")))
+    on = [("c_custkey", "o_custkey")]
+    return c, o, on, measure(c, o, on, rows_per_cell=50)
+
+
+def test_hot_keys_leave_the_other_rows_to_a_plain_join(spark, no_broadcast):
+    c, o, _ = tables(spark, *Q3)
+    on = [("c_custkey", "o_custkey")]
+    heavy = Split(1, 1, hot_orders(spark)[3].heavy)
+    assert len(heavy.heavy) == 1
+    both = lambda l, r: (l.c_acctbal > 0) & (r.o_totalprice > 400000)
+    found = equi_join(c, o, on, both, split=heavy)
+    plain = equi_join(c, o, on, both, split=None)
+    text = plan(found)
+    cold, hot = text.split("SortMergeJoin")[1], text.split("SortMergeJoin")[2]
+    for wanted in ("GreaterThan(c_acctbal,0.0)", "GreaterThan(o_totalprice,400000.0)"):
+        assert wanted in cold and wanted in plan(plain)
+    # Two sorts by the key for the plain join; the hot rows are sorted to be numbered, on the side that is divided, and to be joined.
+    assert cold.count("Sort [") == 2 and "__cell" not in cold.split("Sort [")[1]
+    assert bag(found) == bag(plain)
+    # Predicates on one side come before hot rows are numbered, too.
+    sides = [lambda l, r: l.c_acctbal > 0, lambda l, r: r.o_totalprice > 400000]
+    found = equi_join(c, o, on, sides, split=heavy)
+    assert plan(found).count("GreaterThan(o_totalprice,400000.0)") == 2
+    assert bag(found) == bag(plain) and hot
+
+
+def test_hot_keys_with_a_residual_of_both_sides(spark, no_broadcast):
+    c, o, on, split = hot_orders(spark)
+    later = lambda l, r: l.c_acctbal < r.o_totalprice / 40
+    found, once = equi_join(c, o, on, later, split=split), equi_join(c, o, on, later, split=split, apart=False)
+    plain = equi_join(c, o, on, later, split=None)
+    assert bag(found) == bag(plain) == bag(once)
+    assert plan(once).count("SortMergeJoin") == 1
+
+
+def test_a_null_key_is_in_neither_branch(spark, no_broadcast):
+    l = spark.createDataFrame([(1, 1), (None, 2), (1, 3), (2, 4)], "a int, i int")
+    r = spark.createDataFrame([(1, 5), (None, 6), (2, 7), (None, 8)], "b int, j int")
+    heavy = measure(l, r, [("a", "b")], rows_per_cell=1)
+    assert heavy.heavy or heavy.rows > 1
+    heavy = Split(1, 1, tuple((h, 2, 2) for h in [h[0] for h in heavy.heavy]) or ((7, 2, 2),))
+    assert bag(equi_join(l, r, [("a", "b")], split=heavy)) == bag(equi_join(l, r, [("a", "b")], split=None))
