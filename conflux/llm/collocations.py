@@ -55,13 +55,13 @@ def _numbered(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
     return found[found != _NOTHING]
 
 
-def _bit(hashes: list[np.ndarray]) -> np.ndarray:
-    """The bit of each phrase whose words' hashes stand in the same place of the arrays."""
+def _bit(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    """The bit, of ``bits``, of each phrase whose words' hashes stand in the same place of the arrays."""
     out = np.zeros(len(hashes[0]), np.uint64)
     for h in hashes:
         out = (out ^ h) * _MIX
         out ^= out >> np.uint64(29)
-    return (out & np.uint64(BITS - 1)).astype(np.int64)
+    return (out & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -77,7 +77,7 @@ def _counts_of(words: list[bytes], text: np.ndarray, size: int, lang: str, known
         inside &= text[k : k + n] != _END
     if known is not None and n > 0:
         hashes = _word_hashes(words, lang)[text]
-        bits = _bit([hashes[k : k + n + 1] for k in range(size - 1)])
+        bits = _bit([hashes[k : k + n + 1] for k in range(size - 1)], 8 * len(known))
         there = known[bits >> 3] >> (bits & 7) & 1 > 0
         inside &= there[:-1] & there[1:]
     at = np.flatnonzero(inside)
@@ -125,20 +125,20 @@ def _counted(texts: DataFrame, size: int, known: np.ndarray | None, held: int) -
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _bitmap(phrases: DataFrame) -> np.ndarray:
-    """The bits of the phrases as bytes. At most ``BITS`` / 64 rows reach the driver, whatever the number of phrases."""
+def _bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits, a power of two of 64 at least, those of the phrases set, as bytes. At most ``bits`` / 64 rows reach the driver, whatever the number of phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(text_column(batch, "lang"), batch.column(1).to_pylist(), strict=True)
             hashes = [_word_hashes(phrase.split(b" "), lang) for lang, phrase in rows]
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(_bit(list(np.array(hashes).T)))], ["bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(_bit(list(np.array(hashes).T), bits))], ["bit"])
 
-    bits = arrow_map(phrases.select("lang", "phrase"), run, "bit long")
-    words = bits.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    set_ = arrow_map(phrases.select("lang", "phrase"), run, "bit long")
+    words = set_.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found = words.toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint8)
 
@@ -211,6 +211,7 @@ def collocations(
     least: int = LEAST,
     top: int = TOP,
     held: int = HELD,
+    bits: int = BITS,
 ) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``: the first ``top`` phrases of each language.
 
@@ -230,7 +231,7 @@ def collocations(
     singles = words.where(F.col("f") >= least)
     last, streams = singles, []
     for size in range(2, LONGEST + 1):
-        found = _counted(texts, size, _bitmap(last), held).where(F.col("f") >= least)
+        found = _counted(texts, size, _bitmap(last, bits), held).where(F.col("f") >= least)
         last = saved(found, "collocations-phrases")
         streams.append(last)
     phrases = streams[0].unionByName(streams[1]).unionByName(streams[2])

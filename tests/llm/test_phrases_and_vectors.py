@@ -81,10 +81,10 @@ def test_first_phrases_of_each_language(spark):
     assert got == plain_phrases(rows, 4, top=7)
 
 
-def test_a_full_bitmap_only_costs_time(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "BITS", 64)
+def test_a_full_bitmap_only_costs_time(spark):
     rows = some_texts()
-    got = sorted(tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=4).collect())
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = sorted(tuple(r) for r in phrases.collocations(docs, least=4, bits=64).collect())
     assert got == plain_phrases(rows, 4)
 
 
