@@ -5,8 +5,8 @@ the words from the last (suffix order). In prefix order a phrase follows all its
 extensions to the right; one pass with a stack of open phrases reads off both. Suffix order does the same for endings and
 extensions to the left. No count is looked up in a hash table or joined but those of single words, by merge joins.
 
-Only frequent phrases are counted as rows. A phrase can be frequent only if both phrases of one word less in it are, so
-each length is counted where a bitmap of the frequent phrases one word shorter says so. A bitmap has a fixed size;
+Only frequent phrases are counted as rows. A phrase can be frequent only if all phrases in it are, so longer ones are
+counted where a bitmap of the frequent words, then of the frequent pairs, says so. A bitmap has a fixed size;
 phrases that fall on one bit let too much through, never too little, and counts are filtered exactly in the end.
 """
 
@@ -28,31 +28,27 @@ from conflux.llm.tables import arrow_map, merged, saved, text_column
 LONGEST, LEAST, TOP = 4, 30, 2000
 # A shorter phrase falls away if a longer one around it has this many of 100 of its occurrences.
 COVERED = 80
-# Words that a task holds before it hands out their counts.
-HELD = 1 << 22
+# Bytes of text that a task holds before it hands out their counts.
+HELD = 24 << 20
 # Bits of the bitmap of frequent phrases; 8 MB.
 BITS = 1 << 26
 
 UNKNOWN = "und"
-_END, _NOTHING = 0, 1
 _UPPER = bytes(range(65, 91))
 _READ = bytes.maketrans(_UPPER + b".,;:!?\n\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 10 + b" ")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_END = -1
 
 
-def _numbering() -> dict[bytes, int]:
-    """Numbers words as they are asked for; the ends of pieces are 0."""
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    numbers[b"\n"], numbers[b""] = _END, _NOTHING
-    return numbers
-
-
-def _numbered(text: bytes, numbers: dict[bytes, int]) -> np.ndarray:
-    words = text.translate(_READ).replace(b"\n", b" \n ").split(b" ")
-    words.append(b"\n")
-    found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-    return found[found != _NOTHING]
+def _numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of texts, and the texts one after the other as numbers of words, with an end after each piece."""
+    spaced = pa.array([t.translate(_READ).replace(b"\n", b" \n ") + b" \n" for t in texts], pa.large_binary())
+    found = pc.split_pattern(spaced, b" ").flatten().dictionary_encode()
+    words, numbers = found.dictionary, found.indices.to_numpy()
+    nothing, end = (pc.index(words, pa.scalar(w, words.type)).as_py() for w in (b"", b"\n"))
+    numbers = numbers[numbers != nothing].astype(np.int64)
+    numbers[numbers == end] = _END
+    return words, numbers
 
 
 def _bit(hashes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -69,53 +65,77 @@ def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _counts_of(words: list[bytes], text: np.ndarray, size: int, lang: str, known: np.ndarray | None) -> pa.RecordBatch:
-    """The distinct phrases of ``size`` words in a numbered text and how often each is there."""
-    n = len(text) - size + 1
-    inside = np.ones(max(n, 0), bool)
+def _runs(flags: np.ndarray, size: int) -> np.ndarray:
+    """Whether ``size`` flags in a row are set, from each place on where there are so many."""
+    n = max(0, len(flags) - size + 1)
+    out = np.ones(n, bool)
     for k in range(size):
-        inside &= text[k : k + n] != _END
-    if known is not None and n > 0:
-        hashes = _word_hashes(words, lang)[text]
-        bits = _bit([hashes[k : k + n + 1] for k in range(size - 1)], 8 * len(known))
-        there = known[bits >> 3] >> (bits & 7) & 1 > 0
-        inside &= there[:-1] & there[1:]
-    at = np.flatnonzero(inside)
-    code = text[at].astype(np.int64)
-    for k in range(1, size):
-        if k > 1:
-            code = np.unique(code, return_inverse=True)[1]
-        code = code * len(words) + text[at + k]
-    _, first, counts = np.unique(code, return_index=True, return_counts=True)
-    spelled = pa.array(words, pa.binary())
-    parts = [spelled.take(pa.array(text[at[first] + k])) for k in range(size)]
-    phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if size > 1 else parts[0]
-    langs = pa.array([lang]).take(pa.array(np.zeros(len(first), np.int32)))
-    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts)], ["lang", "phrase", "f"])
+        out &= flags[k : k + n]
+    return out
+
 
+def _distinct(text: np.ndarray, at: np.ndarray, size: int, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct phrases of ``size`` words that start at ``at``, as a column for each word, and how often each is there.
 
-def _counted(texts: DataFrame, size: int, known: np.ndarray | None, held: int) -> DataFrame:
-    """``lang``, ``phrase``, ``f``: the phrases of ``size`` words; with a bitmap, only those whose two parts are on it."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(known)
+    A phrase is the rank of its beginning among the distinct ones, times the number of words, plus its last word.
+    """
+    code, levels = text[at], []
+    for k in range(1, size):
+        if k > 1:
+            levels.append(np.unique(code))
+            code = np.searchsorted(levels[-1], code)
+        code = code * words + text[at + k]
+    distinct, counts = np.unique(code, return_counts=True)
+    columns = []
+    for _ in range(1, size):
+        distinct, last = np.divmod(distinct, words)
+        columns.append(last)
+        if levels:
+            distinct = levels.pop()[distinct]
+    return [distinct, *reversed(columns)], counts
+
+
+def _counts_of(texts: list[bytes], lang: str, sizes: tuple[int, ...], known: tuple[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """The distinct phrases of some sizes in texts and how often each is there.
+
+    ``known`` has a size and a bitmap: phrases count only if all phrases of that size in them are on it.
+    """
+    words, text = _numbered(texts)
+    inside, of = text != _END, 1
+    if known is not None:
+        of, bitmap = known
+        hashes = _word_hashes(words.to_pylist(), lang)[text] if len(words) else np.empty(0, np.uint64)
+        n = max(0, len(text) - of + 1)
+        bits = _bit([hashes[k : k + n] for k in range(of)], 8 * len(bitmap))
+        inside = _runs(inside, of) & (bitmap[bits >> 3] >> (bits & 7) & 1 > 0)
+    for size in sizes:
+        at = np.flatnonzero(_runs(inside, size - of + 1))
+        columns, counts = _distinct(text, at, size, len(words))
+        parts = [words.take(pa.array(c)).cast(pa.binary()) for c in columns]
+        phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if size > 1 else parts[0]
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int32)))
+        yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts)], ["lang", "phrase", "f"])
+
+
+def _counted(texts: DataFrame, sizes: tuple[int, ...], known: tuple[int, np.ndarray] | None, held: int) -> DataFrame:
+    """``lang``, ``phrase``, ``f``: the phrases of these sizes; with a bitmap, only those whose parts are on it."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, dict[bytes, int]] = defaultdict(_numbering)
-        read: dict[str, list[np.ndarray]] = defaultdict(list)
+        read: dict[str, list[bytes]] = defaultdict(list)
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in read.items():
-                found = _counts_of(list(numbers[lang]), np.concatenate(parts), size, lang, bitmap.value)
-                for start in range(0, found.num_rows, 1 << 16):
-                    yield found.slice(start, 1 << 16)
-            numbers.clear()
+                for found in _counts_of(parts, lang, sizes, shared.value):
+                    for start in range(0, found.num_rows, 1 << 16):
+                        yield found.slice(start, 1 << 16)
             read.clear()
 
         n = 0
         for batch in batches:
             for lang, text in zip(text_column(batch, "lang"), batch.column(1), strict=True):
-                part = _numbered(text.as_py(), numbers[lang])
-                read[lang].append(part)
-                n += len(part)
+                read[lang].append(text.as_py())
+                n += len(read[lang][-1])
                 if n >= held:
                     yield from out()
                     n = 0
@@ -226,15 +246,14 @@ def collocations(
     """
     lang = F.coalesce(F.col(f"`{lang_column}`"), F.lit(UNKNOWN)).alias("lang")
     texts = docs.where(F.col(f"`{text_column_name}`").isNotNull()).select(lang, F.col(f"`{text_column_name}`").cast("binary").alias("text"))
-    words = saved(_counted(texts, 1, None, held), "collocations-words")
+    words = saved(_counted(texts, (1,), None, held), "collocations-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    singles = words.where(F.col("f") >= least)
-    last, streams = singles, []
-    for size in range(2, LONGEST + 1):
-        found = _counted(texts, size, _bitmap(last, bits), held).where(F.col("f") >= least)
-        last = saved(found, "collocations-phrases")
-        streams.append(last)
-    phrases = streams[0].unionByName(streams[1]).unionByName(streams[2])
+    frequent = F.col("f") >= least
+    singles = words.where(frequent)
+    pairs = saved(_counted(texts, (2,), (1, _bitmap(singles, bits)), held).where(frequent), "collocations-pairs")
+    sizes = tuple(range(3, LONGEST + 1))
+    longer = saved(_counted(texts, sizes, (2, _bitmap(pairs, bits)), held).where(frequent), "collocations-phrases")
+    phrases = pairs.unionByName(longer)
     split = F.transform(F.split(F.col("phrase").cast("string"), " ", -1), lambda w: w.cast("binary"))
     phrases = phrases.select("lang", "f", split.alias("words")).withColumn("backwards", F.reverse("words"))
     for end, array in (("first", "words"), ("last", "backwards")):

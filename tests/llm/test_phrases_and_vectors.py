@@ -65,7 +65,7 @@ def some_texts(n=60):
     return [*rows, ("und", "a a a a a"), ("en", None), ("fr", ""), ("xx", ". ,"), ("en", " ")]
 
 
-@pytest.mark.parametrize("held", [1 << 22, 50])
+@pytest.mark.parametrize("held", [phrases.HELD, 50])
 @pytest.mark.parametrize("least", [1, 4])
 def test_phrases(spark, held, least):
     rows = some_texts(12 if least == 1 else 60)
