@@ -1,11 +1,16 @@
 """Near copies among vectors of the same label: inverted lists, product-quantised residuals, exact cosines at the end.
 
-Vectors are compared as unit vectors: a cosine of c or more is a distance of at most sqrt(2 - 2 c). A vector is entered in the
-list of its nearest centroid and in each list whose border is within half that distance. The point midway between two
-linked vectors is nearest to some centroid, and neither vector is further than that from the border of its list, so both
-are in it: these probes are sufficient, and no link is lost. Within a list, a table of distances between the parts of a
-vector's residual and the codebooks gives its distance to each coded vector; as the error of each code is known, this bounds
-the true distance from below, and only pairs that may be near enough have their cosine worked out, in double precision.
+Vectors are compared as unit vectors, turned by a fixed rotation that spreads what differs over all components: a cosine
+of c or more is a distance of at most sqrt(2 - 2 c). The components are cut into ``SEGMENTS``; two linked vectors are within
+half that distance in one of four segments. For each segment a vector is entered in the list of its part's nearest
+centroid and in each list whose border is within half of what is allowed there. The point midway between the two parts is
+nearest to some centroid, and neither part is further than that from the border of its list, so both vectors are in it:
+these probes are sufficient, and no link is lost.
+
+Within a list, a table of distances between the pieces of a vector and the codebooks gives its distance to each coded
+vector; as the error of each code is known, this bounds the true distance from below, and only pairs that may be near enough
+have their cosine worked out, in double precision. In the list's own segment, codes are of what is left without the
+list's centroid.
 
 The index is fitted on a bounded sample (``SAMPLE`` vectors and ``SAMPLE_BYTES`` at most); every vector is entered in it.
 """
@@ -26,10 +31,12 @@ from conflux.llm.tables import arrow_map, saved
 SIMILAR = 0.98
 # Vectors and bytes that the centroids and codebooks are fitted on.
 SAMPLE, SAMPLE_BYTES = 1 << 16, 64 << 20
-# Vectors that a list is meant for, and the most lists there are.
-LIST, MOST_LISTS = 2048, 4096
-# Components of a part of a residual, and codes of a part.
-PART, CODES = 4, 256
+# Parts of a vector, each with lists of its own.
+SEGMENTS = 4
+# Vectors that a list is meant for, and the most lists of a segment.
+LIST, MOST_LISTS = 512, 4096
+# Components of a piece that gets a code, and codes of a piece.
+PIECE, CODES = 2, 16
 ROUNDS = 8
 # Vectors of a list that one task compares with each other, or with as many others; longer lists are divided.
 BLOCK = 512
@@ -39,14 +46,38 @@ SLACK = 1e-4
 
 @dataclass
 class Index:
-    """Centroids of unit length (one row each), and for each part of a residual its codebook."""
+    """For each segment its centroids; codebooks of pieces as they are, and of pieces less their segment's centroid."""
 
-    centroids: np.ndarray
-    books: np.ndarray
+    rotation: np.ndarray
+    centroids: list[np.ndarray]
+    whole: np.ndarray
+    rest: np.ndarray
 
     @property
     def size(self) -> int:
-        return self.centroids.shape[1]
+        return len(self.rotation)
+
+    @property
+    def width(self) -> int:
+        return self.size // SEGMENTS
+
+    def turned(self, vectors: np.ndarray) -> np.ndarray:
+        """Unit vectors, padded and turned."""
+        unit = units(vectors)
+        return unit @ self.rotation[: unit.shape[1]]
+
+    def of(self, entry: int) -> tuple[int, np.ndarray]:
+        """Segment and centroid of a list."""
+        segment, at = divmod(entry, MOST_LISTS)
+        return segment, self.centroids[segment][at]
+
+    def frame(self, segment: int) -> np.ndarray:
+        """The codebooks in use in the lists of a segment: one for each piece."""
+        pieces = self.width // PIECE
+        own = slice(segment * pieces, (segment + 1) * pieces)
+        out = self.whole.copy()
+        out[own] = self.rest[own]
+        return out
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -79,41 +110,53 @@ def _means(rows: np.ndarray, n: int, spherical: bool = False) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, lists: int) -> Index:
-    """An index of ``lists`` lists, or as many as the sample bears, from unit vectors."""
-    pad = -sample.shape[1] % PART
-    sample = np.pad(sample, ((0, 0), (0, pad)))
-    centroids = _means(sample, max(1, min(lists, len(sample) // 16)), spherical=True)
-    rest = sample - centroids[_nearest(sample, centroids)]
-    parts = rest.reshape(len(rest), -1, PART)[: 1 << 14]
-    books = [_means(np.ascontiguousarray(parts[:, s]), min(CODES, len(parts))) for s in range(parts.shape[1])]
-    return Index(centroids, np.stack(books))
-
-
-def probes(vectors: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and lists: the list of each unit vector's nearest centroid, and those whose border is within ``reach``."""
-    like = vectors @ centroids.T
-    best = like.argmax(axis=1)
-    behind = like[np.arange(len(like)), best][:, None] - like
-    between = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))[best]
-    return np.nonzero(behind <= (reach + SLACK) * between + SLACK)
-
-
-def encoded(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of residuals, a byte a part, and how far off what they stand for is."""
-    parts = rest.reshape(len(rest), len(books), PART)
-    codes = np.stack([_nearest(parts[:, s], books[s]) for s in range(len(books))], axis=1).astype(np.uint8)
-    off = sum(((parts[:, s] - books[s][codes[:, s]]) ** 2).sum(axis=1) for s in range(len(books)))
-    return codes, np.sqrt(off)
-
-
-def table_distances(rest: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Distances from residuals (rows) to coded vectors (columns), by tables."""
-    out = np.zeros((len(rest), len(codes)), np.float32)
-    for s, book in enumerate(books):
-        part = rest[:, s * PART : (s + 1) * PART]
-        table = ((part[:, None, :] - book[None]) ** 2).sum(axis=2).astype(np.float32)
-        out += table[:, codes[:, s]]
-    return np.sqrt(out)
+    """An index of ``lists`` lists for each segment, or as many as the sample bears, from unit vectors."""
+    unit = SEGMENTS * PIECE
+    size = -(-sample.shape[1] // unit) * unit
+    rotation = np.linalg.qr(np.random.default_rng(size).normal(size=(size, size)))[0]
+    turned = sample @ rotation[: sample.shape[1]]
+    lists = max(1, min(lists, MOST_LISTS, len(sample) // 8))
+    centroids, rest = [], np.empty_like(turned)
+    for s in range(SEGMENTS):
+        part = slice(s * size // SEGMENTS, (s + 1) * size // SEGMENTS)
+        centroids.append(_means(turned[:, part], lists))
+        rest[:, part] = turned[:, part] - centroids[s][_nearest(turned[:, part], centroids[s])]
+
+    def books(rows: np.ndarray) -> np.ndarray:
+        pieces = rows.reshape(len(rows), -1, PIECE)[: 1 << 13]
+        return np.stack([_means(np.ascontiguousarray(pieces[:, k]), CODES) for k in range(pieces.shape[1])])
+
+    return Index(rotation, centroids, books(turned), books(rest))
+
+
+def probes(parts: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and lists: the list of each part's nearest centroid, and those whose border is within ``reach``."""
+    squares = (centroids**2).sum(axis=1)
+    behind = squares - 2 * parts @ centroids.T
+    best = behind.argmin(axis=1)
+    behind -= behind[np.arange(len(behind)), best][:, None]
+    between = np.sqrt(np.maximum(squares[:, None] + squares - 2 * centroids @ centroids.T, 0))[best]
+    return np.nonzero(behind <= 2 * (reach + SLACK) * between + SLACK)
+
+
+def encoded(rows: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code of each piece of the rows, and how far off it is, squared."""
+    pieces = rows.reshape(len(rows), len(books), PIECE).transpose(1, 0, 2)
+    apart = (books**2).sum(axis=2)[:, None, :] - 2 * pieces @ books.transpose(0, 2, 1)
+    codes = apart.argmin(axis=2)
+    off = ((pieces - np.take_along_axis(books, codes[:, :, None], axis=1)) ** 2).sum(axis=2)
+    return codes.T.astype(np.uint8), off.T
+
+
+def table_distances(rows: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Distances from coded vectors (rows) to vectors (columns), by tables of the vectors' distances to each code."""
+    pieces = rows.reshape(len(rows), len(books), PIECE).transpose(1, 2, 0)
+    tables = (books**2).sum(axis=2)[:, :, None] - 2 * books @ pieces + (pieces**2).sum(axis=1)[:, None, :]
+    tables = tables.astype(np.float32)
+    out = np.zeros((len(codes), len(rows)), np.float32)
+    for k in range(len(books)):
+        out += tables[k][codes[:, k]]
+    return np.sqrt(np.maximum(out, 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,13 +164,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _entries(turned: np.ndarray, index: Index, reach: float) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """For each list that each vector is in: the row, the list, the code and its error; sorted by row."""
+    codes, off = encoded(turned, index.whole)
+    pieces, rows, lists, spelled, errors = index.width // PIECE, [], [], [], []
+    for s, centroids in enumerate(index.centroids):
+        part, own = slice(s * index.width, (s + 1) * index.width), slice(s * pieces, (s + 1) * pieces)
+        row, of = probes(turned[:, part], centroids, reach)
+        mine, mine_off = encoded(turned[row, part] - centroids[of], index.rest[own])
+        whole = codes[row]
+        whole[:, own] = mine
+        rows.append(row)
+        lists.append(of + s * MOST_LISTS)
+        spelled += [c.tobytes() for c in whole]
+        errors.append(np.sqrt(off[row].sum(axis=1) - off[row, own].sum(axis=1) + mine_off.sum(axis=1)))
+    row, of, error = np.concatenate(rows), np.concatenate(lists), np.concatenate(errors)
+    order = np.argsort(row, kind="stable")
+    return row[order], of[order], [spelled[i] for i in order.tolist()], error[order]
+
+
 def _entered(nodes: DataFrame, index, similar: float) -> DataFrame:
     """``nodes`` with ``entries``: the lists each vector is in, in order, with its code and the code's error there."""
-    reach = np.sqrt(max(0.0, 2 - 2 * similar)) / 2
+    # Half of what two linked vectors may be apart in their nearest segment.
+    reach = np.sqrt(max(0.0, 2 - 2 * similar)) / np.sqrt(SEGMENTS) / 2
     entry = pa.struct([("list", pa.int32()), ("code", pa.binary()), ("off", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, books = index.value.centroids, index.value.books
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
@@ -136,10 +198,9 @@ def _entered(nodes: DataFrame, index, similar: float) -> DataFrame:
                 found: list[list] = [[]] * len(vectors)
                 for size in np.unique(sizes):
                     rows = np.flatnonzero(sizes == size)
-                    unit = np.pad(units(_matrix(vectors.take(pa.array(rows)))), ((0, 0), (0, index.value.size - size)))
-                    row, of = probes(unit, centroids, reach)
-                    codes, off = encoded(unit[row] - centroids[of], books)
-                    spelled = [{"list": c, "code": k.tobytes(), "off": o} for c, k, o in zip(of.tolist(), codes, off.tolist(), strict=True)]
+                    turned = index.value.turned(_matrix(vectors.take(pa.array(rows))))
+                    row, of, codes, off = _entries(turned, index.value, reach)
+                    spelled = [{"list": c, "code": k, "off": o} for c, k, o in zip(of.tolist(), codes, off.tolist(), strict=True)]
                     bounds = np.searchsorted(row, np.arange(len(rows) + 1))
                     for i, a, b in zip(rows.tolist(), bounds[:-1], bounds[1:], strict=True):
                         found[i] = spelled[a:b]
@@ -167,14 +228,17 @@ class _Cell:
 
         Of a divided list, only pairs of different blocks.
         """
-        unit = units(self.vectors)
-        rest = np.pad(unit, ((0, 0), (0, index.size - unit.shape[1]))) - index.centroids[self.at]
-        reach, n = np.sqrt(max(0.0, 2 - 2 * similar)), len(unit)
+        segment, centroid = index.of(self.at)
+        turned = index.turned(self.vectors)
+        turned[:, segment * index.width : (segment + 1) * index.width] -= centroid
+        books, n = index.frame(segment), len(turned)
+        allowed = (self.off + np.sqrt(max(0.0, 2 - 2 * similar)) + SLACK).astype(np.float32)[:, None]
         near = np.zeros((n, n), bool)
         for start in range(0, n, 64):
-            part = slice(start, start + 64)
-            near[part] = table_distances(rest[part], self.codes, index.books) <= self.off[None, :] + reach + SLACK
-        near &= near.T
+            # Each pair is looked up once: those before this block have met it already.
+            near[start:, start : start + 64] = table_distances(turned[start : start + 64], self.codes[start:], books) <= allowed[start:]
+        near = np.tril(near)
+        near |= near.T
         if divided:
             near &= self.second[:, None] != self.second[None, :]
         np.fill_diagonal(near, False)
@@ -342,4 +406,4 @@ def _fitted(nodes: DataFrame, list_size: int) -> Index | None:
     vectors = [np.pad(units(np.array(v, np.float64)[None])[0], (0, size - len(v))) for v in chosen.column(0).to_pylist()]
     if not vectors:
         vectors = [np.eye(1, size)[0]]
-    return fit(np.stack(vectors), min(MOST_LISTS, -(-n // list_size)))
+    return fit(np.stack(vectors), -(-n // list_size))

@@ -166,21 +166,37 @@ def test_no_link_is_lost_in_a_table_with_large_groups(spark):
 
 def test_bounds_of_table_distances():
     draw = np.random.default_rng(2)
-    unit = copies.units(draw.normal(size=(900, 30)))
-    index = copies.fit(unit, 20)
-    unit = np.pad(unit, ((0, 0), (0, 2)))
-    rest = unit - index.centroids[3]
-    codes, off = copies.encoded(rest, index.books)
-    true = np.linalg.norm(unit[:50, None] - unit[None], axis=2)
-    told = copies.table_distances(rest[:50], codes, index.books)
-    assert (told - off[None] <= true + 1e-4).all() and (told + off[None] >= true - 1e-4).all()
-    assert (told - off[None] > 0.2).mean() > 0.9
-    row, of = copies.probes(unit, index.centroids, 0.1)
-    sets = [set(of[row == i].tolist()) for i in range(900)]
-    for i in range(900):
-        near = copies.units((unit[i] + draw.normal(size=32) * 0.03)[None])
-        if np.linalg.norm(near[0] - unit[i]) <= 0.2:
-            assert sets[i] & set(copies.probes(near, index.centroids, 0.1)[1].tolist())
+    index = copies.fit(copies.units(draw.normal(size=(900, 30))), 20)
+    vectors = draw.normal(size=(400, 30))
+    turned = index.turned(vectors)
+    row, lists, codes, off = copies._entries(turned, index, 0.05)
+    for entry in np.unique(lists)[::9].tolist():
+        of = np.flatnonzero(lists == entry)
+        segment, centroid = index.of(entry)
+        part = turned.copy()
+        part[:, segment * index.width : (segment + 1) * index.width] -= centroid
+        code = np.stack([np.frombuffer(codes[i], np.uint8) for i in of])
+        told = copies.table_distances(part[:50], code, index.frame(segment))
+        true = np.linalg.norm(turned[row[of]][:, None] - turned[None, :50], axis=2)
+        assert (told - off[of][:, None] <= true + 1e-3).all() and (told + off[of][:, None] >= true - 1e-3).all()
+        assert (told - off[of][:, None] > 0.2).mean() > 0.9
+
+
+def test_linked_vectors_share_a_list():
+    draw = np.random.default_rng(3)
+    index = copies.fit(copies.units(draw.normal(size=(3000, 30))), 100)
+    vectors = copies.units(draw.normal(size=(500, 30)))
+    # Differences in all components, in one, and along the way to another vector.
+    others = [vectors + draw.normal(size=vectors.shape) * 0.036, vectors + np.eye(30)[draw.integers(30, size=500)] * 0.2, vectors * 0.86 + vectors[::-1] * 0.14]
+    row, lists, *_ = copies._entries(index.turned(vectors), index, 0.05)
+    mine, n = [set(lists[row == i].tolist()) for i in range(500)], 0
+    for other in others:
+        row, lists, *_ = copies._entries(index.turned(other), index, 0.05)
+        linked = (copies.units(other) * vectors).sum(axis=1) >= 0.98
+        for i in np.flatnonzero(linked):
+            n += 1
+            assert mine[i] & set(lists[row == i].tolist())
+    assert n > 500 and np.mean([len(m) for m in mine]) < 40
 
 
 # ---- hard negatives --------------------------------------------------------------------------
