@@ -15,7 +15,7 @@ from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
 from conflux.operators.split import Split, measure
-from conflux.operators.summary import batch_report, chain_summary, equi_join_summary, run_report
+from conflux.operators.summary import chain_summary, equi_join_summary, run_report
 from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
 from conflux.plans import tpch
 from conflux.session import work_folder
@@ -23,7 +23,8 @@ from conflux.sources.files import delimited_table, int_relation, table, table_st
 from conflux.sources.generators import random_keys
 from conflux.sources.schemas import TPCH
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
-from conflux.streaming.progress import PROGRESS_COLUMNS, progress_table
+from conflux.streaming.lateness import files_per_batch, in_time_order, measured_lateness
+from conflux.streaming.progress import PROGRESS_COLUMNS, observed, observed_reports, progress_table
 from conflux.streaming.run import Run, run_batches, run_to_table
 from conflux.streaming.store import BatchFolder, store_stream
 
@@ -608,7 +609,7 @@ def stream_equi_stored(spark, folder):
     """The same join with files instead of join state, its keys measured anew in every micro-batch."""
     on = [("click_user_id", "purchase_user_id")]
     clicks, purchases = _stream_clicks_purchases(spark, folder)
-    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-stored")
+    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-stored", on=on)
     return pairs.select(*_EVENT_IDS[:2])
 
 
@@ -619,7 +620,7 @@ def stream_equi_batches(spark, folder):
     table(spark, folder, "events").repartitionByRange(4, "ts").write.parquet(f"{base}/events.parquet")
     on = [("click_user_id", "purchase_user_id")]
     clicks, purchases = _stream_clicks_purchases(spark, base, max_files=1)
-    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-batches")
+    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-batches", on=on, fan=2)
     return pairs.select(*_EVENT_IDS[:2])
 
 
@@ -717,46 +718,53 @@ def stream_q5(spark, folder):
     return run_to_table(joined.select(*_Q5_KEYS), "stream-q5")
 
 
-# The files are read as one micro-batch, so no row is late whatever their order.
-_LATENESS = "1 hour"
+# Micro-batches that the streams with watermarks are cut into.
+_SLICES = 5
 # An inner join has nothing to add once all rows are read.
-_ONE_BATCH = Run(closing_batch=False)
+_NO_CLOSING = Run(closing_batch=False)
+
+
+def _events_by_time(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """A folder with the events in several files that come in order of time, and the files that a micro-batch takes."""
+    base = work_folder(spark, "events-by-time")
+    in_time_order(table(spark, folder, "events"), "ts", f"{base}/events.parquet", _SLICES)
+    return base, files_per_batch(table(spark, base, "events"), _SLICES)
+
+
+def _timed_streams(spark: SparkSession, folder: str, *kinds: str) -> tuple[list[DataFrame], list[Split]]:
+    """Events of each kind as a stream in several micro-batches with a watermark that no row is late for; and the splits of
+    the chain of their interval joins."""
+    base, files = _events_by_time(spark, folder)
+    events = table(spark, base, "events")
+    first, *rest = [(_events(events, kind, f"{kind}_"), f"{kind}_ts") for kind in kinds]
+    splits = bucket_splits(*first, rest, WITHIN)
+    numbered = not all(split.whole for split in splits)
+    # A stream's files hold all kinds, and one delay is enough for all.
+    late = measured_lateness(events.select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    streams = [_stream_events(spark, base, kind, numbered, files).withWatermark(f"{kind}_ts", late) for kind in kinds]
+    return streams, splits
 
 
 @query(f"select {_IDS2} {_INTERVAL_SQL}")
 def stream_interval_join(spark, folder):
-    clicks, purchases = _clicks_purchases(spark, folder)
-    (split,) = bucket_splits(clicks, "click_ts", [(purchases, "purchase_ts")], WITHIN)
-    clicks, purchases = _stream_clicks_purchases(spark, folder, not split.whole, max_files=None)
-    pairs = _near(
-        clicks.withWatermark("click_ts", _LATENESS), purchases.withWatermark("purchase_ts", _LATENESS), split=split
-    )
-    return run_to_table(pairs.select(*_EVENT_IDS[:2]), "stream-interval", _ONE_BATCH)
+    (clicks, purchases), (split,) = _timed_streams(spark, folder, "click", "purchase")
+    return run_to_table(_near(clicks, purchases, split=split).select(*_EVENT_IDS[:2]), "stream-interval", _NO_CLOSING)
 
 
 @query(f"select {_IDS3} {_INTERVAL3_SQL}")
 def stream_interval_join3(spark, folder):
-    events = table(spark, folder, "events")
-    at_rest = [_events(events, kind, f"{kind}_") for kind in ("click", "purchase", "view")]
-    splits = bucket_splits(at_rest[0], "click_ts", [(at_rest[1], "purchase_ts"), (at_rest[2], "view_ts")], WITHIN)
-    numbered = not all(split.whole for split in splits)
-    clicks, purchases, views = (
-        _stream_events(spark, folder, kind, numbered) for kind in ("click", "purchase", "view")
-    )
-    others = [
-        (purchases.withWatermark("purchase_ts", _LATENESS), "purchase_ts"),
-        (views.withWatermark("view_ts", _LATENESS), "view_ts"),
-    ]
-    triples = interval_chain(clicks.withWatermark("click_ts", _LATENESS), "click_ts", others, WITHIN, splits)
-    return run_to_table(triples.select(*_EVENT_IDS), "stream-interval3", _ONE_BATCH)
+    (clicks, purchases, views), splits = _timed_streams(spark, folder, "click", "purchase", "view")
+    triples = interval_chain(clicks, "click_ts", [(purchases, "purchase_ts"), (views, "view_ts")], WITHIN, splits)
+    return run_to_table(triples.select(*_EVENT_IDS), "stream-interval3", _NO_CLOSING)
 
 
 @query(_WINDOW_SQL)
 def stream_window_count(spark, folder):
-    events = table_stream(spark, folder, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return stream_window_counts(
-        events, "ts", ["event_type"], "10 minutes", "5 minutes", _LATENESS, "stream-window-count", _ONE_BATCH
-    )
+    base, files = _events_by_time(spark, folder)
+    timed = lambda df: df.select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    late = measured_lateness(timed(table(spark, base, "events")), "ts")
+    events = timed(table_stream(spark, base, "events", max_files=files))
+    return stream_window_counts(events, "ts", ["event_type"], "10 minutes", "5 minutes", late, "stream-window-count", _NO_CLOSING)
 
 
 @query(
@@ -765,24 +773,14 @@ def stream_window_count(spark, folder):
     + _PAIRS_SQL
 )
 def batch_stats(spark, folder):
-    """Size and span, in event time, of the pairs of a stream, put together from a report on each micro-batch."""
+    """Size and span, in event time, of the pairs of a stream, put together from what was observed as each micro-batch was written."""
     on = [("click_user_id", "purchase_user_id")]
     split = _user_split(spark, folder)
     pairs = stream_join(*_stream_clicks_purchases(spark, folder, not split.whole), on=on, split=split)
-    base = work_folder(spark, "batch-stats")
-    rows, reports = BatchFolder(f"{base}/rows"), BatchFolder(f"{base}/reports")
-    schema = pairs.schema
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows.write(batch, batch_id)
-        written = rows.at(batch.sparkSession, schema, batch_id)
-        report = batch_report(
-            written, batch_id, F.least("click_ts", "purchase_ts"), F.greatest("click_ts", "purchase_ts")
-        )
-        reports.write(report.drop("batch_id"), batch_id)
-
-    run_batches(pairs, "batch-stats", each, folder=base)
-    return run_report(spark.read.parquet(reports.path))
+    reports = work_folder(spark, "batch-stats")
+    pairs = observed(pairs, "pairs", F.least("click_ts", "purchase_ts"), F.greatest("click_ts", "purchase_ts"))
+    run_to_table(pairs, "batch-stats-rows", Run(reports=reports))
+    return run_report(observed_reports(spark, reports, "pairs"))
 
 
 def _progress(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from conflux.functions.columns import Predicate
 from conflux.operators.equi import equi_join
 from conflux.operators.interval import window_counts
-from conflux.operators.split import Pairs, Split
+from conflux.operators.split import Pairs, Split, key_kinds
 from conflux.operators.theta import grid_join, theta_join
 from conflux.session import work_folder
+from conflux.streaming.keyed import PART, KeyedStore
 from conflux.streaming.run import Run, run_batches
 from conflux.streaming.store import BatchFolder, latest
 
@@ -49,15 +50,26 @@ def stored_join(
     name: str,
     run: Run = Run(),
     folder: str | None = None,
+    on: Pairs = (),
+    parts: int = 64,
+    fan: int = 8,
 ) -> DataFrame:
     """Inner join of two streams that keeps what has come in as files instead of join state.
 
     Each micro-batch is stored and then joined with all that is stored on the other side, by the batch
     join ``join(left, right)``: broadcasts and splits are chosen anew each time, from the rows there are.
+
+    ``on`` names pairs of columns that ``join`` has equal. Rows are then stored in ``parts`` by key, and of what came in
+    earlier, a micro-batch reads the parts that have one of its own keys. Stored batches are merged ``fan`` by ``fan``, see
+    ``KeyedStore``. ``parts`` and ``on`` must stay the same as long as the folder is in use.
     """
     spark = left.sparkSession
     folder = folder or work_folder(spark, name)
-    lefts, rights, pairs = (BatchFolder(f"{folder}/{part}") for part in ("left", "right", "rows"))
+    left_keys, right_keys = tuple(l for l, _ in on), tuple(r for _, r in on)
+    kinds = tuple(key_kinds((left, left_keys), (right, right_keys)))
+    lefts = KeyedStore(f"{folder}/left", left.schema, left_keys, kinds, parts, fan)
+    rights = KeyedStore(f"{folder}/right", right.schema, right_keys, kinds, parts, fan)
+    pairs = BatchFolder(f"{folder}/rows")
     left_schema, right_schema = left.schema, right.schema
     empty = [spark.createDataFrame([], schema) for schema in (left_schema, right_schema)]
     result_schema = join(*empty).schema
@@ -72,13 +84,14 @@ def stored_join(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        lefts.write(batch.where("l is not null").select("l.*"), batch_id)
-        rights.write(batch.where("r is not null").select("r.*"), batch_id)
-        new_left = lefts.at(session, left_schema, batch_id)
-        new_right = rights.at(session, right_schema, batch_id)
-        old_left = lefts.before(session, left_schema, batch_id)
-        all_right = rights.upto(session, right_schema, batch_id)
-        pairs.write(join(new_left, all_right).unionByName(join(old_left, new_right)), batch_id)
+        before = [store.runs_before(session, batch_id) for store in (lefts, rights)]
+        for store, side in ((lefts, "l"), (rights, "r")):
+            store.write(batch.where(f"{side} is not null").select(f"{side}.*"), batch_id)
+        new_left, new_right = lefts.at(session, batch_id), rights.at(session, batch_id)
+        old_left, old_right = lefts.read(session, before[0], new_right), rights.read(session, before[1], new_left)
+        new_left, new_right = new_left.drop(PART), new_right.drop(PART)
+        found = join(new_left, new_right.unionByName(old_right)).unionByName(join(old_left, new_right))
+        pairs.write(found, batch_id)
 
     run_batches(both, name, each, run, folder=folder)
     return pairs.read(spark, result_schema).drop("batch_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import threading
+import time
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -59,19 +61,66 @@ def progress_table(spark: SparkSession, path: str) -> DataFrame:
     return flatten_progress(spark.read.schema(_SCHEMA).json(path))
 
 
+def observed(df: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
+    """``df`` with a count of its rows and the ends of their times taken along by whatever writes it.
+
+    Nothing is read again for it: each micro-batch's figures come with its progress report, see ``observed_reports``.
+    """
+    metrics = [
+        F.count(F.lit(1)).alias("size"),
+        F.unix_micros(F.min(first.cast("timestamp"))).alias("first_us"),
+        F.unix_micros(F.max(last.cast("timestamp"))).alias("last_us"),
+    ]
+    return df.observe(name, *metrics)
+
+
+def observed_reports(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``batch_id``, ``size``, ``latency_ms``, ``first_us``, ``last_us`` of each micro-batch, from kept progress reports.
+
+    A micro-batch that a restart repeated is reported once.
+    """
+    figures = "STRUCT<size: BIGINT, first_us: BIGINT, last_us: BIGINT>"
+    reports = spark.read.schema(f"batchId BIGINT, observedMetrics STRUCT<`{name}`: {figures}>").json(path)
+    found = reports.select(F.col("batchId").alias("batch_id"), F.col(f"observedMetrics.`{name}`").alias("of")).where("of is not null")
+    latency = F.expr("(of.last_us - of.first_us) div 1000").alias("latency_ms")
+    return found.dropDuplicates(["batch_id"]).select("batch_id", "of.size", latency, "of.first_us", "of.last_us")
+
+
+# Reports that wait to be written together, and the seconds that they wait at most until another one comes.
+HELD_REPORTS, HELD_SECONDS = 64, 30
+
+
+class ReportsIncomplete(UserWarning):
+    """A query's end was not told in time: its last reports may be missing."""
+
+
 class _Reports(StreamingQueryListener):
-    """Appends the reports of one query to a folder as they come, so their number is not bounded by what Spark holds."""
+    """Appends the reports of one query to a folder, so their number is not bounded by what Spark holds.
+
+    Reports are written together, some dozens in one small job; those that wait are lost if the driver is.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.query_id: str | None = None
         self.early: list[tuple[str, str]] = []
+        self.held: list[str] = []
+        self.written = time.monotonic()
         self.ended: set[str] = set()
-        self.changed = threading.Condition()
+        self.changed = threading.Condition(threading.RLock())
 
-    def _write(self, lines: list[str]) -> None:
-        rows = self.spark.createDataFrame([(line,) for line in lines], "value string")
-        rows.coalesce(1).write.mode("append").text(self.folder)
+    def _hold(self, lines: list[str]) -> None:
+        self.held += lines
+        if len(self.held) >= HELD_REPORTS or time.monotonic() - self.written >= HELD_SECONDS:
+            self.flush()
+
+    def flush(self) -> None:
+        with self.changed:
+            if self.held:
+                rows = self.spark.createDataFrame([(line,) for line in self.held], "value string")
+                rows.coalesce(1).write.mode("append").text(self.folder)
+                self.held = []
+            self.written = time.monotonic()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -83,7 +132,7 @@ class _Reports(StreamingQueryListener):
             if self.query_id is None:
                 self.early.append((of, line))
             elif of == self.query_id:
-                self._write([line])
+                self._hold([line])
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -98,15 +147,14 @@ class _Reports(StreamingQueryListener):
             self.query_id = str(query.runId)
             lines = [line for of, line in self.early if of == self.query_id]
             self.early.clear()
-            if lines:
-                self._write(lines)
+            self._hold(lines)
         return query
 
     def wait(self, seconds: float = 60) -> None:
         """Until the query's end has been told, which comes after its last report."""
         with self.changed:
             if self.query_id and not self.changed.wait_for(lambda: self.query_id in self.ended, seconds):
-                raise TimeoutError("the end of the query has not been reported")
+                warnings.warn("the end of the query has not been reported", ReportsIncomplete, stacklevel=2)
 
 
 @contextmanager
@@ -122,3 +170,4 @@ def kept_reports(spark: SparkSession, folder: str | None) -> Iterator[Callable[[
         reports.wait()
     finally:
         spark.streams.removeListener(reports)
+        reports.flush()

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from conflux.functions import stamped
 from conflux.operators import Split, equi_join, interval_chain, interval_join, theta_join, window_counts
+from conflux.operators.summary import run_report
 from conflux.plans import tpch
 from conflux.sources import file_stream, int_relation, table
 from conflux.streaming import (
     BatchFolder,
     CutShort,
     Run,
+    observed,
+    observed_reports,
     progress_table,
     run_batches,
     run_to_console,
@@ -152,7 +155,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for batch_id in (0, 1, 1):
         folder.write(a, batch_id)
     assert folder.read(spark, a.schema).count() == 2 * len(A)
-    assert bag(folder.before(spark, a.schema, 1)) == bag(a)
+    assert bag(folder.at(spark, a.schema, 0)) == bag(a)
     assert bag(folder.at(spark, a.schema, 1)) == bag(a)
 
 
@@ -340,3 +343,28 @@ def test_streams_need_explicit_splits(spark, cut):
         theta_join(a, b, less, side="grid")
     with pytest.raises(ValueError, match="equi"):
         stream_join(a, b)
+
+
+def test_observed_figures_come_with_the_pass_that_writes(spark, cut, tmp_path):
+    """Each micro-batch's count and ends, without reading what was written; an empty run adds nothing."""
+    a, b = stamps(spark, range(0, 4000, 130), "a"), stamps(spark, range(50, 4000, 170), "b")
+    l, r = cut("oa", a, 4, "a_ts"), cut("ob", b, 4, "b_ts")
+    pairs = stream_join(l, r, "cross", predicate=lambda l, r: l.a_id % 5 == r.b_id % 5, split=Split(1, 2))
+    run = Run(partitions=2, reports=str(tmp_path / "reports"))
+    first, last = F.least("a_ts", "b_ts"), F.greatest("a_ts", "b_ts")
+    for _ in range(2):
+        rows = run_to_table(observed(pairs, "the pairs", first, last), "t", run, str(tmp_path / "out"))
+    found = observed_reports(spark, run.reports, "the pairs").where("size > 0")
+    assert found.count() == 4
+    totals = rows.agg(F.count("*"), F.unix_micros(F.min(first)), F.unix_micros(F.max(last))).first()
+    assert tuple(found.agg(F.sum("size"), F.min("first_us"), F.max("last_us")).first()) == tuple(totals)
+    assert found.where("latency_ms <> (last_us - first_us) div 1000").isEmpty()
+    whole = run_report(found).first()
+    assert (whole["size"], whole["latency_ms"]) == (totals[0], (totals[2] - totals[1]) // 1000)
+
+
+def test_reports_are_written_together(spark, cut, tmp_path):
+    run = Run(partitions=2, reports=str(tmp_path / "reports"))
+    run_to_table(cut("ra", ints(spark, range(12), "a"), 6), "t", run)
+    files = list((tmp_path / "reports").glob("part-*"))
+    assert len(files) == 1 and progress_table(spark, run.reports).count() >= 6
