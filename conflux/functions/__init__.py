@@ -1,5 +1,6 @@
 from conflux.functions.columns import (
     Side,
+    arrow_predicate,
     csv_line,
     earliest,
     prefixed,
@@ -11,6 +12,7 @@ from conflux.functions.columns import (
 
 __all__ = [
     "Side",
+    "arrow_predicate",
     "csv_line",
     "earliest",
     "prefixed",

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,32 @@ def python_predicate(
 
     check.__annotations__ = {"values": pd.Series, "return": pd.Series}
     udf = F.pandas_udf(check, "boolean")
-    return lambda l, r: udf(*[l[c] for c in left_columns], *[r[c] for c in right_columns])
+    return _opaque(lambda l, r: udf(*[l[c] for c in left_columns], *[r[c] for c in right_columns]))
+
+
+def arrow_predicate(fn: Callable[..., pa.Array], left_columns: Sequence[str], right_columns: Sequence[str]) -> Predicate:
+    """Make a join predicate out of a function of Arrow arrays, one for each named column, that gives an array of booleans.
+
+    Candidate pairs come in Arrow batches and stay in that form. Nulls in the result drop the pair. Catalyst can't look
+    inside, so a join needs an equality or a grid beside it (see ``is_opaque``).
+    """
+
+    def check(*values: pa.Array) -> pa.Array:
+        return fn(*values)
+
+    check.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(check, "boolean")
+    return _opaque(lambda l, r: udf(*[l[c] for c in left_columns], *[r[c] for c in right_columns]))
+
+
+def _opaque(predicate: Predicate) -> Predicate:
+    predicate.opaque = True
+    return predicate
+
+
+def is_opaque(predicate: Predicate | None) -> bool:
+    """Whether the predicate is a Python function, for which Spark would build every pair of rows in one place."""
+    return getattr(predicate, "opaque", False)
 
 
 def checked_cast(text: Column, to: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conflux.functions.columns import Predicate, condition_of, require_distinct_names
+from conflux.functions.columns import Predicate, condition_of, is_opaque, require_distinct_names
 from conflux.operators.split import (
     Split,
     broadcast_limit,
@@ -48,6 +48,9 @@ def grid_join(
         if left.isStreaming or right.isStreaming:
             raise ValueError("a stream cannot be counted; pass the grid's shape")
         shape = measured_shape(left, right)
+    if is_opaque(predicate) and tuple(shape) == (1, 1):
+        # A grid of one cell would be a bare product; the pairs are to be made cell by cell.
+        shape = (2, 1)
     return meet(left, right, [], condition, Split(*shape), left_id, right_id)
 
 
@@ -68,10 +71,13 @@ def theta_join(
     side="grid"   never broadcast
     side=None     let Catalyst choose
 
+    A Python predicate always takes the grid; a side to broadcast, or None, is refused.
     Of a stream and a table, the table is broadcast if it is under the threshold; a larger one needs a shape for the grid.
     """
     require_distinct_names(left, right)
-    if side == "grid":
+    if is_opaque(predicate) and side not in ("auto", "grid"):
+        raise ValueError("a Python predicate needs a grid, or an equality beside it (equi_join)")
+    if side == "grid" or is_opaque(predicate):
         return grid_join(left, right, predicate, shape, left_id, right_id)
     condition = condition_of(left, right, predicate)
     if side is None:

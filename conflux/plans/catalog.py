@@ -6,11 +6,12 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from conflux.functions.columns import earliest, prefixed, row_message, split_field, stamped
+from conflux.functions.columns import arrow_predicate, earliest, prefixed, row_message, split_field, stamped
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
@@ -20,7 +21,7 @@ from conflux.operators.theta import cross_join, grid_join, measured_shape, theta
 from conflux.plans import tpch
 from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
-from conflux.sources.generators import random_keys
+from conflux.sources.generators import random_key
 from conflux.sources.schemas import TPCH
 from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.lateness import files_per_batch, in_time_order, measured_lateness
@@ -191,19 +192,26 @@ def int_relation_scan(spark, folder):
     return int_relation(spark, path).select("key")
 
 
+# The rounds of the generator in SQL, for a column x of words of 32 bits.
+_MIX_SQL = "(xor({x}, {x} >> 16) * 2146121005) & 4294967295", "(xor({x}, {x} >> 15) * 739982445) & 4294967295", "xor({x}, {x} >> 16)"
+
+
+def _mix_sql(column: str, source: str) -> str:
+    for part in _MIX_SQL:
+        source = f"select * replace ({part.format(x=column)} as {column}) from ({source})"
+    return source
+
+
 @query(
-    """select count(*) as n, 0 as min_key, 9 as max_key, 10 as distinct_keys, 0 as outside
-    from orders"""
+    f"""select o_orderkey, ((x * 10) >> 32)::int as "key"
+    from ({_mix_sql('x', f"""select o_orderkey, xor(x, high) as x
+        from ({_mix_sql('x', f"""select o_orderkey, o_orderkey >> 32 as high, xor(o_orderkey & 4294967295, s) as x
+            from orders, ({_mix_sql('s', 'select 42::bigint as s')})""")})""")})"""
 )
 def key_generator(spark, folder):
-    drawn = random_keys(spark, table(spark, folder, "orders").count(), 0, 10, seed=42)
-    return drawn.agg(
-        F.count("key").alias("n"),
-        F.min("key").alias("min_key"),
-        F.max("key").alias("max_key"),
-        F.count_distinct("key").alias("distinct_keys"),
-        F.count_if((F.col("key") < 0) | (F.col("key") >= 10)).alias("outside"),
-    )
+    """A random key for each order, the same on every machine."""
+    orders = _keys(spark, folder, "orders", "o_orderkey")
+    return orders.select("o_orderkey", random_key(F.col("o_orderkey"), 0, 10, seed=42).alias("key"))
 
 
 @query(
@@ -409,6 +417,17 @@ def theta_range(spark, folder):
     return inequality_join(_nations(spark, folder), _suppliers(spark, folder), "n_nationkey", "<", "s_suppkey")
 
 
+@query("select n_nationkey, s_suppkey from nation join supplier on (n_nationkey * 7 + s_suppkey) % 10 < n_nationkey % 4")
+def python_theta(spark, folder):
+    """A join on a Python function, which Catalyst can't look into: the pairs of each cell in Arrow batches."""
+
+    def close(nation: pa.Array, supplier: pa.Array) -> pa.Array:
+        return pa.array((nation.to_numpy() * 7 + supplier.to_numpy()) % 10 < nation.to_numpy() % 4)
+
+    predicate = arrow_predicate(close, ["n_nationkey"], ["s_suppkey"])
+    return theta_join(_nations(spark, folder), _suppliers(spark, folder), predicate)
+
+
 @query("select n_nationkey, s_suppkey from nation cross join supplier", name="cross_join")
 def cross_join_pairs(spark, folder):
     return cross_join(_nations(spark, folder), _suppliers(spark, folder))
@@ -620,7 +639,7 @@ def stream_equi_batches(spark, folder):
     table(spark, folder, "events").repartitionByRange(4, "ts").write.parquet(f"{base}/events.parquet")
     on = [("click_user_id", "purchase_user_id")]
     clicks, purchases = _stream_clicks_purchases(spark, base, max_files=1)
-    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-batches", on=on, fan=2)
+    pairs = stored_join(clicks, purchases, lambda l, r: equi_join(l, r, on), "stream-equi-batches", on=on, parts=8, fan=2)
     return pairs.select(*_EVENT_IDS[:2])
 
 

@@ -4,6 +4,7 @@ import operator
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from conftest import bag, plan, settings
 from hypothesis import HealthCheck, given
@@ -11,7 +12,7 @@ from hypothesis import settings as hypothesis_settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conflux.functions import prefixed, python_predicate
+from conflux.functions import arrow_predicate, prefixed, python_predicate
 from conflux.operators import (
     Split,
     chain_summary,
@@ -130,18 +131,40 @@ def test_predicate_sees_only_the_columns_of_its_side(spark):
         theta_join(relation(spark, [1], "a"), relation(spark, [1], "b"), lambda l, r: l.b < r.b)
 
 
-@pytest.mark.parametrize("vectorized", [False, True])
-@pytest.mark.parametrize("side", ["grid", "right"])
-def test_python_predicate(spark, vectorized, side):
-    left, right = list(range(12)), list(range(9))
+def opaque(which):
+    """Predicates that workers get by value, as they can't import the tests."""
 
-    def odd_sum(a, b):
+    def odd(a, b):
         return (a + b) % 2 == 1
 
-    found = theta_join(
-        relation(spark, left, "a"), relation(spark, right, "b"), python_predicate(odd_sum, ["a"], ["b"], vectorized), side
-    )
-    assert bag(found) == pairs(left, right, odd_sum)
+    def odd_of_arrays(a, b):
+        return pa.array([None if x == 3 else (x + y) % 2 == 1 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)])
+
+    if which == 2:
+        return arrow_predicate(odd_of_arrays, ["a"], ["b"])
+    return python_predicate(odd, ["a"], ["b"], vectorized=which == 1)
+
+
+@pytest.mark.parametrize("which", range(3))
+@pytest.mark.parametrize("side", ["grid", "auto"])
+def test_python_predicate(spark, which, side):
+    left, right = list(range(12)), list(range(9))
+    found = theta_join(relation(spark, left, "a"), relation(spark, right, "b"), opaque(which), side)
+    assert bag(found) == pairs([a for a in left if which < 2 or a != 3], right, lambda a, b: (a + b) % 2 == 1)
+    assert plan(found).count("EvalPython") == 1 and "Cartesian" not in plan(found) and "NestedLoop" not in plan(found)
+
+
+@pytest.mark.parametrize("which", range(3))
+def test_a_python_predicate_needs_a_grid_or_an_equality(spark, which):
+    a, b = relation(spark, range(6), "a"), relation(spark, range(6), "b")
+    for side in ("left", "right", None):
+        with pytest.raises(ValueError, match="grid"):
+            theta_join(a, b, opaque(which), side)
+    for shape in (None, (1, 1)):
+        found = theta_join(a.where("a < 0"), b, opaque(which), shape=shape)
+        assert found.count() == 0 and "Cartesian" not in plan(found) and "NestedLoop" not in plan(found)
+    beside = equi_join(a, b, [("a", "b")], opaque(which))
+    assert beside.count() == 0 and "Cartesian" not in plan(beside)
 
 
 def test_equal_sizes_keep_their_orientation(spark):

@@ -14,6 +14,7 @@ from conflux.sources import (
     int_relation,
     kafka_options,
     message_text,
+    random_key,
     random_keys,
     table,
     table_stream,
@@ -82,6 +83,34 @@ def test_random_keys(spark):
     assert bag(df) == bag(random_keys(spark, 2000, -3, 4, seed=5))
     with pytest.raises(ValueError):
         random_keys(spark, 1, 4, 4)
+    for number, key in ((0, 0), (1, 1), (2, 2), (1999, 1999)):
+        assert random_keys(spark, 2000, 0, 1000, seed=9).collect()[number]["key"] == plain_key(key, 0, 1000, 9)
+
+
+def plain_key(number, start, end, seed):
+    """The rounds in whole numbers of any size."""
+
+    def mixed(x):
+        for factor, shift in ((0x7FEB352D, 16), (0x2C1B3C6D, 15)):
+            x = (x ^ x >> shift) * factor % 2**32
+        return x ^ x >> 16
+
+    word = mixed(mixed(number % 2**32 ^ mixed(seed)) ^ number >> 32)
+    return (word * (end - start) >> 32) + start
+
+
+def test_random_keys_depend_on_the_row_only(spark):
+    rows = [0, 1, 77, 2**31, 2**32 - 1, 2**32, 2**32 + 1, 2**40 + 5, 2**62]
+    df = spark.createDataFrame([(n,) for n in rows], "n long")
+    for parts in (1, 3, 7):
+        for start, end, seed in ((0, 10, 42), (-5, 2**31 - 6, 0), (1, 2, 7)):
+            got = {r["n"]: r["k"] for r in df.repartition(parts).select("n", random_key(F.col("n"), start, end, seed).alias("k")).collect()}
+            assert got == {n: plain_key(n, start, end, seed) for n in rows}
+    counts = random_keys(spark, 70_000, 0, 7, seed=1).groupBy("key").count()
+    assert counts.where("abs(count - 10000) > 400").isEmpty() and counts.count() == 7
+    both = random_keys(spark, 70_000, 0, 7, 1).toDF("a").withColumn("i", F.monotonically_increasing_id())
+    other = random_keys(spark, 70_000, 0, 7, 2).toDF("b").withColumn("i", F.monotonically_increasing_id())
+    assert 0.12 < both.join(other, "i").where("a = b").count() / 70_000 < 0.165
 
 
 def test_kafka_options():
