@@ -1,0 +1,124 @@
+"""Ranges of keys: boundaries from merged sketches, and the place of a key among them."""
+
+import random
+from collections import Counter
+from datetime import date, timedelta
+
+import numpy as np
+import pytest
+from conftest import bag, settings
+from pyspark.sql import functions as F
+
+from conflux.operators import inequality
+from conflux.operators.inequality import boundaries, inequality_join, key_boundaries, passed, running_extremes, running_totals
+
+
+def column(spark, values, kind="bigint", parts=5):
+    return spark.createDataFrame([(v,) for v in values], f"k {kind}").repartition(parts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 500])
+@pytest.mark.parametrize("equal", [False, True])
+def test_the_place_of_a_key(spark, n, equal):
+    draw = random.Random(n)
+    bounds = np.array(sorted(draw.randrange(60) for _ in range(n)), np.int64)
+    keys = [*range(-2, 63), None]
+    df = column(spark, keys).select("k", passed(bounds, F.col("k"), equal).alias("at"))
+    side = "right" if equal else "left"
+    assert {r["k"]: r["at"] for r in df.collect()} == {k: None if k is None else int(np.searchsorted(bounds, k, side)) for k in keys}
+
+
+def test_the_place_of_a_key_among_very_many(spark):
+    bounds = np.arange(0, 3_000_000, 3)
+    df = spark.range(0, 3_000_000, 1001).select("id", passed(bounds, F.col("id")).alias("at"))
+    assert df.where("at <> (id + 2) div 3").isEmpty()
+
+
+def test_the_place_of_floating_keys(spark):
+    bounds = np.array([-1.5, 0.0, 2.25])
+    keys = [-2.0, -1.5, -0.0, 0.1, 2.25, 3.0, float("inf"), float("nan"), float("-inf")]
+    got = [r["at"] for r in column(spark, keys, "double", 1).select(passed(bounds, F.col("k")).alias("at")).collect()]
+    assert got == [0, 0, 1, 2, 2, 3, 3, 3, 0]
+
+
+@pytest.mark.parametrize("parts,coarse", [(2, 512), (7, 512), (64, 512), (300, 16), (1500, 64)])
+def test_boundaries_cut_evenly(spark, monkeypatch, parts, coarse):
+    monkeypatch.setattr(inequality, "COARSE", coarse)
+    rows = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).alias("k")).repartition(9)
+    bounds = boundaries(rows, "bigint", parts)
+    assert abs(len(bounds) - (parts - 1)) <= parts * 0.03 and (np.diff(bounds) >= 0).all()
+    sizes = np.diff(np.concatenate(([0], np.searchsorted(np.sort([r["k"] for r in rows.collect()]), bounds), [200_000])))
+    assert sizes.max() <= 1.35 * 200_000 / parts + 20
+
+
+@pytest.mark.parametrize("coarse", [512, 4])
+def test_a_key_that_fills_parts_is_repeated(spark, monkeypatch, coarse):
+    monkeypatch.setattr(inequality, "COARSE", coarse)
+    rows = column(spark, [5] * 6000 + list(range(4000)) + [None] * 50)
+    bounds = Counter(boundaries(rows, "bigint", 20).tolist())
+    assert 11 <= bounds[5] <= 13 and 5 <= len(bounds) <= 9
+
+
+def test_boundaries_of_nothing_and_of_nans(spark):
+    assert len(boundaries(column(spark, []), "bigint", 8)) == 0
+    assert len(boundaries(column(spark, [None, None]), "bigint", 8)) == 0
+    assert len(boundaries(column(spark, [float("nan")] * 9, "double"), "double", 8)) == 0
+    assert len(boundaries(column(spark, range(9)), "bigint", 1)) == 0
+
+
+DAYS = [date(2020, 1, 1) + timedelta(days=i % 40) for i in range(200)]
+RELATIONS = {
+    "days": (DAYS, "date", DAYS[:70], "date"),
+    "numbers": ([i * 0.75 for i in range(150)], "double", list(range(90)), "int"),
+    "nulls": ([None, 1, 2, 2, 3] * 20, "int", [None, 2, 3, 9] * 20, "bigint"),
+    "few": ([1], "int", [2], "int"),
+    "none": ([], "int", [2], "int"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RELATIONS))
+@pytest.mark.parametrize("op", ["<", ">="])
+@pytest.mark.parametrize("parts", [None, 3, 40])
+def test_joins_over_ranges(spark, monkeypatch, name, op, parts):
+    monkeypatch.setattr(inequality, "COARSE", 8)
+    left, left_kind, right, right_kind = RELATIONS[name]
+    l = spark.createDataFrame([(v,) for v in left], f"a {left_kind}")
+    r = spark.createDataFrame([(v,) for v in right], f"b {right_kind}")
+    holds = (lambda a, b: a < b) if op == "<" else (lambda a, b: a >= b)
+    wanted = Counter((a, b) for a in left for b in right if None not in (a, b) and holds(a, b))
+    assert bag(inequality_join(l, r, "a", op, "b", parts=parts)) == wanted
+
+
+def test_a_text_key_has_no_ranges(spark):
+    l, r = (spark.createDataFrame([("x",)], f"{c} string") for c in "ab")
+    with pytest.raises(TypeError, match="string"):
+        key_boundaries(l, r, "a", "b", 4)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 90])
+def test_running_totals_over_many_ranges(spark, monkeypatch, parts):
+    monkeypatch.setattr(inequality, "COARSE", 8)
+    draw = random.Random(parts)
+    values = [draw.choice([3, 3, 3, *range(60)]) for _ in range(900)]
+    got = running_totals(column(spark, values), "k", {"n": F.count("*")}, parts=parts).collect()
+    counts = Counter(values)
+    assert {(r["k"], r["n"], r["n_before"], r["n_after"]) for r in got} == {
+        (k, n, sum(m for j, m in counts.items() if j < k), sum(m for j, m in counts.items() if j > k)) for k, n in counts.items()
+    }
+    rows = spark.createDataFrame([(k, n) for k, n in counts.items()], "k long, n long")
+    at = spark.createDataFrame([(k,) for k in range(-3, 70, 4)], "k long")
+    more = running_extremes(rows.withColumn("top", F.col("n")), "k", ["n"], [], ["top"], at.withColumn("here", F.lit(1)), parts=parts)
+    for r in more.collect():
+        below = [m for j, m in counts.items() if j < r["k"]]
+        assert (r["n_before"], r["top_before"]) == (sum(below), max(below, default=None))
+
+
+def test_no_cap_on_ranges(spark, monkeypatch):
+    """More ranges than there were before, all of one plan."""
+    monkeypatch.setattr(inequality, "COARSE", 64)
+    with settings(spark, **{"spark.sql.shuffle.partitions": "4"}):
+        l, r = spark.range(0, 6000, 2).toDF("a"), spark.range(1, 6000, 300).toDF("b")
+        bounds = key_boundaries(l, r, "a", "b", 5000)
+        assert len(bounds) > 2500
+        lower = passed(bounds, F.col("a"))
+        assert l.where(lower < 0).isEmpty() and l.agg(F.count_distinct(lower)).first()[0] > 2000
