@@ -29,6 +29,9 @@ MIN_ROWS_PER_CELL = 1_000_000
 PAIRS_PER_CELL = 10_000_000
 PAIRS_PER_KEY_CELL = 100_000_000
 
+# Bytes of rows that one partition of a stream's state is meant to hold, and the least that is worth one of its own.
+STATE_BYTES, LEAST_STATE_BYTES = 1 << 30, 4 << 20
+
 ROW, COL = "__cell_row", "__cell_col"
 
 Pairs = Sequence[tuple[str, str]]
@@ -144,6 +147,47 @@ def _normal(column: Column, kind: str) -> Column:
     return column if kind == "same" else column.try_cast(kind)
 
 
+# Bits for each key of a filter, and the most bits there are: 2 million words of 64, some 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 27
+
+
+def key_filter(df: DataFrame, key: str, keys: DataFrame, other: str, expected: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among the column ``other`` of ``keys``: all that are, and few more.
+
+    A bitmap of the keys' hashes is put together in the tasks and sent to where ``df`` is read, so that rows without a partner
+    are not shuffled. ``expected`` bounds the number of keys; with over a key for each bit there would be nothing to gain, and
+    ``df`` comes back as it is.
+    """
+    if expected > MOST_FILTER_BITS:
+        return df
+    bits = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * max(1, expected) - 1).bit_length()))
+    kinds = key_kinds((df, [key]), (keys, [other]))
+    place = F.pmod(key_hash(keys, [other], kinds), F.lit(bits))
+    words = (
+        with_keys(keys, [other])
+        .select(F.shiftright(place, 6).alias("__at"), F.expr("1L").alias("__one"), (place % 64).cast("int").alias("__bit"))
+        .groupBy("__at")
+        .agg(F.bit_or(F.call_function("shiftleft", F.col("__one"), F.col("__bit"))).alias("__word"))
+    )
+    own = F.pmod(key_hash(df, [key], kinds), F.lit(bits))
+    set_ = F.call_function("shiftright", F.col("__word"), (own % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(words), (F.shiftright(own, 6) == F.col("__at")) & set_, "left_semi")
+
+
+def state_partitions(*inputs: DataFrame) -> int:
+    """Partitions for the state of joins of streams that hold these tables, by the bytes of their rows.
+
+    Each gets about ``STATE_BYTES``; small inputs are spread over the cores as far as it is worth a store on each. Tables whose
+    size the optimizer puts under that of one core's state aren't counted. Spark keeps the number with the checkpoint: a
+    restart goes on with the one it began with.
+    """
+    cores = parallelism(inputs[0])
+    total = sum(plan_bytes(df) for df in inputs)
+    if total > STATE_BYTES:
+        total = sum(size for _, size in measured(*inputs))
+    return max(-(-total // STATE_BYTES), min(cores, -(-total // LEAST_STATE_BYTES)), 1)
+
+
 def key_kinds(*inputs: tuple[DataFrame, Sequence[str]]) -> list[str]:
     """For each key position, the kind its columns in all the inputs are compared as."""
     return [_kind([df.schema[k].dataType for (df, _), k in zip(inputs, ks, strict=True)]) for ks in zip(*[k for _, k in inputs], strict=True)]

@@ -15,7 +15,7 @@ from conflux.functions.columns import arrow_predicate, earliest, prefixed, row_m
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
-from conflux.operators.split import Split, measure
+from conflux.operators.split import Split, measure, state_partitions
 from conflux.operators.summary import chain_summary, equi_join_summary, run_report
 from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
 from conflux.plans import tpch
@@ -693,30 +693,32 @@ def stream_cross(spark, folder):
     return run_to_table(pairs.select("n_nationkey", "s_suppkey"), "stream-cross")
 
 
-def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[DataFrame], tpch.ChainSplits]:
-    splits = tpch.chain_splits(*_chain_keys(spark, folder, *names))
+def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[DataFrame], tpch.ChainSplits, Run]:
+    """The streams of a chain, its splits, and how to run it: with as many state partitions as the tables have bytes for."""
+    at_rest = _chain_keys(spark, folder, *names)
+    splits = tpch.chain_splits(*at_rest)
     streams = [
         _streamed_rows(spark, folder, name, *_CHAIN_COLUMNS[name])
         if splits.any
         else _streamed(spark, folder, name, *_CHAIN_COLUMNS[name])
         for name in names
     ]
-    return streams, splits
+    return streams, splits, Run(partitions=state_partitions(*at_rest))
 
 
 @query(f"select {', '.join(_Q3_KEYS)} {_Q3_FROM}")
 def stream_q3(spark, folder):
-    streams, splits = _chain_inputs(spark, folder, *_Q3_TABLES)
+    streams, splits, run = _chain_inputs(spark, folder, *_Q3_TABLES)
     joined = tpch.q3_chain(*streams, splits=splits)
-    return run_to_table(joined.select(*_Q3_KEYS), "stream-q3")
+    return run_to_table(joined.select(*_Q3_KEYS), "stream-q3", run)
 
 
 @query(f"select {', '.join(_Q3_KEYS)}, true as in_time {_Q3_FROM}")
 def stream_q3_times(spark, folder):
     """The same with the times at which the pair and the result came out, of which only their order is fixed."""
-    streams, splits = _chain_inputs(spark, folder, *_Q3_TABLES)
+    streams, splits, run = _chain_inputs(spark, folder, *_Q3_TABLES)
     joined = tpch.q3_chain(*streams, splits=splits, stamps=True)
-    found = run_to_table(joined.select(*_Q3_KEYS, "pair_ts", "emit_ts"), "stream-q3-times")
+    found = run_to_table(joined.select(*_Q3_KEYS, "pair_ts", "emit_ts"), "stream-q3-times", run)
     return found.select(*_Q3_KEYS, F.coalesce(F.col("pair_ts") <= F.col("emit_ts"), F.lit(False)).alias("in_time"))
 
 
@@ -725,16 +727,16 @@ def stream_q3_times(spark, folder):
     join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey"""
 )
 def stream_q5_cols(spark, folder):
-    streams, splits = _chain_inputs(spark, folder, *_Q5_TABLES[:4])
+    streams, splits, run = _chain_inputs(spark, folder, *_Q5_TABLES[:4])
     joined = tpch.q5_chain(*streams, splits=splits)
-    return run_to_table(joined.select("c_custkey", "o_orderkey", "s_suppkey", "s_nationkey"), "stream-q5-cols")
+    return run_to_table(joined.select("c_custkey", "o_orderkey", "s_suppkey", "s_nationkey"), "stream-q5-cols", run)
 
 
 @query(f"select {', '.join(_Q5_KEYS)} {_Q5_FROM}")
 def stream_q5(spark, folder):
-    streams, splits = _chain_inputs(spark, folder, *_Q5_TABLES)
+    streams, splits, run = _chain_inputs(spark, folder, *_Q5_TABLES)
     joined = tpch.q5_chain(*streams, splits=splits)
-    return run_to_table(joined.select(*_Q5_KEYS), "stream-q5")
+    return run_to_table(joined.select(*_Q5_KEYS), "stream-q5", run)
 
 
 # Micro-batches that the streams with watermarks are cut into.

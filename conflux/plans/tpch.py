@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conflux.operators.equi import choose_split, equi_join
-from conflux.operators.split import fits_broadcast, measure_all, Split
+from conflux.operators.split import Split, fits_broadcast, key_filter, measure_all
 
 # The parameters of Q3.
 SEGMENT = "FURNITURE"
@@ -27,7 +27,8 @@ def q3_revenue(
 
     Where the orders are small they are broadcast, and line items are joined as they are read. Where
     not, line items are added up per order before the join: that needs the same exchange as the join
-    on the order key, and lets an order with very many items shrink before it.
+    on the order key, and lets an order with very many items shrink before it. Items of orders that aren't open are left out
+    as they are read, by a bitmap of the open orders' keys.
     """
     cut = F.lit(date).cast("date")
     extra = [c for c in ("o_shippriority",) if c in orders.columns]
@@ -37,11 +38,13 @@ def q3_revenue(
     keys = ["o_orderkey", "o_orderdate", *extra]
     # Grouped, there is at most one row per row of the orders, whose size is checked here.
     small = fits_broadcast(orders)
+    items = lineitem.where(F.col("l_shipdate") > cut)
     if not small:
+        # No more open orders than orders of the time, which is a count over one column.
+        items = key_filter(items, "l_orderkey", open_orders, "o_orderkey", orders.count())
         # The exchange that the join on the order key needs serves the grouping as well.
         open_orders = open_orders.repartition("o_orderkey")
     open_orders = _per_key(open_orders, *keys, as_name="copies")
-    items = lineitem.where(F.col("l_shipdate") > cut)
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     same = F.col("o_orderkey") == F.col("l_orderkey")
     if small:

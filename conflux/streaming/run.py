@@ -31,8 +31,8 @@ class Run:
 
     every       trigger interval such as "12 seconds"; None processes what is there, then stops
     timeout     seconds after which the query is stopped; None waits for its end
-    partitions  state partitions, fixed for the life of a checkpoint; None takes the session's
-                shuffle partitions, on a local session one per core
+    partitions  state partitions, fixed for the life of a checkpoint (a restart goes on with those it began with), see
+                ``state_partitions``; None takes the session's shuffle partitions, on a local session one per core
     spill       keep join state in RocksDB on the executors' disks rather than in JVM memory
     closing_batch  whether a last micro-batch without rows may follow, in which Spark acts on the final
                 watermark; needed where windows are only given out once they are closed

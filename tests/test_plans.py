@@ -7,7 +7,7 @@ from conftest import SMALL, bag, plan, settings
 from pyspark.sql import functions as F
 
 from conflux.operators import Split, equi_join, interval_join
-from conflux.operators.split import measure
+from conflux.operators.split import key_filter, measure, state_partitions
 from conflux.plans import tpch
 from conflux.sources import table
 
@@ -178,3 +178,40 @@ def test_a_null_key_is_in_neither_branch(spark, no_broadcast):
     assert heavy.heavy or heavy.rows > 1
     heavy = Split(1, 1, tuple((h, 2, 2) for h in [h[0] for h in heavy.heavy]) or ((7, 2, 2),))
     assert bag(equi_join(l, r, [("a", "b")], split=heavy)) == bag(equi_join(l, r, [("a", "b")], split=None))
+
+
+def test_items_of_other_orders_are_left_out_as_they_are_read(spark, no_broadcast):
+    c, o, l = tables(spark, *Q3)
+    found = tpch.q3_revenue(c, o, l)
+    text = plan(found)
+    below = text[text.index("partial_sum") :]
+    assert re.search(r"BroadcastHashJoin.*LeftSemi", below)
+    assert below.index("LeftSemi") < below.index("GreaterThan(l_shipdate")
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "10MB"}):
+        small = tpch.q3_revenue(c, o, l)
+        assert "LeftSemi" not in plan(small)
+        assert bag(found.withColumn("revenue", F.round("revenue", 3))) == bag(small.withColumn("revenue", F.round("revenue", 3)))
+
+
+@pytest.mark.parametrize("expected", [1, 400, 1 << 28])
+def test_a_key_filter_loses_no_key(spark, expected):
+    rows = spark.range(20_000).select((F.col("id") % 5000).alias("a"), F.col("id").alias("i"))
+    rows = rows.unionAll(spark.createDataFrame([(None, -1)], "a long, i long"))
+    keys = spark.createDataFrame([(k,) for k in [*range(0, 5000, 13), None, 7]], "b int")
+    kept = key_filter(rows, "a", keys, "b", expected)
+    wanted = rows.join(keys, F.col("a") == F.col("b"), "left_semi")
+    assert kept.join(wanted, "i", "inner").count() == wanted.count()
+    assert kept.columns == rows.columns
+    share = (kept.count() - wanted.count()) / 20_000
+    assert share < 0.05 if expected < 1 << 28 else kept.count() == 20_001
+
+
+def test_state_partitions_follow_the_bytes(spark, monkeypatch):
+    c, o, l = tables(spark, *Q3)
+    assert state_partitions(c.select("c_custkey")) == 1
+    monkeypatch.setattr("conflux.operators.split.LEAST_STATE_BYTES", 1000)
+    assert state_partitions(o, l) == 8
+    monkeypatch.setattr("conflux.operators.split.STATE_BYTES", 2000)
+    # Rows of a key each: nine bytes of eight for the key and the row.
+    rows = l.select("l_orderkey")
+    assert state_partitions(rows) == -(-rows.count() * 16 // 2000)

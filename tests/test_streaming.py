@@ -368,3 +368,15 @@ def test_reports_are_written_together(spark, cut, tmp_path):
     run_to_table(cut("ra", ints(spark, range(12), "a"), 6), "t", run)
     files = list((tmp_path / "reports").glob("part-*"))
     assert len(files) == 1 and progress_table(spark, run.reports).count() >= 6
+
+
+def test_a_restart_goes_on_with_its_state_partitions(spark, tmp_path):
+    a, b = ints(spark, A, "a"), ints(spark, B, "b")
+    cut_in_files(a, tmp_path / "a", 1)
+    for n, (rows, partitions) in enumerate(((b.limit(2), 3), (b.subtract(b.limit(2)), 7))):
+        cut_in_files(rows, tmp_path / "b", 1)
+        streams = [file_stream(spark, str(tmp_path / name), df.schema) for name, df in (("a", a), ("b", b))]
+        found = run_to_table(stream_join(*streams, on=[("a", "b")]), "t", Run(partitions=partitions), str(tmp_path / "out"))
+        stores = [p.name for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+        assert sorted(stores) == ["0", "1", "2"], n
+    assert bag(found) == bag(equi_join(a, b.limit(2).unionAll(b.subtract(b.limit(2))), [("a", "b")]))
