@@ -17,15 +17,6 @@ from conflux.llm.tables import arrow_map, merged, packed, saved, text_column
 WORDS = 3
 SEED = 42
 DISTANCE = 3
-# The distance up to which one segment's codewords alone find every pair: with 11 errors, one of four segments has two at most.
-WIDE_DISTANCE = 11
-# For near copies by content: shingles of so many words, and the least Jaccard similarity of their sets.
-SHINGLE, SIMILAR = 5, 0.8
-# One in so many texts tells which shingles are common, and so many of the most common ones are put last in the order of
-# shingles. Any order gives the same pairs; a good one gives fewer to check.
-COUNTED, COMMON = 16, 100_000
-# Texts of a cluster that are checked against each other in one task; larger clusters are divided.
-CLUSTER = 512
 SEGMENTS, SEGMENT_BITS = 4, 16
 # Fingerprints of a key that one task compares with each other; larger keys are divided.
 GROUP = 4096
@@ -86,24 +77,11 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the row each belongs to. Two fingerprints up to 11 bits apart share a key: the nearby codewords of a segment
-    have one in common if it has two errors at most."""
-    table = keys_of_short_words(SEGMENT_BITS)
-    keys, rows = [], []
-    for i in range(SEGMENTS):
-        near = table[(fps.view(np.uint64) >> np.uint64(i * SEGMENT_BITS) & np.uint64(0xFFFF)).astype(np.int64)]
-        row, which = np.nonzero(near >= 0)
-        keys.append(i << 12 | near[row, which])
-        rows.append(row)
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _keyed(fps: DataFrame, keys_of) -> DataFrame:
+def _keyed(fps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys, rows = keys_of(values)
+            keys, rows = golay_keys(values)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows])], ["key", "fp"])
 
     return arrow_map(fps.select("fp"), run, "key long, fp long")
@@ -198,16 +176,14 @@ def _linked(keyed: DataFrame, keys: list[str], distance: int, group: int) -> Dat
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """``u``, ``v``: links of distinct fingerprints (``fp``, long) that connect all those within ``distance`` (11 at most).
-
-    Up to three bits, keys are 28 bits long; beyond that 12, so that many more fingerprints share one.
+    """``u``, ``v``: links of distinct fingerprints (``fp``, long) that connect all those within ``distance`` (3 at most).
 
     The fingerprints of a key are compared in one task, up to ``group`` of them. A larger key is cut into blocks of its
     fingerprints, and each two of its blocks meet in a task, so no task holds more than two blocks and none is left out.
     """
-    if distance > WIDE_DISTANCE:
-        raise ValueError(f"the keys find pairs of up to {WIDE_DISTANCE} different bits")
-    keyed = _keyed(fps, golay_keys if distance <= DISTANCE else wide_keys)
+    if distance > DISTANCE:
+        raise ValueError(f"the keys find pairs of up to {DISTANCE} different bits")
+    keyed = _keyed(fps)
     found = saved(_linked(keyed, ["key"], distance, group), "simhash-links")
     links = found.where("u is not null").select("u", "v")
     large = found.where("key is not null").select("key").distinct()
@@ -225,18 +201,19 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, group: int = GRO
 
 
 def _grouped(docs: DataFrame, id_column: str, text_column_name: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """Rows as ``id``, ``tie`` (a hash of the text), ``fp``; and ``distinct_fp``, ``root``, ``component`` by fingerprint."""
+    """Rows as ``id``, ``tie`` (a hash of the text), ``fp``; and ``distinct_fp``, ``root``, ``first`` by fingerprint.
+
+    ``first`` is the first row with the fingerprint by ``id``, nulls last, then by ``tie``.
+    """
     named = docs.select(F.col(id_column).alias("id"), F.col(text_column_name).alias("text"))
     rows = saved(simhash(named.withColumn("tie", F.xxhash64("text")), words=words), "simhash")
-    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
+    distinct = saved(rows.groupBy("fp").agg(first), "simhash-distinct")
     roots = components(fingerprint_links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        F.col("fp").alias("distinct_fp"), "first", F.coalesce("root", "fp").alias("root")
     )
-    rooted = saved(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    groups = rooted.join(smallest, "root").select(F.col("fp").alias("distinct_fp"), "root", "component")
-    return rows, saved(groups, "simhash-components")
+    return rows, saved(rooted, "simhash-roots")
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text", words: int = WORDS) -> DataFrame:
@@ -245,234 +222,26 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column_name: st
     One row for each row of ``docs``. Texts that are null, empty or without words have fingerprint 0 and are linked like
     others. A null id never is the smallest; a component that has only null ids has a null. Repeated rows come out repeated.
     """
-    rows, groups = _grouped(docs, id_column, text_column_name, words)
+    rows, rooted = _grouped(docs, id_column, text_column_name, words)
+    smallest = rooted.groupBy("root").agg(F.min("first.id").alias("component"))
+    groups = saved(rooted.join(smallest, "root").select("distinct_fp", "component"), "simhash-components")
     found = rows.join(groups, rows["fp"] == groups["distinct_fp"])
     return found.select(F.col("id").alias(id_column), "fp", "component")
 
 
-def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
-    """Hashes of a text's distinct shingles, sorted; of a shorter text, of all its words; none without words."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(parts) - words + 1)
-    return np.unique(np.array([digest(b" ".join(parts[i : i + words]), SEED) for i in range(n)], np.uint64))
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
-    """Whether the sets' Jaccard similarity is ``least`` or more; two empty sets are alike."""
-    few, many = sorted((len(a), len(b)))
-    if few < least * many:
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (few + many - common)
-
-
-def _checked(members: DataFrame) -> DataFrame:
-    """``u``, ``v``: links of texts (by ``tie``) that connect all similar ones of each cell, one for each text at most."""
-
-    def forest(ties: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        left, out = list(range(len(ties))), []
-        while left:
-            front = [left.pop()]
-            while front and left:
-                node = front.pop()
-                found = [k for k in left if similar(sets[node], sets[k])]
-                out += [(ties[node], ties[k]) for k in found]
-                front += found
-                gone = set(found)
-                left = [k for k in left if k not in gone]
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
-            edges = forest(list(rows), list(rows.values()))
-            columns = [pa.array([e[i] for e in edges], pa.int64()) for i in range(2)]
-            return pa.RecordBatch.from_arrays(columns, ["u", "v"])
-
-        cell, rows = None, {}
-        for batch in batches:
-            cells = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for here, tie, data in zip(cells, text_column(batch, "tie"), text_column(batch, "shingles"), strict=True):
-                if here != cell and rows:
-                    yield out(rows)
-                    rows = {}
-                cell = here
-                rows[tie] = np.frombuffer(data, np.uint64)
-        if rows:
-            yield out(rows)
-
-    keys = ["root", "first", "second"]
-    rows = members.select(*keys, "tie", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    return arrow_map(rows, run, "u long, v long")
-
-
-def _with_shingles(texts: DataFrame, words: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words).tobytes() for t in text_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["root", "tie", "shingles"])
-
-    return arrow_map(texts.select("root", "tie", "text"), run, "root long, tie long, shingles binary")
-
-
-def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float = SIMILAR) -> np.ndarray:
-    """The first shingles of a set in the order of all shingles: uncommon ones by hash, then common ones by number.
-
-    Of two sets whose Jaccard similarity is ``least`` or more, the larger lacks 1 - ``least`` of its shingles at most, so
-    they share one of the first so many and one more.
-    """
-    known, numbers = common
-    rank = np.zeros(len(shingles), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        rank = np.where(known[at] == shingles, numbers[at], 0)
-    order = np.lexsort((shingles, rank))
-    return shingles[order[: int((1 - least) * len(shingles) + 1e-9) + 1]]
-
-
-def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, sorted, and in how many of the texts counted each is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in text_column(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["shingle"])
-
-    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
-    sizes = arrow_map(counted, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 3")
-    found = sizes.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    shingles = found.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], found.column("n").to_numpy()[order]
-
-
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """``shingle``, ``tie``, ``at``, ``n``: the prefix of each text, the shingle's place in it and the size of the text's
-    set; only shingles that are in the prefixes of two texts or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
-    names = ["shingle", "tie", "at", "n"]
-    schema = "shingle long, tie long, at int, n int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, ties, sizes, seen = [], [], [], set()
-            for tie, text in zip(text_column(batch, "tie"), text_column(batch, "text"), strict=True):
-                if tie in seen:
-                    continue
-                seen.add(tie)
-                shingles = shingle_set(text)
-                if len(shingles):
-                    parts.append(prefix_of(shingles, shared.value))
-                    ties.append(tie)
-                    sizes.append(len(shingles))
-            if parts:
-                lengths = [len(p) for p in parts]
-                at = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                columns = [np.concatenate(parts).view(np.int64), np.repeat(ties, lengths), at, np.repeat(sizes, lengths).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted; the last row of a batch waits for the next one.
-        rest, twice = None, False
-        for batch in batches:
-            rows = batch if rest is None else pa.concat_batches([rest, batch])
-            if not rows.num_rows:
-                continue
-            shingle, tie = (rows.column(i).to_numpy() for i in range(2))
-            repeated = np.append(False, (shingle[1:] == shingle[:-1]) & (tie[1:] == tie[:-1]))
-            first = np.flatnonzero(~repeated)
-            rows, shingle = rows.take(pa.array(first)), shingle[first]
-            same = shingle[1:] == shingle[:-1]
-            shared_by_two = np.append(twice, same) | np.append(same, False)
-            yield rows.slice(0, len(first) - 1).filter(pa.array(shared_by_two[:-1]))
-            rest, twice = rows.slice(len(first) - 1), bool(shared_by_two[-1])
-        if twice:
-            yield rest
-
-    rows = arrow_map(docs.select("tie", "text"), run, schema)
-    return arrow_map(rows.repartition("shingle").sortWithinPartitions("shingle", "tie"), met, schema)
-
-
-def _further_links(docs: DataFrame, roots: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``u``, ``v``: all pairs of similar texts (``docs`` with ``tie``) that have different roots.
-
-    A pair has its first shingle in common in both prefixes, and no more shingles in common than follow there.
-    """
-    rows = saved(_prefixes(docs), "simhash-prefixes")
-    rooted = rows.join(merged(roots), rows["tie"] == roots["node"], "left").withColumn("root", F.coalesce("root", "tie"))
-    rooted = saved(rooted.select("shingle", "tie", "at", "n", "root"), "simhash-rooted")
-    several = rooted.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-    left = saved(rooted.join(merged(several), "shingle"), "simhash-several")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("tie", "at", "n", "root")])
-    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (1 + least)
-    near = (F.col("tie") < F.col("tie2")) & (F.col("root") != F.col("root2")) & (most >= least * (F.col("n") + F.col("n2")) - 1e-6)
-    pairs = left.join(merged(right), "shingle").where(near).select(F.col("tie").alias("u"), F.col("tie2").alias("v")).distinct()
-    pairs = saved(pairs, "simhash-pairs")
-    wanted = pairs.select(F.col("u").alias("tie")).union(pairs.select(F.col("v").alias("tie"))).distinct()
-
-    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t).tobytes() for t in text_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["tie", "shingles"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in text_column(batch, c)] for c in ("a", "b"))
-            alike = [similar(x, y, least) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
-
-    texts = docs.select("tie", "text").join(merged(wanted), "tie").groupBy("tie").agg(F.first("text").alias("text"))
-    sets = saved(arrow_map(texts, of_text, "tie long, shingles binary"), "simhash-sets")
-    with_a = pairs.join(merged(sets.select(F.col("tie").alias("u"), F.col("shingles").alias("a"))), "u")
-    with_both = with_a.join(merged(sets.select(F.col("tie").alias("v"), F.col("shingles").alias("b"))), "v")
-    return arrow_map(with_both.select("u", "v", "a", "b"), check, "u long, v long")
-
-
-def similar_texts(docs: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (``id``, ``text``) as ``id``, ``tie`` (a hash of the text); and ``node``, ``root`` of the ties that are linked.
-
-    Texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more. Fingerprints within 11 bits make
-    clusters first; a cluster's texts are compared in cells of up to two blocks, and each two texts of a cluster meet in one.
-    Similar texts that this leaves apart, however far their fingerprints are, are found by prefixes of their shingles.
-    """
-    rows = saved(simhash(docs.select("id", "text", F.xxhash64("text").alias("tie"))), "simhash")
-    wide = components(fingerprint_links(rows.select("fp").distinct(), WIDE_DISTANCE))
-    texts = rows.groupBy("fp", "tie").agg(F.min(F.struct(F.col("id").isNull(), "id"))["id"].alias("least"))
-    clustered = texts.join(wide, texts["fp"] == wide["node"], "left").select(F.coalesce("root", "fp").alias("root"), "tie", "least")
-    clustered = saved(clustered, "simhash-clusters")
-    sizes = clustered.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = clustered.join(sizes, "root").select("root", "n", F.col("tie").alias("of_tie"), "least")
-    chosen = saved(chosen, "simhash-chosen")
-    named = docs.withColumn("tie", F.xxhash64("text"))
-    same = (named["tie"] == chosen["of_tie"]) & named["id"].eqNullSafe(chosen["least"])
-    # A row that is repeated gives its text more than once, to the same place of the same cells.
-    with_text = _with_shingles(named.join(merged(chosen), same).select("root", "tie", "text"), SHINGLE)
-    members = saved(with_text, "simhash-shingles").join(sizes, "root")
-    blocks = F.ceil(F.col("n") * 2 / cluster)
-    members = members.withColumn("block", F.pmod(F.xxhash64("tie"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = members.select(
-        "root", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "tie", "shingles"
-    )
-    links = saved(_checked(cells), "simhash-checked")
-    more = saved(_further_links(named.select("tie", "text"), components(links)), "simhash-further")
-    return rows.select("id", "tie"), components(links.unionByName(more))
-
-
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text") -> DataFrame:
-    """One row of ``docs``, all columns, of each group of ``similar_texts``: the one with the smallest id.
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column_name: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of ``docs``, all columns, of each component of ``near_copies``: the one with the smallest id.
 
     Null ids come last. Of rows with the same id, the one with the smallest text hash stays; of rows that agree in
     id and text, any one. Texts without words are alike, and so are null and empty ones.
     """
-    named = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column_name), F.lit("")).alias("text"))
-    rows, groups = similar_texts(named)
-    found = rows.join(groups, rows["tie"] == groups["node"], "left").withColumn("group", F.coalesce("root", "tie"))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie")).alias("first"))
+    whole = F.coalesce(F.col(f"`{text_column_name}`"), F.lit(""))
+    named = docs.select(F.col(f"`{id_column}`").alias("id"), whole.alias("text"))
+    rows, rooted = _grouped(named, "id", "text", words)
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = saved(first.select(F.col("first.id").alias("kept_id"), F.col("first.tie").alias("kept_tie")), "simhash-kept")
-    whole = F.coalesce(F.col(f"row.`{text_column_name}`"), F.lit(""))
-    tied = packed(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("tie", F.xxhash64(whole))
+    tied = packed(docs).withColumn("id", F.col(f"row.`{id_column}`"))
+    tied = tied.withColumn("tie", F.xxhash64(F.coalesce(F.col(f"row.`{text_column_name}`"), F.lit(""))))
     same = kept["kept_id"].eqNullSafe(tied["id"]) & (kept["kept_tie"] == tied["tie"])
     left = tied.join(merged(kept), same, "left_semi")
     again = rows.groupBy("id", "tie").count().where("count > 1").select("id", "tie")

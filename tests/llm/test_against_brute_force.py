@@ -75,91 +75,23 @@ def reworded(draw, words, n):
     return out
 
 
-@pytest.mark.parametrize("cluster", [512, 6])
-def test_one_of_each_group_of_similar_texts_stays(spark, small, cluster, monkeypatch):
-    monkeypatch.setattr(simhash.similar_texts, "__defaults__", (cluster,))
+def test_one_of_each_component_stays(spark, small):
     draw = random.Random(6)
-    base = [[f"w{draw.randrange(500)}" for _ in range(n)] for n in (400, 150, 90)]
+    base = [[f"w{draw.randrange(500)}" for _ in range(n)] for n in (4000, 1500, 900)]
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
-    rows += [(2000 + 100 * k + i, " ".join(reworded(draw, b, len(b) // 90))) for k, b in enumerate(base) for i in range(20)]
+    rows += [(2000 + 100 * k + i, " ".join(reworded(draw, b, i % 4))) for k, b in enumerate(base) for i in range(20)]
     rows += [(3000, "A b c"), (3001, "a  B c"), (3002, "a b"), (3003, None), (3004, ""), (3005, "\n"), (3001, "a  B c")]
     rows += [(3006, rows[5][1]), (None, rows[5][1]), (None, "only here " * 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.one_of_each(docs).collect()
-
-    def shingles(text):
-        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    sets = [shingles(t) for _, t in rows]
-    alike = [
-        (a, b)
-        for a in range(len(rows))
-        for b in range(a + 1, len(rows))
-        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    ]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if (fps[a] ^ fps[b]).bit_count() <= 3]
     group = joined(alike, range(len(rows)))
     first = {}
     for k, (i, _) in enumerate(rows):
         first.setdefault(group[k], []).append((i is None, i or 0))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(g) for g in first.values())
-
-
-def five_word_shingles(text):
-    words = text.split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_copies_with_distant_fingerprints_are_found(spark, texts):
-    """Truncated, extended and block-edited copies at 0.80-0.85, many of them more than eleven bits from their originals."""
-    draw = random.Random(9)
-    plain = [t.split() for t in texts.values() if t and 60 <= len(set(t.split())) and len(t) < 20_000][:80]
-    rows, far = [], 0
-    for k, words in enumerate(plain):
-        words = [f"{k}.{w}" for w in words]
-        rows.append((10 * k, " ".join(words)))
-        n = len(words)
-        new = [f"new{draw.randrange(10**9)}" for _ in range(n)]
-        at, size = draw.randrange(n // 2), max(1, n // 12)
-        copies = [words[: n * 83 // 100], words + new[: n * 20 // 100], words[:at] + new[:size] + words[at + size :]]
-        for j, copy in enumerate(copies):
-            rows.append((10 * k + j + 1, " ".join(copy)))
-    sets = [five_word_shingles(t) for _, t in rows]
-    fps = [simhash.fingerprint(t) for _, t in rows]
-    alike = []
-    for a in range(len(rows)):
-        for b in range(a + 1, a - a % 4 + 4):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                alike.append((a, b))
-                far += (fps[a] ^ fps[b]).bit_count() > simhash.WIDE_DISTANCE
-    assert far >= 10
-    group = joined(alike, range(len(rows)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
-    assert got == {rows[g][0] for g in group.values()}
-
-
-def test_similar_sets_share_a_shingle_of_their_prefixes():
-    draw = np.random.default_rng(10)
-    for _ in range(500):
-        n = int(draw.integers(1, 120))
-        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate((a[draw.random(len(a)) > 0.1], draw.integers(0, 2**63, n // 9).astype(np.uint64))))
-        known = np.unique(draw.choice(a, len(a) // 2)) if len(a) > 1 else a[:0]
-        common = known, draw.integers(1, 9, len(known))
-        if len(b) and simhash.similar(a, b):
-            assert set(simhash.prefix_of(a, common).tolist()) & set(simhash.prefix_of(b, common).tolist())
-
-
-def test_every_pair_of_eleven_bits_shares_a_wide_key():
-    draw = random.Random(8)
-    for _ in range(300):
-        a = draw.getrandbits(64)
-        b = a
-        for bit in draw.sample(range(64), draw.randint(4, 11)):
-            b ^= 1 << bit
-        keys = [set(simhash.wide_keys(np.array([x], np.uint64).view(np.int64))[0].tolist()) for x in (a, b)]
-        assert keys[0] & keys[1]
+    assert len(got) < len(rows) - 60
 
 
 def test_words_two_bits_apart_share_a_codeword():
