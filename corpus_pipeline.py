@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """Keeps one document of each group of near copies (three-word shingles, up to three different bits): the one with the smallest id."""
     return one_of_each(docs)
 
 
