@@ -6,10 +6,10 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SMALL, bag, plan
+from conftest import SMALL, bag, plan, settings
 from pyspark.sql import functions as F
 
-from conflux.operators import equi_join, interval_join
+from conflux.operators import equi_join, interval_join, split
 from conflux.plans import catalog
 from conflux.session import work_folder
 from conflux.sources import file_stream, table
@@ -105,6 +105,37 @@ def test_a_restart_in_the_middle_of_a_merge(spark, tmp_path, monkeypatch, at):
     assert Counter(tuple(r) for r in found.select("a", "a_i", "b", "b_i").collect()) == expected(rows)
 
 
+def test_a_key_that_gets_hot_after_the_start_is_divided(spark, tmp_path, monkeypatch):
+    """Each micro-batch is split as its rows and the stored ones need it: first plainly, then over a grid, of bounded cells."""
+    rows = {"a": [], "b": []}
+    for batch in range(4):
+        for name, found in rows.items():
+            # From the third batch on, most rows have the key 7.
+            new = [(7 if batch > 1 and k % 5 else k + batch, 1000 * batch + k) for k in range(150)]
+            write(spark, tmp_path, name, new)
+            found += new
+    monkeypatch.setattr(split, "MIN_ROWS_PER_CELL", 40)
+    monkeypatch.setattr(split, "parallelism", lambda df: 10**6)
+    splits, meet = [], split.meet
+
+    def watched(left, right, on, condition, chosen, *more):
+        splits.append(chosen)
+        return meet(left, right, on, condition, chosen, *more)
+
+    monkeypatch.setattr("conflux.operators.equi.meet", watched)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = stored_join(*streams(spark, tmp_path), by_key, "t", FEW, str(tmp_path / "out"), ON, 4, 4)
+        assert Counter(tuple(r) for r in found.select("a", "a_i", "b", "b_i").collect()) == expected(rows)
+    # The first is for the result's columns; then two for each batch.
+    assert all(s.whole for s in splits[:5]), splits
+    hot = [s.heavy for s in splits[5:]]
+    assert len(hot) == 4 and all(len(h) == 1 for h in hot)
+    # 120 new rows of the key meet all others there are: no more than 40 of either side in a cell.
+    (first, old_first, second, old_second) = [h[0][1:] for h in hot]
+    assert min(first) * 40 >= 120 and old_first[1] * 40 >= 120
+    assert second[0] * 40 >= 120 and second[1] * 40 >= 240 and min(old_second) * 40 >= 120
+
+
 def test_a_batch_reads_only_the_parts_it_meets(spark, tmp_path):
     store = KeyedStore(str(tmp_path), spark.createDataFrame([], "a long, x int").schema, ("a",), ("bigint",), parts=16, fan=4)
     for batch in range(6):
