@@ -29,7 +29,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 # A shorter phrase falls away if a longer one around it has this many of 100 of its occurrences.
 COVERED = 80
 # Bytes of text that a task holds before it hands out their counts.
-HELD = 24 << 20
+HELD = 16 << 20
 # Bits of the bitmap of frequent phrases; 8 MB.
 BITS = 1 << 26
 
@@ -46,7 +46,7 @@ def _numbered(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     found = pc.split_pattern(spaced, b" ").flatten().dictionary_encode()
     words, numbers = found.dictionary, found.indices.to_numpy()
     nothing, end = (pc.index(words, pa.scalar(w, words.type)).as_py() for w in (b"", b"\n"))
-    numbers = numbers[numbers != nothing].astype(np.int64)
+    numbers = numbers[numbers != nothing]
     numbers[numbers == end] = _END
     return words, numbers
 
@@ -79,7 +79,7 @@ def _distinct(text: np.ndarray, at: np.ndarray, size: int, words: int) -> tuple[
 
     A phrase is the rank of its beginning among the distinct ones, times the number of words, plus its last word.
     """
-    code, levels = text[at], []
+    code, levels = text[at].astype(np.int64), []
     for k in range(1, size):
         if k > 1:
             levels.append(np.unique(code))
@@ -104,10 +104,12 @@ def _counts_of(texts: list[bytes], lang: str, sizes: tuple[int, ...], known: tup
     inside, of = text != _END, 1
     if known is not None:
         of, bitmap = known
-        hashes = _word_hashes(words.to_pylist(), lang)[text] if len(words) else np.empty(0, np.uint64)
-        n = max(0, len(text) - of + 1)
-        bits = _bit([hashes[k : k + n] for k in range(of)], 8 * len(bitmap))
-        inside = _runs(inside, of) & (bitmap[bits >> 3] >> (bits & 7) & 1 > 0)
+        hashes = _word_hashes(words.to_pylist(), lang)
+        inside = _runs(inside, of)
+        for start in range(0, len(inside), 1 << 18):
+            part = slice(start, min(start + (1 << 18), len(inside)))
+            bits = _bit([hashes[text[part.start + k : part.stop + k]] for k in range(of)], 8 * len(bitmap))
+            inside[part] &= bitmap[bits >> 3] >> (bits & 7) & 1 > 0
     for size in sizes:
         at = np.flatnonzero(_runs(inside, size - of + 1))
         columns, counts = _distinct(text, at, size, len(words))
