@@ -32,6 +32,8 @@ WIDTH = LEFT + LENGTH
 # Rows that are sorted together; a bucket of over HOT rows is worked out by grouping its windows instead, all tasks sharing it.
 ROWS, HOT = 16_384, 65_536
 CHUNK = 1_000_000
+# The most windows whose rows are told by a broadcast list: those with over this part of all rows.
+POPULAR = 16_384
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,6 +53,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the texts in ``data``: each anchor's text, place in it, gram hash, and the first and last window it is the anchor of."""
+    if len(data) >> _PLACE:
+        raise ValueError(f"a text of {len(data)} bytes is too long: places have {_PLACE} bits")
     terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)))))
     grams = _mixed((terms[GRAM:] - terms[:-GRAM]) * _powers(_INVERSE, len(data) - GRAM + 1))
     # Sorted by hash, then place: the leftmost of equal ones is the anchor.
@@ -279,8 +283,13 @@ def repeated_runs(texts: DataFrame, batch_rows: int = ROWS, most: int = HOT) ->
         return runs
     windows = saved(_windows(around.join(hot, "gram")), "substring-windows")
     place = F.struct("t1", "t2", "at")
-    twice = windows.groupBy("code").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("code")
-    more = windows.join(twice, "code", "left_semi").distinct()
+    ends = windows.groupBy("code").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
+    twice = saved(ends.where("a <> b").select("code", "n"), "substring-codes")
+    # Each of these windows has so large a part of all rows that there can be no more than POPULAR of them: their rows are told
+    # where they are. All others are few for each window.
+    often = F.broadcast(twice.where(F.col("n") > windows.count() // POPULAR).select("code"))
+    others = windows.join(often, "code", "left_anti").join(merged(twice.select("code")), "code", "left_semi")
+    more = windows.join(often, "code", "left_semi").unionByName(others).distinct()
     return runs.unionByName(more.select("t1", "t2", F.col("at").alias("begin"), F.col("at").alias("end")))
 
 
@@ -317,7 +326,7 @@ def without_repeats(
     """``id_column``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row: what is left of its bytes without those
     covered by a string of 400 bytes that also starts anywhere else, in any row. Null texts count as empty.
 
-    Equal texts are worked out once; if there are two of them, all of a text of 400 bytes or more goes. Texts are known by two
+    A text of 2^28 bytes or more is refused, as a task holds a text whole. Equal texts are worked out once; if there are two of them, all of a text of 400 bytes or more goes. Texts are known by two
     64-bit hashes.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
