@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,12 +58,17 @@ def text_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns), F.hash(*columns)]
 
 
-def arrow_map(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
-) -> DataFrame:
-    """``df.mapInArrow`` whose workers find this package where it lies for the driver, if it isn't installed for them."""
-    environment = df.sparkSession.sparkContext.environment
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where it lies for the driver, if it isn't installed for them."""
+    environment = spark.sparkContext.environment
     root, paths = str(Path(__file__).resolve().parents[2]), environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def arrow_map(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
+) -> DataFrame:
+    """``df.mapInArrow`` by workers that find this package."""
+    importable(df.sparkSession)
     return df.mapInArrow(fn, schema)

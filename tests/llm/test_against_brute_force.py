@@ -357,7 +357,7 @@ def test_schedules():
         n = draw.randint(1, 6)
         blocks = [draw.randint(0, 50) for _ in range(n)]
         weights = [draw.choice([0, 1, 1, 2, 3, 7, 12]) for _ in range(n)]
-        plan, slots = mixing.phases(blocks, weights), {}
+        plan, slots = list(mixing.phases(blocks, weights)), {}
         for s, count in enumerate(blocks):
             mine = [p for p in plan if s in p.slots]
             for b in range(count):
@@ -379,6 +379,38 @@ def test_a_mix_follows_its_schedule(spark):
     assert {r["slot"]: r["row"]["source"] for r in got} == dict(enumerate(names[s] for s in order))
 
 
+@pytest.mark.parametrize("n", [999, 1001, 4000])
+def test_any_number_of_sources(spark, n):
+    """One large source and many small ones: every row once, and the large one within a block of its share while all last."""
+    small = [(1_000_000 + i, f"s{i % n}") for i in range(2 * n)]
+    rows = [(i, "large") for i in range(3000)] + small
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = sorted((r["position"], r["slot"], r["row"]["doc_id"]) for r in mixing.mixed(docs, block=4).collect())
+    assert sorted(i for _, _, i in got) == sorted(i for i, _ in rows)
+    assert len({p for p, _, _ in got}) == len(rows)
+    slots = sorted({s for _, s, _ in got})
+    assert slots == list(range(3000 // 4 + n))
+    share = 3000**0.5 / (3000**0.5 + n * 2**0.5)
+    ran, large = 0, {s for _, s, i in got if i < 3000}
+    for t in range(n // 2):
+        ran += t in large
+        assert abs(ran - share * (t + 1)) < 1 + 0.05 * (t + 1)
+
+
+def test_given_weights_of_many_sources_and_those_without(spark):
+    rows = [(i, f"s{i % 2500}") for i in range(5000)] + [(9000 + i, "big") for i in range(400)] + [(9900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    targets = {"big": 1250, None: 0} | {f"s{k}": 1 for k in range(1250)}
+    got = [(r["slot"], r["row"]["source"]) for r in mixing.mixed(docs, targets, block=2).collect()]
+    assert len(got) == len(rows) and sorted({s for s, _ in got}) == list(range(2500 + 200 + 1))
+    weighted = {s for s, source in got if source in targets and source}
+    assert weighted == set(range(1250 + 200))
+    big, ran = {s for s, source in got if source == "big"}, 0
+    for t in range(400):
+        ran += t in big
+        assert abs(ran - (t + 1) / 2) < 1
+
+
 # ---- benchmark -------------------------------------------------------------------------------
 
 
