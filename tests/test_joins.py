@@ -32,6 +32,8 @@ from conflux.operators import (
 )
 from conflux.operators import split as split_module
 from conflux.operators import theta as theta_module
+from conflux.operators.interval import bucket_splits, with_bucket
+from conflux.operators.split import key_hash
 
 few = hypothesis_settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
@@ -423,3 +425,34 @@ def test_running_extremes(spark, parts):
         before = [x for x in known if x[0] < r["k"]]
         assert (r["x"], r["n_before"]) == (r["k"] ** 2, sum(x[1] for x in before))
         assert r["t_before"] == (min(x[2] for x in before) if before else None)
+
+
+@pytest.mark.parametrize("splits", [[Split(), Split(2, 3)], [Split(2, 1), Split(1, 1, ((1, 2, 2),))], "hot"])
+def test_interval_chain_with_grids_shuffles_and_numbers_no_pairs(spark, no_broadcast, splits):
+    """What the first join finds stays in its cell; copies of a row count each."""
+    times = [0, 0, 100, 700, 700, 1300, 2500]
+    a, b, c = (stamps(spark, times, n) for n in "abc")
+    if splits == "hot":
+        keys = with_bucket(a, "a_ts", WITHIN)
+        hashes = sorted({r[0] for r in keys.select(key_hash(keys, ["__left_bucket"])).collect()})
+        splits = [Split(), Split(1, 1, tuple((h, 2 + i, 2) for i, h in enumerate(hashes[:2])))]
+    found = interval_chain(a, "a_ts", [(b, "b_ts"), (c, "c_ts")], WITHIN, splits)
+    pairs = near(times, times)
+    assert bag(found.select("a_id", "b_id", "c_id")) == Counter((i, j, k) for (i, j) in pairs for (i2, k) in pairs if i == i2)
+    assert found.columns == ["a_id", "a_ts", "b_id", "b_ts", "c_id", "c_ts"]
+    text = plan(found)
+    assert text.count("Exchange hashpartitioning(__left_bucket") == 1
+    assert text.count("monotonically_increasing_id") <= 4  # both sides of the first join, none of the pairs
+
+
+def test_many_even_buckets_are_not_divided(spark, no_broadcast, monkeypatch):
+    """However many candidates each has: its part of a core's share is small."""
+    monkeypatch.setattr("conflux.operators.interval.PAIRS_PER_KEY_CELL", 10)
+    monkeypatch.setattr("conflux.operators.split.PAIRS_PER_KEY_CELL", 10)
+    start = datetime(2024, 1, 1)
+    even = [(i, start + timedelta(minutes=20 * (i // 5))) for i in range(3000)]
+    hot = even + [(3000 + i, start) for i in range(3000)]
+    for rows, divided in ((even, False), (hot, True)):
+        a, b, c = (spark.createDataFrame(rows, f"{n}_id int, {n}_ts timestamp") for n in "abc")
+        splits = bucket_splits(a, "a_ts", [(b, "b_ts"), (c, "c_ts")], WITHIN)
+        assert (not all(s.whole for s in splits)) == divided
