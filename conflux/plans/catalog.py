@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from conflux.functions.columns import arrow_predicate, earliest, prefixed, row_m
 from conflux.operators.equi import choose_split, equi_join
 from conflux.operators.inequality import inequality_join, running_totals
 from conflux.operators.interval import bucket_splits, interval_chain, interval_join, window_counts
-from conflux.operators.split import Split, measure, state_partitions
+from conflux.operators.split import Split, measure, parallelism, state_partitions
 from conflux.operators.summary import chain_summary, equi_join_summary, run_report
 from conflux.operators.theta import cross_join, grid_join, measured_shape, theta_join
 from conflux.plans import tpch
@@ -23,7 +23,7 @@ from conflux.session import work_folder
 from conflux.sources.files import delimited_table, int_relation, table, table_stream, text_lines
 from conflux.sources.generators import random_key
 from conflux.sources.schemas import TPCH
-from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
+from conflux.streaming.joins import stored_chain, stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.lateness import files_per_batch, in_time_order, measured_lateness
 from conflux.streaming.progress import PROGRESS_COLUMNS, observed, observed_reports, progress_table
 from conflux.streaming.run import Run, run_batches, run_to_table
@@ -694,7 +694,8 @@ def stream_cross(spark, folder):
 
 
 def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[DataFrame], tpch.ChainSplits, Run]:
-    """The streams of a chain, its splits, and how to run it: with as many state partitions as the tables have bytes for."""
+    """The streams of a chain, its splits, and how to run it: with as many partitions as the tables have bytes for, or as
+    there are cores."""
     at_rest = _chain_keys(spark, folder, *names)
     splits = tpch.chain_splits(*at_rest)
     streams = [
@@ -703,22 +704,27 @@ def _chain_inputs(spark: SparkSession, folder: str, *names: str) -> tuple[list[D
         else _streamed(spark, folder, name, *_CHAIN_COLUMNS[name])
         for name in names
     ]
-    return streams, splits, Run(partitions=state_partitions(*at_rest))
+    return streams, splits, Run(partitions=max(state_partitions(*at_rest), parallelism(at_rest[0])))
+
+
+def _run_chain(streams: list[DataFrame], chain: Callable[..., DataFrame], columns: tuple[str, ...], name: str, run: Run) -> DataFrame:
+    """The columns of a chain over streams, its intermediate relations stored."""
+    return stored_chain(streams, lambda *tables, join: chain(*tables, join=join).select(*columns), name, run)
 
 
 @query(f"select {', '.join(_Q3_KEYS)} {_Q3_FROM}")
 def stream_q3(spark, folder):
     streams, splits, run = _chain_inputs(spark, folder, *_Q3_TABLES)
-    joined = tpch.q3_chain(*streams, splits=splits)
-    return run_to_table(joined.select(*_Q3_KEYS), "stream-q3", run)
+    chain = partial(tpch.q3_chain, splits=splits)
+    return _run_chain(streams, chain, _Q3_KEYS, "stream-q3", run)
 
 
 @query(f"select {', '.join(_Q3_KEYS)}, true as in_time {_Q3_FROM}")
 def stream_q3_times(spark, folder):
     """The same with the times at which the pair and the result came out, of which only their order is fixed."""
     streams, splits, run = _chain_inputs(spark, folder, *_Q3_TABLES)
-    joined = tpch.q3_chain(*streams, splits=splits, stamps=True)
-    found = run_to_table(joined.select(*_Q3_KEYS, "pair_ts", "emit_ts"), "stream-q3-times", run)
+    chain = partial(tpch.q3_chain, splits=splits, stamps=True)
+    found = _run_chain(streams, chain, (*_Q3_KEYS, "pair_ts", "emit_ts"), "stream-q3-times", run)
     return found.select(*_Q3_KEYS, F.coalesce(F.col("pair_ts") <= F.col("emit_ts"), F.lit(False)).alias("in_time"))
 
 
@@ -728,15 +734,15 @@ def stream_q3_times(spark, folder):
 )
 def stream_q5_cols(spark, folder):
     streams, splits, run = _chain_inputs(spark, folder, *_Q5_TABLES[:4])
-    joined = tpch.q5_chain(*streams, splits=splits)
-    return run_to_table(joined.select("c_custkey", "o_orderkey", "s_suppkey", "s_nationkey"), "stream-q5-cols", run)
+    chain = partial(tpch.q5_chain, splits=splits)
+    return _run_chain(streams, chain, ("c_custkey", "o_orderkey", "s_suppkey", "s_nationkey"), "stream-q5-cols", run)
 
 
 @query(f"select {', '.join(_Q5_KEYS)} {_Q5_FROM}")
 def stream_q5(spark, folder):
     streams, splits, run = _chain_inputs(spark, folder, *_Q5_TABLES)
-    joined = tpch.q5_chain(*streams, splits=splits)
-    return run_to_table(joined.select(*_Q5_KEYS), "stream-q5", run)
+    chain = partial(tpch.q5_chain, splits=splits)
+    return _run_chain(streams, chain, _Q5_KEYS, "stream-q5", run)
 
 
 # Micro-batches that the streams with watermarks are cut into.

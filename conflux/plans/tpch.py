@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -169,17 +170,18 @@ def q3_chain(
     lineitem: DataFrame,
     splits: ChainSplits | None = None,
     stamps: bool = False,
+    join: Callable[..., DataFrame] = equi_join,
 ) -> DataFrame:
-    """Customer x orders x lineitem, over tables or streams.
+    """Customer x orders x lineitem, over tables or streams, by equality joins of the kind ``join``.
 
     ``stamps`` adds the times of the micro-batches in which the customer-order pair (``pair_ts``) and
     the result (``emit_ts``) came out. Tables are measured when no splits are given.
     """
     splits = splits or _splits_of(customer, orders, lineitem)
-    pairs = equi_join(customer, orders, [("c_custkey", "o_custkey")], split=splits.customer_orders, apart=False)
+    pairs = join(customer, orders, [("c_custkey", "o_custkey")], split=splits.customer_orders, apart=False)
     if stamps:
         pairs = pairs.withColumn("pair_ts", F.current_timestamp())
-    joined = equi_join(pairs, lineitem, [("o_orderkey", "l_orderkey")], split=splits.orders_lineitem, apart=False)
+    joined = join(pairs, lineitem, [("o_orderkey", "l_orderkey")], split=splits.orders_lineitem, apart=False)
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
 
 
@@ -192,6 +194,7 @@ def q5_chain(
     region: DataFrame | None = None,
     splits: ChainSplits | None = None,
     stamps: bool = False,
+    join: Callable[..., DataFrame] = equi_join,
 ) -> DataFrame:
     """The chain to supplier, or to nation and region where these are given, over tables or streams.
 
@@ -199,11 +202,11 @@ def q5_chain(
     few nation and region keys would otherwise each gather a share of all line items.
     """
     splits = splits or _splits_of(customer, orders, lineitem, supplier, nation, region)
-    joined = q3_chain(customer, orders, lineitem, splits, stamps).drop("emit_ts")
+    joined = q3_chain(customer, orders, lineitem, splits, stamps, join).drop("emit_ts")
     if nation is not None and region is not None:
-        places = equi_join(nation, region, [("n_regionkey", "r_regionkey")], split=splits.nation_region, apart=False)
-        supplier = equi_join(supplier, places, [("s_nationkey", "n_nationkey")], split=splits.supplier_nation, apart=False)
-    joined = equi_join(joined, supplier, [("l_suppkey", "s_suppkey")], split=splits.lineitem_supplier, apart=False)
+        places = join(nation, region, [("n_regionkey", "r_regionkey")], split=splits.nation_region, apart=False)
+        supplier = join(supplier, places, [("s_nationkey", "n_nationkey")], split=splits.supplier_nation, apart=False)
+    joined = join(joined, supplier, [("l_suppkey", "s_suppkey")], split=splits.lineitem_supplier, apart=False)
     return joined.withColumn("emit_ts", F.current_timestamp()) if stamps else joined
 
 

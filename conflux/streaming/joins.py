@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from conflux.operators.theta import grid_join, theta_join
 from conflux.session import work_folder
 from conflux.streaming.keyed import PART, KeyedStore
 from conflux.streaming.run import Run, run_batches
-from conflux.streaming.store import BatchFolder, latest
+from conflux.streaming.store import BATCH, BatchFolder, latest
 
 
 def stream_join(
@@ -97,6 +98,75 @@ def stored_join(
     return pairs.read(spark, result_schema).drop("batch_id")
 
 
+class BatchJoins:
+    """The equality joins of one micro-batch of a chain, the rows of both sides of each kept in files by key.
+
+    Joins are told apart by their order, which must be the same in every micro-batch. What a join finds in the batch is a
+    relation that grows, as its inputs are: the next join keeps it, and only what the batch adds is worked out.
+    """
+
+    def __init__(self, folder: str, batch_id: int, parts: int = 64, fan: int = 8):
+        self.folder, self.batch_id, self.parts, self.fan = folder, batch_id, parts, fan
+        self.joins = 0
+
+    def join(self, left: DataFrame, right: DataFrame, on: Pairs, **options) -> DataFrame:
+        """The pairs of ``equi_join`` that came in with this batch: new rows with all, and old rows with new ones."""
+        session = left.sparkSession
+        path = f"{self.folder}/join-{self.joins}"
+        self.joins += 1
+        left_keys, right_keys = tuple(l for l, _ in on), tuple(r for _, r in on)
+        kinds = tuple(key_kinds((left, left_keys), (right, right_keys)))
+        stores = [
+            KeyedStore(f"{path}/{side}", df.schema, keys, kinds, self.parts, self.fan)
+            for side, df, keys in (("left", left, left_keys), ("right", right, right_keys))
+        ]
+        before = [store.runs_before(session, self.batch_id) for store in stores]
+        for store, df in zip(stores, (left, right), strict=True):
+            store.write(df, self.batch_id)
+        new_left, new_right = (store.at(session, self.batch_id) for store in stores)
+        if not any(before):
+            return equi_join(new_left.drop(PART), new_right.drop(PART), on, **options)
+        old_left, old_right = stores[0].read(session, before[0], new_right), stores[1].read(session, before[1], new_left)
+        new_left, new_right = new_left.drop(PART), new_right.drop(PART)
+        found = equi_join(new_left, new_right.unionByName(old_right), on, **options)
+        return found.unionByName(equi_join(old_left, new_right, on, **options))
+
+
+def stored_chain(
+    streams: Sequence[DataFrame],
+    chain: Callable[..., DataFrame],
+    name: str,
+    run: Run = Run(),
+    folder: str | None = None,
+    parts: int = 64,
+    fan: int = 8,
+) -> DataFrame:
+    """A chain of equality joins of streams that keeps its state as files, written and read whole, not row by row.
+
+    ``chain(*tables, join=...)`` puts the joins together from ``join(left, right, on, **options)``; it gets the rows of a
+    micro-batch and a join that gives what the batch adds to each. The chain, ``parts`` and the order of the joins must stay
+    the same as long as the folder is in use; a repeated micro-batch replaces what it had written.
+    """
+    spark = streams[0].sparkSession
+    folder = folder or work_folder(spark, name)
+    rows = BatchFolder(f"{folder}/rows")
+    schemas = [df.schema for df in streams]
+    result_schema = chain(*[spark.createDataFrame([], schema) for schema in schemas], join=equi_join).schema
+    names = [f"s{i}" for i in range(len(streams))]
+
+    def tagged(i: int, df: DataFrame) -> DataFrame:
+        own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        return df.select(*[own.alias(n) if n == names[i] else F.lit(None).cast(schemas[j]).alias(n) for j, n in enumerate(names)])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        tables = [batch.where(f"{n} is not null").select(f"{n}.*") for n in names]
+        rows.write(chain(*tables, join=BatchJoins(folder, batch_id, parts, fan).join), batch_id)
+
+    everything = reduce(DataFrame.unionByName, [tagged(i, df) for i, df in enumerate(streams)])
+    run_batches(everything, name, each, run, folder=folder)
+    return rows.read(spark, result_schema).drop(BATCH)
+
+
 def stored_theta_join(
     left: DataFrame,
     right: DataFrame,
