@@ -1,4 +1,4 @@
-from conflux.streaming.joins import stored_join, stored_theta_join, stream_join, stream_window_counts
+from conflux.streaming.joins import stored_interval_join, stored_join, stored_theta_join, stream_join, stream_window_counts
 from conflux.streaming.keyed import KeyedStore
 from conflux.streaming.lateness import in_time_order, measured_lateness
 from conflux.streaming.progress import PROGRESS_COLUMNS, flatten_progress, observed, observed_reports, progress_table
@@ -22,6 +22,7 @@ __all__ = [
     "run_to_console",
     "run_to_table",
     "store_stream",
+    "stored_interval_join",
     "stored_join",
     "stored_theta_join",
     "stream_join",
