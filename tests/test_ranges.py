@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from conflux.operators import inequality
 from conflux.operators.inequality import boundaries, inequality_join, key_boundaries, passed, running_extremes, running_totals
+from conflux.operators.split import plan_bytes
 
 
 def column(spark, values, kind="bigint", parts=5):
@@ -122,3 +123,12 @@ def test_no_cap_on_ranges(spark, monkeypatch):
         assert len(bounds) > 2500
         lower = passed(bounds, F.col("a"))
         assert l.where(lower < 0).isEmpty() and l.agg(F.count_distinct(lower)).first()[0] > 2000
+
+
+def test_the_number_of_ranges_does_not_follow_a_size_that_is_not_known(spark):
+    """Rows from the driver's lists have no estimate, and count as the largest there can be."""
+    rows = spark.createDataFrame([(k, 2 * k) for k in range(30)], "k int, n int").repartition(3)
+    assert plan_bytes(rows) > 1 << 60
+    assert inequality._ranges_for(rows, rows) == 1
+    found = running_extremes(rows, "k", ["n"], [], [], rows.select("k"))
+    assert {(r["k"], r["n_before"] or 0) for r in found.collect()} == {(k, k * (k - 1)) for k in range(30)}
