@@ -7,10 +7,10 @@ import pytest
 from conftest import bag, cut_in_files
 from pyspark.sql import functions as F
 
-from conflux.operators import Split, interval_chain, interval_join
+from conflux.operators import Split, interval, interval_chain, interval_join
 from conflux.plans.catalog import QUERIES
 from conflux.sources import file_stream
-from conflux.streaming import run
+from conflux.streaming import BatchFolder, run
 from conflux.streaming.joins import stored_interval_join
 
 WITHIN = timedelta(minutes=10)
@@ -117,3 +117,69 @@ def test_no_event_or_pair_is_kept_one_by_one(spark, monkeypatch, tmp_path, name)
     found, plain = QUERIES[name](spark, str(tmp_path)), QUERIES[name.removeprefix("stream_")](spark, str(tmp_path))
     assert bag(found) == bag(plain) and found.count() > 300
     assert not states
+
+
+def _listed(a, others, splits, **options):
+    found = interval_chain(a, "a_ts", others, WITHIN, splits, lists=["bs", "cs"], **options)
+    return found, interval.multiplied(found, ["bs", "cs"]).select("a", "a_ts", "bs.*", "cs.*")
+
+
+@pytest.mark.parametrize("list_rows", [4096, 3])
+@pytest.mark.parametrize("splits", [[Split(), Split()], [Split(2, 3), Split(1, 2)], None])
+def test_lists_of_near_rows_have_each_combination_once(spark, no_broadcast, monkeypatch, list_rows, splits):
+    """Also where a bucket has several lists of a table, is dealt over cells, or has rows of one time or none."""
+    monkeypatch.setattr(interval, "LIST_ROWS", list_rows)
+    a, b = _stamped(spark, [*range(0, 9000, 170), *[77] * 5], "a"), _stamped(spark, [*range(60, 9000, 400), *[80] * 9], "b")
+    c = _stamped(spark, [*range(9, 3000, 500), 7000], "c")
+    others = [(b, "b_ts"), (c, "c_ts")]
+    expected = bag(interval_chain(a, "a_ts", others, WITHIN, [None, None]))
+    for options in ({}, {"tasks": 6}, {"ids": [["a"], ["b"], ["c"]]}):
+        found, rows = _listed(a, others, splits, **options)
+        assert bag(rows) == expected and sum(expected.values()) > 1000
+        assert max(found.agg(F.max(F.size("bs")), F.max(F.size("cs"))).first()) <= (4096 if list_rows == 4096 else 30)
+        assert found.where("size(bs) = 0 or size(cs) = 0").isEmpty()
+
+
+def test_lists_of_a_busy_bucket_are_short(spark, monkeypatch):
+    monkeypatch.setattr(interval, "LIST_ROWS", 50)
+    a, b, c = _stamped(spark, [5], "a"), _stamped(spark, range(1000), "b"), _stamped(spark, [6], "c")
+    found, rows = _listed(a, [(b, "b_ts"), (c, "c_ts")], [Split(), Split()])
+    assert rows.count() == 2 * 1212 * 2
+    assert found.agg(F.max(F.size("bs"))).first()[0] < 200
+
+
+def test_streams_have_no_lists(spark, tmp_path):
+    a, b = _stamped(spark, [5], "a"), _stamped(spark, [5], "b")
+    (s, _), = _streams(spark, tmp_path, [a], 1, lambda df: None)
+    with pytest.raises(ValueError, match="lists"):
+        interval_chain(s, "a_ts", [(b, "b_ts")], WITHIN, [Split()], lists=["bs"])
+
+
+def test_lists_over_batches_out_of_order_give_each_triple_once(spark, tmp_path):
+    tables = [_stamped(spark, range(s, 9000, step), n) for s, step, n in ((0, 170, "a"), (60, 400, "b"), (9, 500, "c"))]
+    others = [(tables[1], "b_ts"), (tables[2], "c_ts")]
+    streams = _streams(spark, tmp_path, tables, 4, lambda df: None)
+    join = lambda a, b, c: interval_chain(
+        a, "a_ts", [(b, "b_ts"), (c, "c_ts")], WITHIN, [Split(), Split()], tasks=6, lists=["bs", "cs"]
+    )
+    found = stored_interval_join(streams, join, WITHIN, timedelta(hours=3), "t", lists=["bs", "cs"])
+    expected = interval_chain(tables[0], "a_ts", others, WITHIN, [None, None])
+    assert bag(found.select("a", "a_ts", "bs.*", "cs.*")) == bag(expected) and found.count() > 1000
+
+
+def test_the_stream_of_triples_writes_far_fewer_rows_than_there_are_triples(spark, monkeypatch, tmp_path):
+    """Triples grow with the cube of the events, which is what the large tables failed by."""
+    kinds, start = ("click", "purchase", "view"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(i, start + timedelta(seconds=20 * i), i % 7, kinds[i % 3]) for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    written, write = [], BatchFolder.write
+
+    def watched(folder, df, batch_id):
+        write(folder, df, batch_id)
+        written.append(df.sparkSession.read.parquet(f"{folder.path}/batch_id={batch_id}").count())
+
+    monkeypatch.setattr(BatchFolder, "write", watched)
+    found, plain = (QUERIES[name](spark, str(tmp_path)) for name in ("stream_interval_join3", "interval_join3"))
+    assert bag(found) == bag(plain)
+    assert found.count() > 50 * sum(written) > 0
