@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from conftest import SMALL
 
-from conflux.llm import digest, golay, mixing, simhash, token_count
+from conflux.llm import digest, golay, mixing, simhash, substrings, token_count
 from conflux.llm.components import components
 from conflux.llm.decontaminate import contamination, words_of
 from conflux.llm.line_dedup import without_boilerplate
@@ -194,6 +194,19 @@ def test_repeated_substrings(spark, small, bounds):
     assert got == sorted((i, *w) for (i, _), w in zip(rows, wanted, strict=True))
 
 
+def test_large_buckets_are_not_dealt_by_gram(spark, monkeypatch):
+    dealt, repeats = [], substrings._repeats
+    monkeypatch.setattr(substrings, "_repeats", lambda around, *rest: dealt.append(around) or repeats(around, *rest))
+    draw = random.Random(2)
+    shared = ["".join(draw.choice("abcdefghij ") for _ in range(600)) for _ in range(3)]
+    rows = [(100 * k + i, f"{i} {shared[k]} {i}") for k, n in enumerate((6, 7, 40)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in without_repeats(docs, batch_rows=4, most=6).collect())
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, plain_cut([t.encode() for _, t in rows]), strict=True))
+    sizes = {r["count"] for r in dealt[0].groupBy("gram").count().collect()}
+    assert 6 in sizes and max(sizes) == 6
+
+
 # ---- lines -----------------------------------------------------------------------------------
 
 
