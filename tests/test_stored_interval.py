@@ -119,6 +119,34 @@ def test_no_event_or_pair_is_kept_one_by_one(spark, monkeypatch, tmp_path, name)
     assert not states
 
 
+@pytest.mark.parametrize("first", ["none", "one", "other"])
+def test_streams_whose_first_batches_have_no_rows(spark, tmp_path, first):
+    """Nothing is dropped as long as a stream has no row with a time, also where none has any."""
+    none = lambda name: spark.createDataFrame([(-1, None)], f"{name} int, {name}_ts timestamp")
+    tables, streams = [], []
+    for name, step, late in (("a", 130, first != "one"), ("b", 170, first != "other")):
+        df, path = _stamped(spark, range(0, 30000, step), name), tmp_path / name
+        for _ in range(2 if late else 0):
+            none(name).coalesce(1).write.mode("append").parquet(str(path))
+        cut_in_files(df, path, 5, df.columns[1])
+        tables.append(df)
+        streams.append((file_stream(spark, str(path), df.schema, max_files=1), df.columns[1]))
+    join = lambda l, r: interval_join(l, r, "a_ts", "b_ts", WITHIN, split=Split())
+    found = stored_interval_join(streams, join, WITHIN, timedelta(hours=3), "t", folder=f"{tmp_path}/kept")
+    assert bag(found) == bag(interval_join(*tables, "a_ts", "b_ts", WITHIN, split=None)) and found.count() > 1000
+
+
+@pytest.mark.parametrize("name", ["stream_interval_join", "stream_interval_join3"])
+def test_events_of_a_kind_may_come_after_the_first_batches(spark, tmp_path, name):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    kind = lambda i: "view" if i < 300 else ("click", "purchase", "view")[i % 3]
+    rows = [(i, start + timedelta(seconds=97 * i), i % 7, kind(i)) for i in range(900)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found, plain = QUERIES[name](spark, str(tmp_path)), QUERIES[name.removeprefix("stream_")](spark, str(tmp_path))
+    assert bag(found) == bag(plain) and found.count() > 300
+
+
 def _listed(a, others, splits, **options):
     found = interval_chain(a, "a_ts", others, WITHIN, splits, lists=["bs", "cs"], **options)
     return found, interval.multiplied(found, ["bs", "cs"]).select("a", "a_ts", "bs.*", "cs.*")
