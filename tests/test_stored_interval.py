@@ -176,6 +176,13 @@ def test_lists_of_a_busy_bucket_are_short(spark, monkeypatch):
     assert found.agg(F.max(F.size("bs"))).first()[0] < 200
 
 
+def test_the_lists_of_one_row_have_no_more_combinations_than_a_task_can_hold(spark):
+    a, b, c = (_stamped(spark, [5] * n, name) for n, name in ((1, "a"), (1500, "b"), (1500, "c")))
+    found, rows = _listed(a, [(b, "b_ts"), (c, "c_ts")], [Split(), Split()])
+    assert rows.count() == 2 * 3000 * 3000
+    assert found.agg(F.max(F.size("bs") * F.size("cs"))).first()[0] < 2_000_000
+
+
 def test_streams_have_no_lists(spark, tmp_path):
     a, b = _stamped(spark, [5], "a"), _stamped(spark, [5], "b")
     (s, _), = _streams(spark, tmp_path, [a], 1, lambda df: None)
@@ -211,3 +218,28 @@ def test_the_stream_of_triples_writes_far_fewer_rows_than_there_are_triples(spar
     found, plain = (QUERIES[name](spark, str(tmp_path)) for name in ("stream_interval_join3", "interval_join3"))
     assert bag(found) == bag(plain)
     assert found.count() > 50 * sum(written) > 0
+
+
+def test_triples_of_tables_are_multiplied_out_after_the_joins(spark, no_broadcast, monkeypatch, tmp_path):
+    """The joins find far fewer rows than there are triples: their time for each triple is what the large tables failed by."""
+    kinds, start = ("click", "purchase", "view"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [(i, start + timedelta(seconds=20 * i), i % 7, kinds[i % 3]) for i in range(600)]
+    rows += [*rows, (9001, None, 1, "click"), (9002, None, 1, "purchase"), (9003, None, 1, "view")]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    joined = []
+
+    def watched(df, lists):
+        joined.append(df.count())
+        return interval.multiplied(df, lists)
+
+    monkeypatch.setattr("conflux.plans.catalog.multiplied", watched, raising=False)
+    found = QUERIES["interval_join3"](spark, str(tmp_path))
+    near = lambda i, j: abs(i - j) * 20 <= 600
+    ids = {kind: [i for i in range(600) if kinds[i % 3] == kind] for kind in kinds}
+    expected = {
+        (a, b, c): 8 for a in ids["click"] for b in ids["purchase"] if near(a, b) for c in ids["view"] if near(a, c)
+    }
+    assert found.columns == ["click_event_id", "purchase_event_id", "view_event_id"]
+    assert bag(found) == expected
+    assert len(joined) == 1 and found.count() > 50 * joined[0] > 0
